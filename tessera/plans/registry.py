@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import timeline
+from tessera.plans import catalog, timeline
 
-MODULES = (timeline,)
+MODULES = (timeline, catalog)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

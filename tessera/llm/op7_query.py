@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.secret_ledger import BASE_KINDS, Ledger, findings_by_path, scan_new, spans_text
-from tessera.llm.shared import shared_path
+from tessera.sources.shared import shared_path
 from tessera.sources.tables import table
 
 

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import shared_path
+from tessera.sources.shared import shared_path
 
 
 @dataclass(frozen=True)

@@ -36,11 +36,11 @@ def locate(points: DataFrame, regions: DataFrame, tile: float = 1.0) -> DataFram
     point is held against a region whose box is elsewhere; the polygon test runs
     on what is left.
     """
-    boxes = regions.select("id", "bbox", "polygons", *(F.floor(F.get("bbox", F.lit(i)) / tile).alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))))
+    boxes = regions.select(F.col("id").alias("_region"), "bbox", "polygons", *(F.floor(F.get("bbox", F.lit(i)) / tile).alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))))
     tiles = boxes.withColumn("tx", F.explode(F.sequence("x0", "x1"))).withColumn("ty", F.explode(F.sequence("y0", "y1")))
     placed = points.withColumn("_p", F.monotonically_increasing_id()).withColumn("tx", F.floor(F.col("lon") / tile)).withColumn("ty", F.floor(F.col("lat") / tile))
     b = F.col("bbox")
     inside = F.col("lon").between(F.get(b, F.lit(0)), F.get(b, F.lit(2))) & F.col("lat").between(F.get(b, F.lit(1)), F.get(b, F.lit(3)))
-    hits = placed.join(tiles, ["tx", "ty"], "left").withColumn("_hit", F.when(inside & in_region(F.col("lon"), F.col("lat"), F.col("polygons")), F.col("id")))
+    hits = placed.join(tiles, ["tx", "ty"], "left").withColumn("_hit", F.when(inside & in_region(F.col("lon"), F.col("lat"), F.col("polygons")), F.col("_region")))
     keys = [c for c in points.columns]
     return hits.groupBy("_p", *keys).agg(F.min("_hit").alias("region_id")).drop("_p")

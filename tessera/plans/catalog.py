@@ -12,7 +12,7 @@ from tessera.sources.views import ALBUMS_SQL, PHOTOS_SQL, albums, photos
 
 
 def q_smart_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = SmartFilter(keyword="urgent", date_from="1996-01-01", date_to="1997-12-31", location="an", tone="F")
+    wanted = SmartFilter(keyword="urgent", date_from="1996-01-01", date_to="1997-12-31", location="_1", tone="F")
     return smart_filter(photos(spark, sf_dir), wanted, ["category", "path"]).select("id", "shoot_time", "location")
 
 
@@ -116,7 +116,7 @@ QUERIES = {"smart_filter": q_smart_filter, "range_filter": q_range_filter} | {
 
 ORACLES = {
     "smart_filter": f"""WITH {PHOTOS_SQL} SELECT id, shoot_time, location FROM photos WHERE (category ILIKE '%urgent%' OR path ILIKE '%urgent%')
-        AND shoot_time >= '1996-01-01' AND shoot_time <= '1997-12-31 23:59:59' AND location ILIKE '%an%' AND tone = 'F'""",
+        AND shoot_time >= '1996-01-01' AND shoot_time <= '1997-12-31 23:59:59' AND location ILIKE '%_1%' AND tone = 'F'""",
     "range_filter": """SELECT l_returnflag, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem
         WHERE l_quantity BETWEEN 10 AND 20 AND l_discount >= 0.05 AND l_tax <= 0.04 GROUP BY 1""",
     "keyword_like": "SELECT doc_id, source, n_chars FROM documents WHERE text ILIKE '%heation%'",

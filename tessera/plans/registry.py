@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import catalog, timeline
+from tessera.plans import catalog, joins, timeline, vectors
 
-MODULES = (timeline, catalog)
+MODULES = (timeline, catalog, joins, vectors)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -83,14 +83,14 @@ def fnv1a(text: Column) -> Column:
         F.filter(F.sequence(F.lit(0), F.greatest((F.char_length(digits) / 2).cast("int") - 1, F.lit(0))), lambda i: i * 2 < F.char_length(digits)),
         lambda i: F.conv(F.substring(digits, i * 2 + 1, F.lit(2)), 16, 10).cast("int"),
     )
-    modulus = F.lit(1 << 64).cast("decimal(20,0)")
+    modulus = F.lit(str(1 << 64)).cast("decimal(20,0)")
 
     def step(state: Column, byte: Column) -> Column:
         low = (state % 256).cast("int")
         mixed = state - low + low.bitwiseXOR(byte)
-        return ((mixed.cast("decimal(20,0)") * F.lit(FNV_PRIME).cast("decimal(13,0)")) % modulus).cast("decimal(20,0)")
+        return ((mixed.cast("decimal(20,0)") * F.lit(str(FNV_PRIME)).cast("decimal(13,0)")) % modulus).cast("decimal(20,0)")
 
-    final = F.aggregate(codes, F.lit(FNV_OFFSET).cast("decimal(20,0)"), step)
+    final = F.aggregate(codes, F.lit(str(FNV_OFFSET)).cast("decimal(20,0)"), step)
     return F.lower(F.lpad(F.conv(final.cast("string"), 10, 16), 16, "0"))
 
 

@@ -25,11 +25,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.sources.shared import stage
-from tessera.llm.tokens import mix, ragged, word_hashes
+from tessera.llm.tokens import mix, ragged, slices, word_hashes
 
 TRAIN, DELETED, HELD_OUT = 0, 1, 2
 #: Tokens of a block: bounds the arrays of a task to some tens of MB.
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
 #: Context frequencies 0, 1, 2-3, 4-7, ... up to 2**46 and above.
 CONTEXT_BUCKETS = 48
 EM_STEPS = 12
@@ -86,13 +86,16 @@ def _block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         if not batch.num_rows:
             continue
-        ids.append(batch.column("doc_id"))
-        parts.append(batch.column("part").to_numpy())
-        texts.append(ragged(batch.column("hashes")))
-        held += len(texts[-1][0])
-        if held >= BLOCK_TOKENS:
-            yield emit(_block(number, ids, parts, texts))
-            ids, parts, texts, held, number = [], [], [], 0, number + 1
+        values, bounds = ragged(batch.column("hashes"))
+        for start, stop in slices(bounds, BLOCK_TOKENS):  # a batch may hold several blocks' worth
+            size = int(bounds[stop] - bounds[start])
+            if held and held + size > BLOCK_TOKENS:
+                yield emit(_block(number, ids, parts, texts))
+                ids, parts, texts, held, number = [], [], [], 0, number + 1
+            ids.append(batch.column("doc_id").slice(start, stop - start))
+            parts.append(batch.column("part").to_numpy()[start:stop])
+            texts.append((values[bounds[start] : bounds[stop]].copy(), bounds[start : stop + 1] - bounds[start]))
+            held += size
     if ids:
         yield emit(_block(number, ids, parts, texts))
 

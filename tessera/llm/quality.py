@@ -151,9 +151,9 @@ def _score_batches(table):
 def best_cut(scored: DataFrame, labels: DataFrame) -> float:
     """The score below which documents are rejected; minus infinity unless both good and bad ones are labelled.
 
-    All labelled documents count. Of the cuts, multiples of BIN, the one with
-    the greatest (good kept) + (bad rejected), in shares, is taken; of equal
-    ones the lowest, which keeps most.
+    All labelled documents count. Of the cuts between occupied bins the one with
+    the greatest (good kept) + (bad rejected), in shares, is taken, the lowest
+    of equal ones; it lies in the middle of the empty bins there.
     """
     marked = labels.select("doc_id", (F.col("quality") == 1).alias("good")).where("good is not null and doc_id is not null").distinct()
     # scores are means of bounded log ratios, so the bins are some thousands at most
@@ -170,11 +170,11 @@ def best_cut(scored: DataFrame, labels: DataFrame) -> float:
     if not goods or not bads:
         return float("-inf")
     best, cut, good, bad = 1.0, float("-inf"), 0, 0
-    for r in bins:
+    for r, above in zip(bins, [*bins[1:], bins[-1]]):
         good, bad = good + r["good"], bad + r["bad"]
         gain = (goods - good) / goods + bad / bads
         if gain > best:
-            best, cut = gain, (r["bin"] + 1) * BIN
+            best, cut = gain, (r["bin"] + 1 + max(above["bin"], r["bin"] + 1)) / 2 * BIN
     return cut
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.sources.shared import stage
+from tessera.sources.shared import Scratch
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -20,15 +20,17 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return up.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, comp) for the nodes of ``links`` (columns a and b): comp is the least node of the component.
 
     Each round halves the depth of the trees or better and is written to shared
-    storage; only a count and a checksum of the edges reach the driver. No
+    storage, where the last one stays (in ``scratch``, if given); only a count and a checksum of the edges reach the driver. No
     group is gathered: minima are pre-aggregated, and the joins on a node with
     very many edges can be split.
     """
-    edges = stage(
+    spark = links.sparkSession
+    own, last = Scratch(spark), scratch or Scratch(spark)
+    edges = own.stage(
         links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
     )
     seen = None
@@ -37,5 +39,7 @@ def components(links: DataFrame) -> DataFrame:
         if (now["n"], now["s"]) == seen or now["n"] == 0:
             break
         seen = (now["n"], now["s"])
-        edges = stage(_small_star(_large_star(edges)), "edges")
+        edges = own.stage(_small_star(_large_star(edges)), "edges")
+    edges = last.stage(edges, "stars")
+    own.clear()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())

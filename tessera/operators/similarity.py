@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import dot
 from tessera.operators.graph import components
 
+#: Vectors of a block: a product of two blocks of 512 dimensions takes some tens of MB.
+BLOCK = 1024
+
 
 def widest_dimensions(vectors: DataFrame, n: int = 2) -> list[int]:
     """Indexes of the ``n`` dimensions of greatest variance, first ones on ties."""
@@ -19,26 +25,48 @@ def widest_dimensions(vectors: DataFrame, n: int = 2) -> list[int]:
     return [r["dim"] for r in best.collect()]
 
 
+def _matched(least: float):
+    """Pairs (a, b, sim) of the members of two blocks, by one matrix product for each pair of blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                own, other = (np.array([v["embedding"] for v in row[side]], dtype=np.float64) for side in ("left", "right"))
+                ids, other_ids = (np.array([v["id"] for v in row[side]], dtype=np.int64) for side in ("left", "right"))
+                sims = own @ other.T
+                near = sims >= least
+                if row["same"]:
+                    near &= ids[:, None] < other_ids[None, :]
+                i, j = np.nonzero(near)
+                a, b = ids[i], other_ids[j]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(sims[i, j])], names=["a", "b", "sim"])
+
+    return run
+
+
 def similar_pairs(vectors: DataFrame, least: float, key: str = "vec_id") -> DataFrame:
-    """(a, b, sim) of all pairs of unit vectors with a dot product of at least ``least``, a < b.
+    """(a, b, sim) of all pairs of unit vectors of one dimension with a dot product of at least ``least``, a < b.
 
     Similar unit vectors differ by at most sqrt(2 - 2 least) in every dimension.
-    Two dimensions of great variance are cut into cells of that width; a pair
-    meets in the same or a neighbouring cell, so the self-join is an equi-join
-    on cells that loses nothing.
+    Two dimensions of great variance are cut into cells of that width, so a pair
+    lies in the same or in neighbouring cells and nothing is lost. The members of
+    a cell form blocks of about BLOCK vectors; blocks of neighbouring cells meet
+    in a join on the cell, and each meeting is one matrix product.
     """
     width = max(math.sqrt(max(2 - 2 * least, 0.0)), 1e-6)
-    dims = widest_dimensions(vectors, 2)
-    cells = [F.floor(F.get("embedding", F.lit(d)).cast("double") / width) for d in dims]
-    placed = vectors.select(F.col(key).alias("id"), "embedding", F.array(*cells).alias("cell"))
+    cells = [F.floor(F.get("embedding", F.lit(d)).cast("double") / width) for d in widest_dimensions(vectors, 2)]
+    placed = vectors.select(F.col(key).cast("long").alias("id"), "embedding", F.array(*cells).alias("cell"))
+    sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("parts"))
+    dealt = placed.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    blocks = dealt.groupBy("cell", "part").agg(F.collect_list(F.struct("id", "embedding")).alias("members"))
     shifts = [()]
-    for _ in dims:
+    for _ in cells:
         shifts = [s + (i,) for s in shifts for i in (-1, 0, 1)]
     near = F.array(*(F.array(*(F.get("cell", F.lit(j)) + s for j, s in enumerate(shift))) for shift in shifts))
-    left = placed.select(F.col("id").alias("a"), F.col("embedding").alias("va"), F.explode(near).alias("cell"))
-    right = placed.select(F.col("id").alias("b"), F.col("embedding").alias("vb"), "cell")
-    pairs = left.join(right, "cell").where(F.col("a") < F.col("b"))
-    return pairs.select("a", "b", dot(F.col("va"), F.col("vb")).alias("sim")).where(F.col("sim") >= least)
+    left = blocks.select(F.struct("cell", "part").alias("me"), F.col("members").alias("left"), F.explode(near).alias("cell"))
+    right = blocks.select("cell", F.struct("cell", "part").alias("it"), F.col("members").alias("right"))
+    meetings = left.join(right, "cell").where(F.col("me") <= F.col("it"))
+    return meetings.select("left", "right", (F.col("me") == F.col("it")).alias("same")).mapInArrow(_matched(least), "a long, b long, sim double")
 
 
 def _complete_linkage(edges: pd.DataFrame) -> pd.DataFrame:

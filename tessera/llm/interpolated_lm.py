@@ -24,12 +24,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.sources.shared import stage
+from tessera.sources.shared import Scratch, arrow_batches, stage
 from tessera.llm.tokens import mix, ragged, slices, word_hashes
 
 TRAIN, DELETED, HELD_OUT = 0, 1, 2
 #: Tokens of a block: bounds the arrays of a task to some tens of MB.
 BLOCK_TOKENS = 1_000_000
+#: Texts of an Arrow batch, since each carries a hash for every word.
+BATCH_ROWS = 1000
 #: Context frequencies 0, 1, 2-3, 4-7, ... up to 2**46 and above.
 CONTEXT_BUCKETS = 48
 EM_STEPS = 12
@@ -100,9 +102,10 @@ def _block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield emit(_block(number, ids, parts, texts))
 
 
-def make_blocks(docs: DataFrame, part: Column) -> DataFrame:
+def make_blocks(docs: DataFrame, part: Column, scratch: Scratch) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), part.cast("int").alias("part"), word_hashes(F.col("text")).alias("hashes"))
-    return stage(rows.mapInArrow(_block_batches, BLOCK_SCHEMA), "blocks")
+    with arrow_batches(docs.sparkSession, BATCH_ROWS):
+        return scratch.stage(rows.mapInArrow(_block_batches, BLOCK_SCHEMA), "blocks")
 
 
 class Block:
@@ -286,14 +289,16 @@ def score_corpus(docs: DataFrame, part: Column) -> DataFrame:
     uniform one is zero, and without deleted ones the weights keep their start.
     """
     spark = docs.sparkSession
-    blocks = make_blocks(docs, part)
+    scratch = Scratch(spark)
+    blocks = make_blocks(docs, part, scratch)
     size = blocks.agg(F.sum("n_tokens").alias("all"), F.sum("n_train").alias("train")).first()
     total = size["train"] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (size["all"] or 0) // BLOCK_TOKENS + 1)
     keys = blocks.mapInArrow(_key_batches(buckets), KEY_SCHEMA)
-    totals = stage(keys.groupBy("kind", "bucket").applyInArrow(_add_up, TOTAL_SCHEMA), "totals")
+    totals = scratch.stage(keys.groupBy("kind", "bucket").applyInArrow(_add_up, TOTAL_SCHEMA), "totals")
     vocabulary = totals.where("kind = 0").agg(F.sum("known")).first()[0] or 0
     counted = stage(blocks.groupBy("block").cogroup(totals.drop("known").groupBy("block")).applyInArrow(_look_up, COUNT_SCHEMA), "counted")
+    scratch.clear()
     weights = learn_weights(counted, total, vocabulary)
     scored = counted.drop("em_pair", "em_context", "em_word").mapInArrow(
         _score_batches(weights, total, vocabulary), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"

@@ -1,0 +1,40 @@
+"""A stand-in for model inference: deterministic vectors of texts, batch by batch."""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def text_vector(text: str, dimensions: int = 64) -> list[float]:
+    """Unit vector whose entries are sums of hashed signs of the words; the zero vector for no words."""
+    v = np.zeros(dimensions)
+    for word in text.lower().split():
+        h = hashlib.blake2b(word.encode(), digest_size=16).digest()
+        v[int.from_bytes(h[:8], "little") % dimensions] += 1 if h[8] & 1 else -1
+    n = np.linalg.norm(v)
+    return (v / n if n else v).tolist()
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def encode_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Vectors of a text column; null texts have null vectors."""
+    for batch in batches:
+        yield batch.map(lambda t: None if t is None else text_vector(t))
+
+
+@F.pandas_udf(T.StringType())
+def ctc_text(codes: pd.Series) -> pd.Series:
+    """Greedy reading of class indexes: repeats collapse, class 0 is blank, the others are a, b, c ... of Unicode order."""
+
+    def read(row) -> str:
+        row = np.asarray(row if row is not None else [], dtype=int)
+        keep = (row != 0) & (np.concatenate([[0], row[:-1]]) != row) if len(row) else []
+        return "".join(chr(96 + c) for c in row[keep]) if len(row) else ""
+
+    return codes.map(read)

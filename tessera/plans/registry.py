@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import catalog, duplicates, joins, merges, scalars, streams, timeline, vectors
+from tessera.plans import catalog, duplicates, joins, merges, reports, scalars, streams, timeline, vectors
 
-MODULES = (timeline, catalog, joins, vectors, duplicates, merges, scalars, streams)
+MODULES = (timeline, catalog, joins, vectors, duplicates, merges, scalars, reports, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

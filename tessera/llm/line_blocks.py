@@ -27,15 +27,18 @@ RAW = ("script", "style", "noscript", "template", "svg", "math", "iframe", "obje
 #: Furniture by element.
 FURNITURE = {"nav", "footer", "aside", "form", "menu", "dialog", "fieldset"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "form"}
-#: Furniture by a part of a class or id.
+#: Furniture by a part of a class or id, whole or by its beginning.
 PARTS = {
-    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "byline", "comment", "comments",
-    "consent", "cookie", "cookies", "copyright", "discussion", "disqus", "footer", "gdpr", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation",
-    "newsletter", "notice", "notices", "notification", "pager", "pagination", "popup", "promo", "promotion", "recommended", "related", "replies", "respond",
-    "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget", "widgets",
+    "ad", "ads", "adv", "banner", "consent", "copyright", "discussion", "gdpr", "login", "masthead", "modal", "notice", "notices", "notification", "pager",
+    "recommended", "related", "replies", "respond", "search", "share", "sharing", "signup", "skip", "toolbar", "topbar",
 }
-#: A header is furniture unless it belongs to the article.
-OWN_PARTS = {"article", "content", "entry", "post", "story"}
+BEGINNINGS = (
+    "advert", "breadcrumb", "comment", "cookie", "disqus", "footer", "menu", "nav", "newsletter", "pagination", "popup", "promo", "sidebar", "social", "sponsor",
+    "subscri", "widget",
+)
+CONTENT_PARTS = {"commentary"}
+#: A header is furniture outside the article, by class only if it is that of the page.
+PAGE_PARTS = {"app", "global", "main", "page", "site", "top", "web"}
 BLOCKS = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption",
     "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p",
@@ -46,11 +49,13 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 #: Elements that end an open one of the same kind.
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
+#: Tags with well-formed quotes, or else up to the next bracket.
+TAG = r"<(?P<close{0}>/?)(?P<name{0}>[a-z][^\s/>]*)(?P<attrs{0}>{1})>"
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>]*/>|.*?(?:</(?P=raw)\s*>|\Z))"
-    r"|<(?P<close>/?)(?P<name>[a-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-z][^<>]*\Z",
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>]*/>|.*?(?:</(?P=raw)\s*>|\Z))|"
+    + TAG.format("", r"(?:[^>\"']|\"[^\"<]*\"|'[^'<]*')*+") + "|" + TAG.format("2", "[^>]*") + r"|<[!?/][^>]*(?:>|\Z)|<[a-z][^<>]*\Z",
     re.S | re.I,
-)
+)
 ATTRIBUTE = re.compile(r"([a-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
@@ -80,7 +85,9 @@ def is_furniture(name: str, attrs: str, in_article: bool) -> bool:
     if name in ("body", "html", "main", "article") and "comment" not in attrs.lower():
         return False
     parts = {p.lower() for p in PART.findall(f"{found.get('class', '')} {found.get('id', '')}")}
-    return bool(parts & PARTS) or "header" in parts and not in_article and not parts & OWN_PARTS
+    if parts & PARTS or any(p.startswith(BEGINNINGS) for p in parts - CONTENT_PARTS):
+        return True
+    return "header" in parts and not in_article and (len(parts) == 1 or bool(parts & PAGE_PARTS))
 
 
 def page_lines(html: str) -> list[tuple[str, int, Element | None]]:
@@ -120,7 +127,7 @@ def page_lines(html: str) -> list[tuple[str, int, Element | None]]:
             pending.append((html[at : m.start()], here.link))
             owner = here
         at = m.end()
-        name = (m["name"] or "").lower()
+        name, attrs = (m["name"] or m["name2"] or "").lower(), m["attrs"] or m["attrs2"] or ""
         if not name:
             continue
         block = name in BLOCKS
@@ -131,15 +138,15 @@ def page_lines(html: str) -> list[tuple[str, int, Element | None]]:
             owner = owner if pending[:-1] else here
         if name in CONTAINERS:
             boundary()
-        if m["close"]:
+        if m["close"] or m["close2"]:
             leave({name}, {"article", "main", "body"} if name not in ("article", "main", "body", "html") else set())
         elif name not in VOID:
             if block:
                 leave({"p"}, CONTAINERS | {"td", "th", "li", "blockquote"})
             if name in SIBLINGS:
                 leave(SIBLINGS[name], {"ul", "ol", "dl", "table"})
-            here = Element(name, here, is_furniture(name, m["attrs"], here.inside))
-            if (m["attrs"] or "").endswith("/") and not block:
+            here = Element(name, here, is_furniture(name, attrs, here.inside))
+            if attrs.endswith("/") and not block:
                 here = here.parent
     if at < len(html) and not here.furniture:
         pending.append((html[at:], here.link))

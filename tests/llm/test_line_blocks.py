@@ -29,6 +29,9 @@ TEXT = "A long paragraph with many words & a link, going on and on for a while.\
         ("<article><p>cut in the middle of a wor", "cut in the middle of a wor"),
         ("<article><p>unclosed <b>bold <p>next</p></article><footer>no</footer>", "unclosed bold\nnext"),
         ("<nav>only</nav><footer>furniture</footer>", ""),
+        (f"<div class='page-header'>The Daily</div><div class='entry'><div class='entry-header'><h2>Head</h2></div>{BODY}</div><ol class='commentlist'><li>{'So true. ' * 50}</ol>", "Head\n" + TEXT),
+        (f"<div class='commentary'>{BODY}</div><div id='navTop'><a href=x>x</a></div><div class='topMenu'>Some plain words of a menu here</div>", TEXT),
+        ("<article><p class=\"a\"\">stray quote</p><p title='a > b' data-x=\"c>d\">fine</p></article>", "stray quote\nfine"),
         ("<p hidden>no</p><article><p style='display: none'>no</p><p>yes</p></article>", "yes"),
     ],
 )

@@ -21,8 +21,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.sources.shared import stage
-from tessera.llm.tokens import words
+from tessera.sources.shared import Scratch, stage
 
 DOMAINS = ["clean", "toxic", "junk"]
 #: Shares of all words that the mixture should have.
@@ -38,9 +37,13 @@ TOLERANCE = 1e-4
 
 
 def tokens(text: Column) -> Column:
-    """Distinct runs of letters and digits in lower case, and the last two characters of each run of symbols."""
+    """Distinct words in lower case without ASCII symbols, and the last two characters of each run of symbols.
+
+    The classes are plain ranges: classes of Unicode categories cost several times as much.
+    """
     body = F.lower(F.coalesce(text, F.lit("")))
-    letters, symbols = F.split(body, r"[^\p{L}\p{N}]+"), F.split(body, r"[\p{L}\p{N}\s]+")
+    letters = F.split(body, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    symbols = F.regexp_extract_all(body, F.lit(r"[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+"), F.lit(0))
     return F.array_distinct(F.concat(letters, F.transform(symbols, lambda s: F.concat(F.lit("\t"), F.right(s, F.lit(2))))))
 
 
@@ -50,11 +53,11 @@ def domain_of(labels: DataFrame) -> DataFrame:
     return labels.where(F.col("doc_id").isNotNull()).select("doc_id", y.alias("y")).where("y is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> DataFrame:
+def training_rows(docs: DataFrame, labels: DataFrame, scratch: Scratch, most: int = TRAIN_DOCS) -> DataFrame:
     """(y, tokens) of at most ``most`` labelled documents."""
     chosen = domain_of(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    return stage(labelled.select(F.col("y").cast("double").alias("y"), tokens(F.col("text")).alias("tokens")), "training")
+    return scratch.stage(labelled.select(F.col("y").cast("double").alias("y"), tokens(F.col("text")).alias("tokens")), "training")
 
 
 def vocabulary(training: DataFrame, most: int = FEATURES) -> list[str]:
@@ -82,17 +85,20 @@ def posteriors(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Without labelled documents the posterior is uniform; with one labelled
     domain it is that domain.
     """
-    training = training_rows(docs, labels)
+    scratch = Scratch(docs.sparkSession)
+    training = training_rows(docs, labels, scratch)
     seen = sorted(int(r["y"]) for r in training.select("y").distinct().collect())
-    rows = docs.withColumn("_tokens", tokens(F.col("text"))).withColumn("n_tokens", F.size(words(F.col("text"))).cast("long"))
+    rows = docs.withColumn("_tokens", tokens(F.col("text"))).withColumn("n_tokens", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long"))
     terms = vocabulary(training) if len(seen) > 1 else []
     if not terms:
+        scratch.clear()
         flat = [1.0 / len(DOMAINS)] * len(DOMAINS) if len(seen) != 1 else [float(k == seen[0]) for k in range(len(DOMAINS))]
         return stage(rows.drop("_tokens").withColumn("p", F.array(*map(F.lit, flat))), "posteriors")
     vectors = CountVectorizerModel.from_vocabulary(terms, inputCol="tokens", outputCol="x")
     vectors.setBinary(True)
     learn = LogisticRegression(featuresCol="x", labelCol="y", family="multinomial", regParam=1e-4, maxIter=40, standardization=False)
-    model = learn.fit(stage(vectors.transform(training).select("x", "y"), "vectors"))
+    model = learn.fit(scratch.stage(vectors.transform(training).select("x", "y"), "vectors"))
+    scratch.clear()
     vectors.setInputCol("_tokens").setOutputCol("_x")
     model.setFeaturesCol("_x").setProbabilityCol("_p").setRawPredictionCol("").setPredictionCol("")
     found = vector_to_array("_p")

@@ -29,7 +29,7 @@ from tessera.llm.tokens import mix, ragged, slices, word_hashes
 
 TRAIN, DELETED, HELD_OUT = 0, 1, 2
 #: Tokens of a block: bounds the arrays of a task to some tens of MB.
-BLOCK_TOKENS = 1_000_000
+BLOCK_TOKENS = 1_600_000
 #: Texts of an Arrow batch, since each carries a hash for every word.
 BATCH_ROWS = 1000
 #: Context frequencies 0, 1, 2-3, 4-7, ... up to 2**46 and above.

@@ -37,14 +37,14 @@ TOLERANCE = 1e-4
 
 
 def tokens(text: Column) -> Column:
-    """Distinct words in lower case without ASCII symbols, and the last two characters of each run of symbols.
+    """Words in lower case without ASCII symbols, and the last two characters of each run of symbols; which occur is all that counts.
 
     The classes are plain ranges: classes of Unicode categories cost several times as much.
     """
     body = F.lower(F.coalesce(text, F.lit("")))
     letters = F.split(body, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     symbols = F.regexp_extract_all(body, F.lit(r"[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+"), F.lit(0))
-    return F.array_distinct(F.concat(letters, F.transform(symbols, lambda s: F.concat(F.lit("\t"), F.right(s, F.lit(2))))))
+    return F.concat(letters, F.transform(symbols, lambda s: F.concat(F.lit("\t"), F.right(s, F.lit(2)))))
 
 
 def domain_of(labels: DataFrame) -> DataFrame:
@@ -57,7 +57,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, scratch: Scratch, most: in
     """(y, tokens) of at most ``most`` labelled documents."""
     chosen = domain_of(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    return scratch.stage(labelled.select(F.col("y").cast("double").alias("y"), tokens(F.col("text")).alias("tokens")), "training")
+    return scratch.stage(labelled.select(F.col("y").cast("double").alias("y"), F.array_distinct(tokens(F.col("text"))).alias("tokens")), "training")
 
 
 def vocabulary(training: DataFrame, most: int = FEATURES) -> list[str]:

@@ -16,7 +16,7 @@ over the posteriors that yields three numbers, and no rate is stored between.
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,8 +26,10 @@ from tessera.sources.shared import Scratch, stage
 DOMAINS = ["clean", "toxic", "junk"]
 #: Shares of all words that the mixture should have.
 TARGETS = {"clean": 0.97, "toxic": 0.0, "junk": 0.03}
-#: Features of the classifier, the most telling ones of the labelled documents.
+#: Words of the classifier, the most telling ones of the labelled documents.
 FEATURES = 300
+#: Beginnings of words count where they make up at least such shares of a text: inflected and compounded words rarely recur whole.
+HEAD, HEAD_SHARES, HEAD_FEATURES = 5, (0.006, 0.012), 60
 #: At most so many labelled documents train the classifier, those of least hash.
 TRAIN_DOCS = 40_000
 #: Rates this close to a whole number are that number of copies.
@@ -47,6 +49,25 @@ def tokens(text: Column) -> Column:
     return F.concat(letters, F.transform(symbols, lambda s: F.concat(F.lit("\t"), F.right(s, F.lit(2)))))
 
 
+def heads(text: Column) -> Column:
+    """The first HEAD letters of each word, as often as they occur."""
+    letters = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    return F.transform(F.filter(letters, lambda w: w != ""), lambda w: F.left(w, F.lit(HEAD)))
+
+
+def frequent(held: DataFrame, share: float) -> DataFrame:
+    """(y, tokens) with the heads that make up at least ``share`` of a text, from (y, heads)."""
+    return (
+        held.withColumn("row", F.monotonically_increasing_id())
+        .select("y", "row", F.size("heads").alias("n"), F.explode("heads").alias("token"))
+        .groupBy("y", "row", "n", "token")
+        .agg(F.count("*").alias("times"))
+        .where(F.col("times") >= F.col("n") * share)
+        .groupBy("y", "row")
+        .agg(F.collect_list("token").alias("tokens"))
+    )
+
+
 def domain_of(labels: DataFrame) -> DataFrame:
     """(doc_id, y): 1 toxic, 2 bad but not toxic, 0 good; rows without an id or a grade don't count, the worst of several does."""
     y = F.when(F.col("toxic") == 1, 1).when(F.col("quality") == 0, 2).when(F.col("quality") == 1, 0)
@@ -54,15 +75,14 @@ def domain_of(labels: DataFrame) -> DataFrame:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, scratch: Scratch, most: int = TRAIN_DOCS) -> DataFrame:
-    """(y, tokens) of at most ``most`` labelled documents."""
+    """(y, tokens, heads) of at most ``most`` labelled documents."""
     chosen = domain_of(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    return scratch.stage(labelled.select(F.col("y").cast("double").alias("y"), F.array_distinct(tokens(F.col("text"))).alias("tokens")), "training")
+    return scratch.stage(labelled.select(F.col("y").cast("double").alias("y"), F.array_distinct(tokens(F.col("text"))).alias("tokens"), heads(F.col("text")).alias("heads")), "training")
 
 
-def vocabulary(training: DataFrame, most: int = FEATURES) -> list[str]:
-    """The ``most`` tokens of greatest G-squared between containing a token and the domain."""
-    sizes = {int(r["y"]): r["n"] for r in training.groupBy("y").agg(F.count("*").alias("n")).collect()}
+def vocabulary(training: DataFrame, sizes: dict[int, int], most: int = FEATURES) -> list[str]:
+    """The ``most`` tokens of greatest G-squared between containing a token and the domain; ``sizes`` has the texts of each domain."""
     total = sum(sizes.values())
     held = training.select("y", F.explode("tokens").alias("token")).groupBy("token").agg(
         F.count("*").alias("n"), *(F.count_if(F.col("y") == k).alias(f"n{k}") for k in range(len(DOMAINS)))
@@ -79,6 +99,12 @@ def vocabulary(training: DataFrame, most: int = FEATURES) -> list[str]:
     return [r["token"] for r in best.select("token").collect()]
 
 
+def _vectors(terms: list[str], source: str, target: str, least: float) -> CountVectorizerModel:
+    """Which of ``terms`` occur: at least once for ``least`` 1, else in that share of the tokens."""
+    model = CountVectorizerModel.from_vocabulary(terms, inputCol=source, outputCol=target)
+    return model.setBinary(True).setMinTF(least)
+
+
 def posteriors(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` with n_tokens and p, the posterior over DOMAINS; written and reread.
 
@@ -87,23 +113,34 @@ def posteriors(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession)
     training = training_rows(docs, labels, scratch)
-    seen = sorted(int(r["y"]) for r in training.select("y").distinct().collect())
-    rows = docs.withColumn("_tokens", tokens(F.col("text"))).withColumn("n_tokens", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long"))
-    terms = vocabulary(training) if len(seen) > 1 else []
+    sizes = {int(r["y"]): r["n"] for r in training.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    rows = docs.withColumn("n_tokens", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long"))
+    terms = vocabulary(training, sizes) if len(sizes) > 1 else []
     if not terms:
         scratch.clear()
-        flat = [1.0 / len(DOMAINS)] * len(DOMAINS) if len(seen) != 1 else [float(k == seen[0]) for k in range(len(DOMAINS))]
-        return stage(rows.drop("_tokens").withColumn("p", F.array(*map(F.lit, flat))), "posteriors")
-    vectors = CountVectorizerModel.from_vocabulary(terms, inputCol="tokens", outputCol="x")
-    vectors.setBinary(True)
-    learn = LogisticRegression(featuresCol="x", labelCol="y", family="multinomial", regParam=1e-4, maxIter=40, standardization=False)
-    model = learn.fit(scratch.stage(vectors.transform(training).select("x", "y"), "vectors"))
+        flat = [1.0 / len(DOMAINS)] * len(DOMAINS) if len(sizes) != 1 else [float(k in sizes) for k in range(len(DOMAINS))]
+        return stage(rows.withColumn("p", F.array(*map(F.lit, flat))), "posteriors")
+    vectors = [_vectors(terms, "_tokens", "_words", 1.0)]
+    for i, share in enumerate(HEAD_SHARES):
+        often = vocabulary(frequent(training.select("y", "heads"), share), sizes, HEAD_FEATURES)
+        if often:
+            vectors.append(_vectors(often, "_heads", f"_share{i}", share))
+    join = VectorAssembler(inputCols=[v.getOutputCol() for v in vectors], outputCol="_x")
+
+    def features(df: DataFrame) -> DataFrame:
+        for v in vectors:
+            df = v.transform(df)
+        return join.transform(df)
+
+    learn = LogisticRegression(featuresCol="_x", labelCol="y", family="multinomial", regParam=1e-4, maxIter=40, standardization=False)
+    seen = features(training.withColumnsRenamed({"tokens": "_tokens", "heads": "_heads"})).select("_x", "y")
+    model = learn.fit(scratch.stage(seen, "vectors"))
     scratch.clear()
-    vectors.setInputCol("_tokens").setOutputCol("_x")
-    model.setFeaturesCol("_x").setProbabilityCol("_p").setRawPredictionCol("").setPredictionCol("")
+    model.setProbabilityCol("_p").setRawPredictionCol("").setPredictionCol("")
+    rows = rows.withColumn("_tokens", tokens(F.col("text"))).withColumn("_heads", heads(F.col("text")))
     found = vector_to_array("_p")
     p = F.array(*(F.get(found, F.lit(k)) if k < model.numClasses else F.lit(0.0) for k in range(len(DOMAINS))))
-    scored = model.transform(vectors.transform(rows)).withColumn("p", p)
+    scored = model.transform(features(rows)).withColumn("p", p)
     return stage(scored.select(*docs.drop("n_tokens", "p").columns, "n_tokens", "p"), "posteriors")
 
 

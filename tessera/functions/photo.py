@@ -154,3 +154,22 @@ def arbitrated(verdict: Column, text_boxes: Column, text_area: Column, screensho
         .when(luma < NIGHT_LUMA, "night_scene")
         .otherwise("other")
     )
+
+
+#: The region that the map shows, in degrees.
+MAP_WEST, MAP_EAST, MAP_SOUTH, MAP_NORTH = 73.5, 135.1, 18.0, 53.6
+
+
+def on_map(lon: Column, lat: Column) -> Column:
+    return lon.between(MAP_WEST, MAP_EAST) & lat.between(MAP_SOUTH, MAP_NORTH)
+
+
+def map_point(lon: Column, lat: Column, width: float, pad: float = 0.0) -> Column:
+    """Struct (x, y) of an equirectangular map of the given width, y downwards."""
+    scale = (width - 2 * pad) / (MAP_EAST - MAP_WEST)
+    return F.struct((pad + (lon - MAP_WEST) * scale).alias("x"), (pad + (MAP_NORTH - lat) * scale).alias("y"))
+
+
+def point_radius(count: Column) -> Column:
+    """Radius that grows with the logarithm of the count, from 2.6 to 13."""
+    return F.least(F.lit(13.0), 2.6 + 2.2 * F.log10(F.greatest(F.lit(1), count)) * 1.6)

@@ -129,3 +129,22 @@ def cell_text(value: Column, longest: int = 200) -> Column:
     text = value.cast("string")
     n = F.char_length(text)
     return F.coalesce(F.when(n > longest, F.concat(F.left(text, F.lit(longest)), F.lit("…（共 "), n.cast("string"), F.lit(" 字符）"))).otherwise(text), F.lit("NULL"))
+
+
+#: Endings of the tables that a full-text index keeps for itself.
+SHADOW_ENDINGS = ["_data", "_idx", "_content", "_docsize", "_config", "_segments"]
+
+
+def is_shadow_table(name: Column) -> Column:
+    return name.contains("_fts") & name.rlike(f"({'|'.join(SHADOW_ENDINGS)})$")
+
+
+def loose_object(raw: Column) -> Column:
+    """JSON text of the object in a text that may have a code fence or words around it; '{}' where there is none."""
+    body = F.btrim(F.regexp_replace(F.btrim(raw, F.lit(" \t\r\n")), r"^```(?:json)?|```$", ""), F.lit(" \t\r\n"))
+    inner = F.regexp_extract(body, r"(?s)(\{.*\})", 1)
+
+    def valid(c: Column) -> Column:
+        return F.when(F.json_object_keys(c).isNotNull(), c)
+
+    return F.coalesce(valid(body), valid(inner), F.lit("{}"))

@@ -28,8 +28,8 @@ DOMAINS = ["clean", "toxic", "junk"]
 TARGETS = {"clean": 0.97, "toxic": 0.0, "junk": 0.03}
 #: Words of the classifier, the most telling ones of the labelled documents.
 FEATURES = 300
-#: Beginnings of words count where they make up at least such shares of a text: inflected and compounded words rarely recur whole.
-HEAD, HEAD_SHARES, HEAD_FEATURES = 5, (0.006, 0.012), 60
+#: Beginnings of long words count where they make up at least such a share of them: inflected and compounded words rarely recur whole.
+HEAD, HEAD_SHARE, HEAD_FEATURES = 5, 0.01, 60
 #: At most so many labelled documents train the classifier, those of least hash.
 TRAIN_DOCS = 40_000
 #: Rates this close to a whole number are that number of copies.
@@ -50,9 +50,9 @@ def tokens(text: Column) -> Column:
 
 
 def heads(text: Column) -> Column:
-    """The first HEAD letters of each word, as often as they occur."""
+    """The first HEAD letters of each word that has so many, as often as they occur."""
     letters = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-    return F.transform(F.filter(letters, lambda w: w != ""), lambda w: F.left(w, F.lit(HEAD)))
+    return F.transform(F.filter(letters, lambda w: F.char_length(w) >= HEAD), lambda w: F.left(w, F.lit(HEAD)))
 
 
 def frequent(held: DataFrame, share: float) -> DataFrame:
@@ -121,10 +121,9 @@ def posteriors(docs: DataFrame, labels: DataFrame) -> DataFrame:
         flat = [1.0 / len(DOMAINS)] * len(DOMAINS) if len(sizes) != 1 else [float(k in sizes) for k in range(len(DOMAINS))]
         return stage(rows.withColumn("p", F.array(*map(F.lit, flat))), "posteriors")
     vectors = [_vectors(terms, "_tokens", "_words", 1.0)]
-    for i, share in enumerate(HEAD_SHARES):
-        often = vocabulary(frequent(training.select("y", "heads"), share), sizes, HEAD_FEATURES)
-        if often:
-            vectors.append(_vectors(often, "_heads", f"_share{i}", share))
+    often = vocabulary(frequent(training.select("y", "heads"), HEAD_SHARE), sizes, HEAD_FEATURES)
+    if often:
+        vectors.append(_vectors(often, "_heads", "_starts", HEAD_SHARE))
     join = VectorAssembler(inputCols=[v.getOutputCol() for v in vectors], outputCol="_x")
 
     def features(df: DataFrame) -> DataFrame:

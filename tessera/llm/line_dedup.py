@@ -82,7 +82,9 @@ def positions_of(bitmap: Column) -> Column:
 def line_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """(doc, row, dropped_runs) for the documents that lose lines."""
     lines = stage(line_rows(docs, min_chars), "lines")
-    lost = lines.join(shared_lines(lines, min_docs), "h").where(F.col("doc") < F.col("keeper"))
+    # read from a table, both sides of the join are plain exchanges, so a line of very many documents can be split
+    shared = stage(shared_lines(lines, min_docs).select("h", "keeper"), "shared")
+    lost = lines.join(shared, "h").where(F.col("doc") < F.col("keeper"))
     return (
         lost.groupBy("doc", "row")
         .agg(F.array_sort(F.collect_set("pos")).alias("positions"))

@@ -5,8 +5,9 @@ agree in all coordinates of a band fall into a bucket. A bucket is never
 expanded into pairs: its members are compared with two leaders, the least
 member and one drawn by hash, and every comparison is settled on the texts.
 Buckets whose members then still belong to several components are open; they
-get new leaders, the member with the most links and one drawn anew, until a
-pass merges nothing.
+get new leaders, the member with the most links and one drawn anew, for some
+passes. What is open after these is settled exactly: members of different
+components that can be similar enough share one of their rarest shingles.
 """
 
 from __future__ import annotations
@@ -34,6 +35,12 @@ BANDS, ROWS = 25, 5
 SLICE = 200_000
 #: Documents of an Arrow batch, since each carries a hash for every word.
 BATCH_ROWS = 1000
+#: Passes with leaders, which only spare comparisons: what they leave is settled exactly.
+PASSES = 2
+#: Shingles that are told apart by how often they occur, the most frequent ones; this orders shingles and drops none.
+HOT_CELLS = 65_536
+#: Members of one shingle that a task takes at once on one side of the join.
+SALT_ROWS = 500
 
 
 def _sketch_batches(width: int, bands: int, rows: int):
@@ -135,6 +142,95 @@ def _leader_pairs(members: DataFrame, ranks: list[Column], least: float) -> Data
     return met.where((F.col("comp") != F.col("leader.comp")) & fits).select(F.col("node").alias("a"), F.col("leader.node").alias("b")).distinct()
 
 
+def _cell_batches(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, bounds = ragged(batch.column(batch.schema.get_field_index("_tokens")))
+            found, sizes = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
+            for start, stop in slices(bounds, SLICE):
+                own = bounds[start : stop + 1] - bounds[start]
+                cells, row = shingle_cells(tokens[bounds[start] : bounds[stop]], own, width)
+                order = np.argsort(row, kind="stable")
+                found.append(cells[order])
+                sizes.append(np.bincount(row, minlength=stop - start))
+            ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("comp"), lists], names=["node", "comp", "cells"])
+
+    return run
+
+
+def _prefix_batches(hot: np.ndarray, times: np.ndarray, least: float):
+    """The cells of each row in the order (times, cell), as far as a partner of at least ``least`` must share one of them.
+
+    ``lead`` marks the shorter part that is enough for partners of the same size or larger.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells, bounds = ragged(batch.column(batch.schema.get_field_index("cells")))
+            sizes = np.diff(bounds)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            often = np.zeros(len(cells), dtype=np.int64)
+            if len(hot):
+                spot = np.minimum(np.searchsorted(hot, cells), len(hot) - 1)
+                often = np.where(hot[spot] == cells, times[spot], 0)
+            cells = cells[np.lexsort((cells, often, row))]
+            at = np.arange(len(cells)) - bounds[:-1][row] + 1
+            probe = sizes - np.ceil(least * sizes - 1e-9).astype(np.int64) + 1
+            lead = sizes - np.ceil(2 * least / (1 + least) * sizes - 1e-9).astype(np.int64) + 1
+            kept = at <= probe[row]
+            row, at, cells = row[kept], at[kept], cells[kept]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("node").take(pa.array(row)),
+                    batch.column("comp").take(pa.array(row)),
+                    pa.array(sizes[row].astype(np.int64)),
+                    pa.array(cells.view(np.int64)),
+                    pa.array(at.astype(np.int64)),
+                    pa.array(at <= lead[row]),
+                ],
+                names=["node", "comp", "size", "cell", "at", "lead"],
+            )
+
+    return run
+
+
+def _prefix_pairs(current: DataFrame, texts: DataFrame, width: int, least: float, scratch: Scratch) -> DataFrame:
+    """All pairs (a, b) of different components that can be at least ``least`` similar, among the members of open buckets.
+
+    Similar sets share a cell among the first ones of each in any common order;
+    the rarest come first. Of each cell the holders in its largest component
+    meet the others only, and a hot cell is dealt to several tasks.
+    """
+    spark = texts.sparkSession
+    still = current.groupBy("bucket").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo != _hi").select("bucket")
+    nodes = current.join(still, "bucket").select("node", "comp").distinct()
+    ready = texts.join(nodes, "node").select("node", "comp", word_hashes(F.col("text")).alias("_tokens"))
+    with arrow_batches(spark, BATCH_ROWS):
+        cells = scratch.stage(ready.mapInArrow(_cell_batches(width), "node long, comp long, cells array<long>"), "cells")
+        counts = cells.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
+        top = counts.orderBy(F.desc("n"), "cell").limit(HOT_CELLS).toArrow()
+        hot, times = top.column("cell").to_numpy().view(np.uint64), top.column("n").to_numpy()
+        order = np.argsort(hot)
+        schema = "node long, comp long, size long, cell long, at long, lead boolean"
+        prefix = scratch.stage(cells.mapInArrow(_prefix_batches(hot[order], times[order], least), schema), "prefix")
+    held = prefix.groupBy("cell", "comp").agg(F.count("*").alias("n")).groupBy("cell")
+    shared = held.agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("all"), F.count("*").alias("comps")).where("comps > 1")
+    salts = F.ceil(F.col("all") / SALT_ROWS).cast("int")
+    rows = prefix.join(shared.select("cell", F.col("most.comp").alias("main"), salts.alias("salts")), "cell")
+    names = ["node", "comp", "size", "at", "lead"]
+    left = rows.where("comp != main").select("cell", F.pmod(F.xxhash64("node"), "salts").cast("int").alias("salt"), *(F.col(c).alias(f"l_{c}") for c in names))
+    right = rows.select("cell", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *(F.col(c).alias(f"r_{c}") for c in names))
+    smaller = F.struct("l_size", "l_node") < F.struct("r_size", "r_node")
+    # of the first cell that two sets share, no more can follow than either has left
+    rest = 1 + F.least(F.col("l_size") - F.col("l_at"), F.col("r_size") - F.col("r_at"))
+    enough = rest >= (F.col("l_size") + F.col("r_size")) * (least / (1 + least)) - 1e-9
+    fits = F.least("l_size", "r_size") >= F.greatest("l_size", "r_size") * least - 1e-9
+    met = left.join(right, ["cell", "salt"]).where((F.col("l_comp") != F.col("r_comp")) & fits & enough & F.when(smaller, F.col("l_lead")).otherwise(F.col("r_lead")))
+    return met.select(F.when(smaller, F.col("l_node")).otherwise(F.col("r_node")).alias("a"), F.when(smaller, F.col("r_node")).otherwise(F.col("l_node")).alias("b")).distinct()
+
+
 def near_classes(sketches: DataFrame, width: int = WIDTH, least: float = SIMILARITY) -> DataFrame:
     """(_print, keeper_uid, class_id, class_texts) for each distinct text of ``sketches``.
 
@@ -158,7 +254,7 @@ def near_classes(sketches: DataFrame, width: int = WIDTH, least: float = SIMILAR
     current = members.withColumn("comp", F.col("node"))
     ranks = [F.lit(0), F.xxhash64("bucket", "node")]
     links, tried, labels, turn = None, None, None, 0
-    while True:
+    while turn < PASSES:
         pairs = _leader_pairs(current, ranks, least)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -178,6 +274,12 @@ def near_classes(sketches: DataFrame, width: int = WIDTH, least: float = SIMILAR
             .withColumn("comp", F.coalesce("comp", "node"))
         )
         ranks = [-F.coalesce(F.col("degree"), F.lit(0)), F.xxhash64("bucket", "node", F.lit(turn))]
+    pairs = _prefix_pairs(current, texts, width, least, scratch)
+    if tried is not None:
+        pairs = pairs.join(tried.union(tried.select("b", "a")), ["a", "b"], "left_anti")
+    new = scratch.stage(verified(scratch.stage(pairs, "pairs"), texts, width, least), "links")
+    if not new.isEmpty():
+        labels = components(new if links is None else links.union(new), scratch)
     plain = nodes.select("_print", "node", F.col("best.doc_id").alias("doc_id"), F.col("best._uid").alias("uid"))
     if labels is None:
         classes = plain.select("_print", F.col("uid").alias("keeper_uid"), F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_texts"))

@@ -6,9 +6,10 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from llm.cases import clashing, prose
+from pyspark.sql import functions as F
 
 from tessera.llm.dart_minhash import band_hashes, dart_sketches, shingle_cells
-from tessera.llm.near_dedup import near_duplicates, shingle_counts, similarity
+from tessera.llm.near_dedup import near_classes, near_duplicates, shingle_counts, similarity, sketch_rows
 from tessera.llm.op6_query import op6_near_dedup
 
 
@@ -107,6 +108,32 @@ def test_chains_and_groups(spark):
     check(docs, near_duplicates(docs))
 
 
+def test_partner_in_a_crowded_bucket(spark):
+    """All texts in one bucket, at 0.7 to 0.79 but for pairs that no leader meets."""
+    r, template = random.Random(3), [f"t{i}" for i in range(240)]
+
+    def edited(words, n):
+        changed = list(words)
+        for at in r.sample(range(5, 235, 6), n):
+            changed[at] = f"new{r.randrange(10**9)}"
+        return " ".join(changed)
+
+    texts: list[str] = []
+    while len(texts) < 120:
+        text = edited(template, 4)
+        if all(similarity(shingle_counts(text.encode(), 5), shingle_counts(t.encode(), 5)) < 0.8 for t in texts):
+            texts.append(text)
+    texts += [edited(t.split(), 1) for t in texts[::20]]
+    rows = list(enumerate(texts))
+    counts = [shingle_counts(t.encode(), 5) for t in texts]
+    near = {(a, b) for b in range(len(rows)) for a in range(b) if similarity(counts[a], counts[b]) >= 0.8}
+    assert near == {(20 * i, 120 + i) for i in range(6)}
+    expected = [next((a for a, b in near if b == i), i) for i in range(len(rows))]
+    sketches = sketch_rows(spark.createDataFrame(rows, "doc_id long, text string")).withColumn("_bands", F.array(F.lit(7).cast("long")))
+    got = {d["doc_id"]: d["class_id"] for d in sketches.join(near_classes(sketches), "_print").collect()}
+    assert [got[i] for i in range(len(rows))] == expected
+
+
 @pytest.mark.parametrize("sf", ["sf0.001"])
 def test_query(spark, sf):
     docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text")

@@ -32,8 +32,6 @@ FEATURES = 300
 HEAD, HEAD_SHARE, HEAD_FEATURES = 5, 0.01, 60
 #: At most so many labelled documents train the classifier, those of least hash.
 TRAIN_DOCS = 40_000
-#: Rates this close to a whole number are that number of copies.
-SNAP = 0.1
 STEPS = 60
 TOLERANCE = 1e-4
 
@@ -190,7 +188,7 @@ def mix_sources(docs: DataFrame, labels: DataFrame, targets: dict[str, float] |
     """All rows and columns of ``docs`` with n_tokens, p_clean, p_toxic, p_junk, rate and copies.
 
     ``copies`` is the rate rounded: up with the probability of its fraction, by
-    a hash of id and text, or to the nearest whole number within SNAP of it.
+    a hash of id and text, so that expected totals are those of the rates.
     Null and empty texts have no words and a rate like any other document.
     Columns of the new names are replaced.
     """
@@ -199,10 +197,9 @@ def mix_sources(docs: DataFrame, labels: DataFrame, targets: dict[str, float] |
     scored = posteriors(docs.drop(*(c for c in [*names, "p"] if c in docs.columns)), labels)
     rate = rate_after(fit_rates(scored, targets, max_rate), max_rate)
     drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    near = F.abs(F.col("rate") - F.round("rate")) <= SNAP
     return (
         scored.withColumn("rate", rate)
         .withColumns({f"p_{d}": F.get("p", F.lit(k)) for k, d in enumerate(DOMAINS)})
-        .withColumn("copies", F.when(near, F.round("rate")).otherwise(F.floor(F.col("rate") + drawn)).cast("int"))
+        .withColumn("copies", F.floor(F.col("rate") + drawn).cast("int"))
         .drop("p")
     )

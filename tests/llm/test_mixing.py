@@ -1,6 +1,7 @@
 """op8: posteriors on held-out labels, rates against a dense solver."""
 
 import numpy as np
+import pytest
 from llm.cases import clashing
 from pyspark.sql import functions as F
 
@@ -36,6 +37,18 @@ def test_targets_are_met(spark):
     assert shares["clean"] / total > 0.95 and shares["toxic"] / total < 0.02
 
 
+@pytest.mark.parametrize("junk", [500, 12])
+def test_copies_meet_the_targets(spark, tmp_path, junk):
+    """Junk above its target, where it holds a third of all words, and below it."""
+    words = {0: "good", 2: "junk"}
+    rows = [(i, " ".join(f"{words[2 if i >= 1000 else 0]}{(i * 7 + j * 13) % 40}" for j in range(50))) for i in range(1000 + junk)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i < 1000), 0) for i, _ in rows[::2]], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = op8_mixing(spark, str(tmp_path)).groupBy((F.col("doc_id") >= 1000).alias("junk")).agg(F.sum("n_tokens").alias("words"), F.sum(F.expr("n_tokens * copies")).alias("n")).collect()
+    n = {r["junk"]: r["n"] for r in got}
+    assert abs(n[False] / 50_000 - 1) < 0.02 and 0.02 < n[True] / (n[True] + n[False]) < 0.04
+
+
 def test_held_out_labels(spark):
     base = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{base}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{base}/labels.parquet")

@@ -28,29 +28,31 @@ DOMAINS = ["clean", "toxic", "junk"]
 TARGETS = {"clean": 0.97, "toxic": 0.0, "junk": 0.03}
 #: Words of the classifier, the most telling ones of the labelled documents.
 FEATURES = 300
-#: Beginnings of long words count where they make up at least such a share of them: inflected and compounded words rarely recur whole.
-HEAD, HEAD_SHARE, HEAD_FEATURES = 5, 0.01, 60
+#: Beginnings of words count where they make up at least such shares of a text: inflected and compounded words rarely recur whole.
+HEAD, HEAD_SHARES, HEAD_FEATURES = 5, (0.006, 0.012), 60
 #: At most so many labelled documents train the classifier, those of least hash.
 TRAIN_DOCS = 40_000
 STEPS = 60
 TOLERANCE = 1e-4
 
 
-def tokens(text: Column) -> Column:
-    """Words in lower case without ASCII symbols, and the last two characters of each run of symbols; which occur is all that counts.
+def split_words(text: Column) -> Column:
+    """Words in lower case without ASCII symbols.
 
     The classes are plain ranges: classes of Unicode categories cost several times as much.
     """
-    body = F.lower(F.coalesce(text, F.lit("")))
-    letters = F.split(body, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-    symbols = F.regexp_extract_all(body, F.lit(r"[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+"), F.lit(0))
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def tokens(text: Column, letters: Column) -> Column:
+    """The words and the last two characters of each run of symbols; which occur is all that counts."""
+    symbols = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+"), F.lit(0))
     return F.concat(letters, F.transform(symbols, lambda s: F.concat(F.lit("\t"), F.right(s, F.lit(2)))))
 
 
-def heads(text: Column) -> Column:
-    """The first HEAD letters of each word that has so many, as often as they occur."""
-    letters = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-    return F.transform(F.filter(letters, lambda w: F.char_length(w) >= HEAD), lambda w: F.left(w, F.lit(HEAD)))
+def heads(letters: Column) -> Column:
+    """The first HEAD letters of each word, as often as they occur."""
+    return F.transform(F.filter(letters, lambda w: w != ""), lambda w: F.left(w, F.lit(HEAD)))
 
 
 def frequent(held: DataFrame, share: float) -> DataFrame:
@@ -76,7 +78,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, scratch: Scratch, most: in
     """(y, tokens, heads) of at most ``most`` labelled documents."""
     chosen = domain_of(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    return scratch.stage(labelled.select(F.col("y").cast("double").alias("y"), F.array_distinct(tokens(F.col("text"))).alias("tokens"), heads(F.col("text")).alias("heads")), "training")
+    parts = labelled.select(F.col("y").cast("double").alias("y"), "text", split_words(F.col("text")).alias("letters"))
+    found = F.array_distinct(tokens(F.col("text"), F.col("letters")))
+    return scratch.stage(parts.select("y", found.alias("tokens"), heads(F.col("letters")).alias("heads")), "training")
 
 
 def vocabulary(training: DataFrame, sizes: dict[int, int], most: int = FEATURES) -> list[str]:
@@ -119,9 +123,10 @@ def posteriors(docs: DataFrame, labels: DataFrame) -> DataFrame:
         flat = [1.0 / len(DOMAINS)] * len(DOMAINS) if len(sizes) != 1 else [float(k in sizes) for k in range(len(DOMAINS))]
         return stage(rows.withColumn("p", F.array(*map(F.lit, flat))), "posteriors")
     vectors = [_vectors(terms, "_tokens", "_words", 1.0)]
-    often = vocabulary(frequent(training.select("y", "heads"), HEAD_SHARE), sizes, HEAD_FEATURES)
-    if often:
-        vectors.append(_vectors(often, "_heads", "_starts", HEAD_SHARE))
+    for i, share in enumerate(HEAD_SHARES):
+        often = vocabulary(frequent(training.select("y", "heads"), share), sizes, HEAD_FEATURES)
+        if often:
+            vectors.append(_vectors(often, "_heads", f"_share{i}", share))
     join = VectorAssembler(inputCols=[v.getOutputCol() for v in vectors], outputCol="_x")
 
     def features(df: DataFrame) -> DataFrame:
@@ -134,7 +139,7 @@ def posteriors(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = learn.fit(scratch.stage(seen, "vectors"))
     scratch.clear()
     model.setProbabilityCol("_p").setRawPredictionCol("").setPredictionCol("")
-    rows = rows.withColumn("_tokens", tokens(F.col("text"))).withColumn("_heads", heads(F.col("text")))
+    rows = rows.withColumn("_letters", split_words(F.col("text"))).withColumns({"_tokens": tokens(F.col("text"), F.col("_letters")), "_heads": heads(F.col("_letters"))})
     found = vector_to_array("_p")
     p = F.array(*(F.get(found, F.lit(k)) if k < model.numClasses else F.lit(0.0) for k in range(len(DOMAINS))))
     scored = model.transform(features(rows)).withColumn("p", p)

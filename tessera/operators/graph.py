@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.sources.shared import Scratch
+from tessera.sources.shared import Scratch, dealt_anew
 
 
 def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
-    """``edges`` with the m of their u. Dealing the minima anew leaves plain exchanges on both sides of the join, which AQE can split at a hot u."""
-    return edges.join(least.repartition("m", "u"), "u")
+    """``edges`` with the m of their u; the join can be split at a hot u."""
+    return edges.join(dealt_anew(least, "m", "u"), "u")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -25,6 +25,22 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return up.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def forest_roots(parents: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, root) for (node, parent) rows that make up a forest; roots have no row of their own.
+
+    Every round replaces a parent by its parent, which halves the depth.
+    """
+    at = scratch.stage(parents.select("node", F.col("parent").alias("root")), "roots")
+    while True:
+        above = at.select(F.col("node").alias("root"), F.col("root").alias("above"))
+        moved = scratch.stage(
+            at.join(above, "root", "left").select("node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")), "roots"
+        )
+        at = moved.select("node", "root")
+        if moved.where("moved").isEmpty():
+            return at
+
+
 def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, comp) for the nodes of ``links`` (columns a and b): comp is the least node of the component.
 

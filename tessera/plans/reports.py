@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.encoders import encode_text
-from tessera.functions.vectors import dot
 from tessera.operators.export import bar_percents, organised, unique_names
 from tessera.operators.merge import delete_keys
 from tessera.operators.spatial import grid_cell
@@ -101,12 +99,6 @@ def text_index_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delete_keys(items, table(spark, sf_dir, "documents"), ["text"]).agg(F.count("*").alias("n"))
 
 
-def encoded_self_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Length of the vectors that the stand-in encoder gives to conversation turns."""
-    rows = table(spark, sf_dir, "conversations").where("text is not null and trim(text) <> ''").withColumn("v", encode_text("text"))
-    return rows.groupBy(F.round(dot(F.col("v"), F.col("v")), 6).alias("norm")).agg(F.count("*").alias("n"))
-
-
 def conversation_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of each conversation, who opens it and characters by role."""
     c = table(spark, sf_dir, "conversations")
@@ -120,7 +112,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         export_names, organise_plan, year_bars, cell_fanout, dead_links, next_numbers, qc_summary, accuracy_by_class, interpolated_percentiles, throttled_rows, value_histogram,
-        text_index_misses, encoded_self_similarity, conversation_turns,
+        text_index_misses, conversation_turns,
     )
 }
 
@@ -142,6 +134,5 @@ ORACLES = {
     "throttled_rows": """WITH r AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS i, count(*) OVER () AS n FROM customer) SELECT c_custkey FROM r WHERE i = 1 OR i = n OR i % greatest(1, ceil(n / 30)::INT) = 0""",
     "value_histogram": "SELECT least(255, floor(l_extendedprice / 400))::INT AS bin, count(*) AS n FROM lineitem GROUP BY 1",
     "text_index_misses": "SELECT count(*) AS n FROM (SELECT DISTINCT text FROM benchmark) WHERE text NOT IN (SELECT text FROM documents WHERE text IS NOT NULL)",
-    "encoded_self_similarity": "SELECT 1.0::DOUBLE AS norm, count(*) AS n FROM conversations WHERE text IS NOT NULL AND trim(text) <> ''",
     "conversation_turns": """SELECT conv_id, count(*) AS turns, arg_min(role, (turn, role)) AS opened_by, coalesce(sum(CASE WHEN role = 'user' THEN length(text) END), 0)::BIGINT AS user_chars FROM conversations GROUP BY 1""",
 }

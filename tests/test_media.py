@@ -1,8 +1,7 @@
-"""Folder scans, exports and the stand-in encoder."""
+"""Folder scans and exports."""
 
 from pyspark.sql import functions as F
 
-from tessera.functions.encoders import ctc_text, encode_text, text_vector
 from tessera.operators.export import bar_percents, organised, unique_names
 from tessera.sources.media import distinct_files, folder_totals, log_lines, media_files, scan_files
 
@@ -41,11 +40,3 @@ def test_names_and_folders(spark):
     assert [r["folder"] for r in organised(rows).collect()] == ["2024/a_b", "unknown-year/unknown-place", "unknown-year/unknown-place"]
     bars = spark.createDataFrame([(1.0,), (3.0,), (None,)], "v double").select(bar_percents(F.col("v"), F.lit(1.0), F.lit(3.0)).alias("b"))
     assert [r["b"] for r in bars.collect()] == [8.0, 100.0, 8.0]
-
-
-def test_encoders(spark):
-    rows = spark.createDataFrame([("a cat",), ("",), (None,)], "t string").select(encode_text("t").alias("v")).collect()
-    assert rows[0]["v"] == text_vector("a cat") and sum(x * x for x in rows[0]["v"]) > 0.99
-    assert set(rows[1]["v"]) == {0.0} and rows[2]["v"] is None
-    codes = spark.createDataFrame([([3, 3, 0, 3, 1],), ([],)], "c array<int>").select(ctc_text("c").alias("t"))
-    assert [r["t"] for r in codes.collect()] == ["cca", ""]

@@ -2,12 +2,14 @@
 
 Documents of equal words collapse first. Of the distinct texts, those that
 agree in all coordinates of a band fall into a bucket. A bucket is never
-expanded into pairs: its members are compared with two leaders, the least
-member and one drawn by hash, and every comparison is settled on the texts.
-Buckets whose members then still belong to several components are open; they
-get new leaders, the member with the most links and one drawn anew, for some
-passes. What is open after these is settled exactly: members of different
-components that can be similar enough share one of their rarest shingles.
+expanded into pairs. Its leader is the member that meets most others in all of
+its buckets, and each text is compared, on the texts themselves, with the one
+leader it shares most buckets with: at most one comparison a text. Since
+leaders come earlier in one order of all texts, the links found are a forest,
+whose trees are contracted. Buckets whose members then still belong to several
+trees are settled exactly: members of different trees that can be similar
+enough share one of their rarest shingles. Links between trees, few by then,
+are joined into classes as components of the trees.
 """
 
 from __future__ import annotations
@@ -18,13 +20,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.operators.graph import components
 from tessera.llm.dart_minhash import band_hashes, dart_sketches, shingle_cells
-from tessera.sources.shared import Scratch, arrow_batches, stage
+from tessera.operators.graph import components, forest_roots
+from tessera.sources.columns import Carried
+from tessera.sources.shared import Scratch, arrow_batches, dealt_anew, stage
 from tessera.llm.tokens import byte_words, ragged, slices, word_hashes
 
 WIDTH = 5
@@ -35,8 +38,6 @@ BANDS, ROWS = 25, 5
 SLICE = 200_000
 #: Documents of an Arrow batch, since each carries a hash for every word.
 BATCH_ROWS = 1000
-#: Passes with leaders, which only spare comparisons: what they leave is settled exactly.
-PASSES = 2
 #: Shingles that are told apart by how often they occur, the most frequent ones; this orders shingles and drops none.
 HOT_CELLS = 65_536
 #: Members of one shingle that a task takes at once on one side of the join.
@@ -46,7 +47,7 @@ SALT_ROWS = 500
 def _sketch_batches(width: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens, bounds = ragged(batch.column(batch.schema.get_field_index("_tokens")))
+            tokens, bounds = ragged(batch.column(batch.schema.get_field_index("tokens")))
             prints, sizes, keys = [], [], []
             for start, stop in slices(bounds, SLICE):
                 own = bounds[start : stop + 1] - bounds[start]
@@ -58,32 +59,32 @@ def _sketch_batches(width: int, bands: int, rows: int):
             if not prints:
                 continue
             flat = pa.array(np.concatenate(keys).reshape(-1).view(np.int64))
-            names = [n for n in batch.schema.names if n != "_tokens"]
+            names = [n for n in batch.schema.names if n != "tokens"]
             columns = [batch.column(n) for n in names] + [
                 pa.array(prints, pa.binary()),
                 pa.array(np.concatenate(sizes).astype(np.int64)),
                 pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, bands, dtype=np.int32)), flat),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, "_print", "_size", "_bands"])
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, "print", "size", "bands"])
 
     return run
 
 
 def sketch_rows(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``docs`` with _uid, _print (128 bits of the words), _size (number of shingles) and _bands; written and reread.
+    """``docs`` with uid, print (128 bits of the words), size (number of shingles) and bands; written and reread.
 
-    _uid is fixed by the writing, so it may come from the position of the row.
+    uid is fixed by the writing, so it may come from the position of the row.
     """
     schema = T.StructType(
         [
             *docs.schema.fields,
-            T.StructField("_uid", T.LongType()),
-            T.StructField("_print", T.BinaryType()),
-            T.StructField("_size", T.LongType()),
-            T.StructField("_bands", T.ArrayType(T.LongType())),
+            T.StructField("uid", T.LongType()),
+            T.StructField("print", T.BinaryType()),
+            T.StructField("size", T.LongType()),
+            T.StructField("bands", T.ArrayType(T.LongType())),
         ]
     )
-    ready = docs.withColumn("_uid", F.monotonically_increasing_id()).withColumn("_tokens", word_hashes(F.col("text")))
+    ready = docs.withColumn("uid", F.monotonically_increasing_id()).withColumn("tokens", word_hashes(F.col("text")))
     with arrow_batches(docs.sparkSession, BATCH_ROWS):
         return stage(ready.mapInArrow(_sketch_batches(width, bands, rows), schema), "sketches")
 
@@ -108,44 +109,52 @@ def _verify_batches(width: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, counts = None, Counter()
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            b = batch.column("b").to_pylist()
             keep = np.zeros(batch.num_rows, dtype=bool)
             for i in range(batch.num_rows):
-                if b[i] != last:  # rows come sorted by b
+                if b[i] != last:  # after a merge join the rows of one b follow each other
                     last, counts = b[i], shingle_counts((batch.column("text_b")[i].as_py() or "").encode(), width)
                 keep[i] = similarity(shingle_counts((batch.column("text_a")[i].as_py() or "").encode(), width), counts) >= least
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], names=["a", "b"])
+            yield batch.filter(pa.array(keep)).drop_columns(["text_a", "text_b"])
 
     return run
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
-    """The pairs (a, b) whose texts are at least ``least`` similar."""
+    """The rows of ``pairs`` (long columns, a and b among them) whose texts are at least ``least`` similar."""
     left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify_batches(width, least), "a long, b long")
+    with arrow_batches(pairs.sparkSession, BATCH_ROWS):
+        return both.select(*pairs.columns, "text_a", "text_b").mapInArrow(_verify_batches(width, least), ", ".join(f"{c} long" for c in pairs.columns))
 
 
-def _leader_pairs(members: DataFrame, ranks: list[Column], least: float) -> DataFrame:
-    """Distinct pairs (a, b) of a member a and a leader b of a bucket, of different components and possible by size.
+def bucket_members(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(bucket, node, size, met) of the buckets with two members or more; met is how many members the node's buckets have in all."""
+    banded = nodes.where("size > 0").select(F.explode("bands").alias("bucket"), "node", "size")
+    counts = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    crowded = banded.join(dealt_anew(counts, "n", "bucket"), "bucket")
+    # a node has no more buckets than there are bands
+    return scratch.stage(crowded.select("bucket", "node", "size", F.sum("n").over(Window.partitionBy("node")).alias("met")), "members")
 
-    A leader is the member that comes first by (rank, node); there is one for each rank.
+
+def leader_pairs(members: DataFrame, least: float) -> DataFrame:
+    """(a, b): each node with the leader that it shares most buckets with, if their sizes allow the similarity.
+
+    Leaders are greatest by (met, -node), so every b comes after its a in one order and the pairs form a forest.
     """
-    picks = members.groupBy("bucket").agg(
-        *(F.min(F.struct(r.alias("r"), F.col("node"), F.col("size"), F.col("comp"))).alias(f"l{i}") for i, r in enumerate(ranks)),
-        F.min("comp").alias("_lo"),
-        F.max("comp").alias("_hi"),
-    )
-    picks = picks.where(F.col("_lo") != F.col("_hi")).select("bucket", F.array(*(F.col(f"l{i}").dropFields("r") for i in range(len(ranks)))).alias("leaders"))
-    met = members.join(picks, "bucket").select("node", "size", "comp", F.explode(F.array_distinct("leaders")).alias("leader"))
+    leaders = members.groupBy("bucket").agg(F.max(F.struct("met", (-F.col("node")).alias("no"), "size")).alias("leader"))
+    met = members.join(dealt_anew(leaders, "leader", "bucket"), "bucket")
     fits = F.least("size", "leader.size") >= F.greatest("size", "leader.size") * least
-    return met.where((F.col("comp") != F.col("leader.comp")) & fits).select(F.col("node").alias("a"), F.col("leader.node").alias("b")).distinct()
+    near = met.where((F.col("node") != -F.col("leader.no")) & fits).select("node", "leader.met", "leader.no").repartition("node")
+    shared = near.groupBy("node", "met", "no").agg(F.count("*").alias("n"))
+    best = shared.groupBy("node").agg(F.max(F.struct("n", "met", "no")).alias("best"))
+    return best.select(F.col("node").alias("a"), (-F.col("best.no")).alias("b"))
 
 
 def _cell_batches(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens, bounds = ragged(batch.column(batch.schema.get_field_index("_tokens")))
+            tokens, bounds = ragged(batch.column(batch.schema.get_field_index("tokens")))
             found, sizes = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
             for start, stop in slices(bounds, SLICE):
                 own = bounds[start : stop + 1] - bounds[start]
@@ -196,17 +205,17 @@ def _prefix_batches(hot: np.ndarray, times: np.ndarray, least: float):
     return run
 
 
-def _prefix_pairs(current: DataFrame, texts: DataFrame, width: int, least: float, scratch: Scratch) -> DataFrame:
-    """All pairs (a, b) of different components that can be at least ``least`` similar, among the members of open buckets.
+def cross_pairs(current: DataFrame, texts: DataFrame, width: int, least: float, scratch: Scratch) -> DataFrame:
+    """All pairs (a, b, comp_a, comp_b) of different components that can be at least ``least`` similar, among the members of open buckets.
 
     Similar sets share a cell among the first ones of each in any common order;
-    the rarest come first. Of each cell the holders in its largest component
-    meet the others only, and a hot cell is dealt to several tasks.
+    the rarest come first. Of each cell the holders outside its largest component
+    meet all others, and those of a hot cell are dealt to several tasks.
     """
     spark = texts.sparkSession
-    still = current.groupBy("bucket").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo != _hi").select("bucket")
-    nodes = current.join(still, "bucket").select("node", "comp").distinct()
-    ready = texts.join(nodes, "node").select("node", "comp", word_hashes(F.col("text")).alias("_tokens"))
+    open_ones = current.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi")
+    nodes = current.join(dealt_anew(open_ones, "lo", "bucket"), "bucket").select("node", "comp").distinct()
+    ready = texts.join(nodes, "node").select("node", "comp", word_hashes(F.col("text")).alias("tokens"))
     with arrow_batches(spark, BATCH_ROWS):
         cells = scratch.stage(ready.mapInArrow(_cell_batches(width), "node long, comp long, cells array<long>"), "cells")
         counts = cells.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
@@ -216,9 +225,10 @@ def _prefix_pairs(current: DataFrame, texts: DataFrame, width: int, least: float
         schema = "node long, comp long, size long, cell long, at long, lead boolean"
         prefix = scratch.stage(cells.mapInArrow(_prefix_batches(hot[order], times[order], least), schema), "prefix")
     held = prefix.groupBy("cell", "comp").agg(F.count("*").alias("n")).groupBy("cell")
-    shared = held.agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("all"), F.count("*").alias("comps")).where("comps > 1")
-    salts = F.ceil(F.col("all") / SALT_ROWS).cast("int")
-    rows = prefix.join(shared.select("cell", F.col("most.comp").alias("main"), salts.alias("salts")), "cell")
+    shared = held.agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("all")).where(F.col("all") > F.col("most.n"))
+    salts = F.ceil((F.col("all") - F.col("most.n")) / SALT_ROWS).cast("int")
+    known = dealt_anew(shared.select("cell", F.col("most.comp").alias("main"), salts.alias("salts")), "main", "cell")
+    rows = scratch.stage(prefix.join(known, "cell"), "holders")
     names = ["node", "comp", "size", "at", "lead"]
     left = rows.where("comp != main").select("cell", F.pmod(F.xxhash64("node"), "salts").cast("int").alias("salt"), *(F.col(c).alias(f"l_{c}") for c in names))
     right = rows.select("cell", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *(F.col(c).alias(f"r_{c}") for c in names))
@@ -228,74 +238,52 @@ def _prefix_pairs(current: DataFrame, texts: DataFrame, width: int, least: float
     enough = rest >= (F.col("l_size") + F.col("r_size")) * (least / (1 + least)) - 1e-9
     fits = F.least("l_size", "r_size") >= F.greatest("l_size", "r_size") * least - 1e-9
     met = left.join(right, ["cell", "salt"]).where((F.col("l_comp") != F.col("r_comp")) & fits & enough & F.when(smaller, F.col("l_lead")).otherwise(F.col("r_lead")))
-    return met.select(F.when(smaller, F.col("l_node")).otherwise(F.col("r_node")).alias("a"), F.when(smaller, F.col("r_node")).otherwise(F.col("l_node")).alias("b")).distinct()
+    ends = F.array_sort(F.array(F.struct(F.col("l_node").alias("node"), F.col("l_comp").alias("comp")), F.struct(F.col("r_node").alias("node"), F.col("r_comp").alias("comp"))))
+    sides = met.select(F.get(ends, F.lit(0)).alias("x"), F.get(ends, F.lit(1)).alias("y"))
+    return sides.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.comp").alias("comp_a"), F.col("y.comp").alias("comp_b")).distinct()
+
+
+def linked_components(members: DataFrame, texts: DataFrame, width: int, least: float, scratch: Scratch) -> DataFrame | None:
+    """(node, comp) for the nodes with a similar one, None if there are none."""
+    pairs = scratch.stage(leader_pairs(members, least), "pairs")
+    links = verified(pairs, texts, width, least)
+    trees = forest_roots(links.select(F.col("a").alias("node"), F.col("b").alias("parent")), scratch)
+    labels = trees.select("node", F.col("root").alias("comp"))
+    current = members.select("bucket", "node").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    across = scratch.stage(cross_pairs(scratch.stage(current, "current"), texts, width, least, scratch), "pairs")
+    bridges = scratch.stage(verified(across, texts, width, least), "links")
+    labels = labels.union(labels.select(F.col("comp").alias("node"), "comp").distinct())
+    if bridges.isEmpty():
+        return None if trees.isEmpty() else labels
+    joined = components(bridges.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")), scratch).withColumnsRenamed({"node": "tree", "comp": "whole"})
+    renamed = labels.join(joined, F.col("comp") == F.col("tree"), "left").select("node", F.coalesce("whole", "comp").alias("comp"))
+    # single texts that only a bridge joins have no label yet
+    alone = joined.join(labels, F.col("tree") == F.col("node"), "left_anti").select(F.col("tree").alias("node"), F.col("whole").alias("comp"))
+    return renamed.union(alone)
 
 
 def near_classes(sketches: DataFrame, width: int = WIDTH, least: float = SIMILARITY) -> DataFrame:
-    """(_print, keeper_uid, class_id, class_texts) for each distinct text of ``sketches``.
+    """(print, keeper_uid, class_id, class_texts) for each distinct text of ``sketches``; written and reread.
 
     class_id is the least doc_id of the class (null if all are null), keeper_uid
     the row that stays for it.
     """
-    scratch = Scratch(sketches.sparkSession)
-    nodes = scratch.stage(
-        sketches.groupBy("_print").agg(
-            F.min("_uid").alias("node"), F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "_uid")).alias("best"), F.max("_size").alias("size")
-        ),
-        "nodes",
-    )
-    distinct = sketches.join(nodes.select(F.col("node").alias("_uid"), "size"), "_uid", "left_semi")
-    banded = distinct.where(F.col("_size") > 0).select(F.explode("_bands").alias("bucket"), F.col("_uid").alias("node"), F.col("_size").alias("size"))
-    crowded = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = scratch.stage(banded.join(crowded, "bucket"), "members")
-    texts = scratch.stage(
-        sketches.select(F.col("_uid").alias("node"), "text").join(members.select("node").distinct(), "node", "left_semi"), "texts"
-    )
-    current = members.withColumn("comp", F.col("node"))
-    ranks = [F.lit(0), F.xxhash64("bucket", "node")]
-    links, tried, labels, turn = None, None, None, 0
-    while turn < PASSES:
-        pairs = _leader_pairs(current, ranks, least)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = scratch.stage(pairs, "pairs")
-        new = scratch.stage(verified(pairs, texts, width, least), "links")
-        if new.isEmpty():
-            break
-        links = new if links is None else links.union(new)
-        tried = pairs if tried is None else tried.union(pairs)
-        labels = components(links, scratch)
-        turn += 1
-        ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node")))
-        degrees = ends.groupBy("node").agg(F.count("*").alias("degree"))
-        current = (
-            members.join(labels, "node", "left")
-            .join(degrees, "node", "left")
-            .withColumn("comp", F.coalesce("comp", "node"))
-        )
-        ranks = [-F.coalesce(F.col("degree"), F.lit(0)), F.xxhash64("bucket", "node", F.lit(turn))]
-    pairs = _prefix_pairs(current, texts, width, least, scratch)
-    if tried is not None:
-        pairs = pairs.join(tried.union(tried.select("b", "a")), ["a", "b"], "left_anti")
-    new = scratch.stage(verified(scratch.stage(pairs, "pairs"), texts, width, least), "links")
-    if not new.isEmpty():
-        labels = components(new if links is None else links.union(new), scratch)
-    plain = nodes.select("_print", "node", F.col("best.doc_id").alias("doc_id"), F.col("best._uid").alias("uid"))
-    if labels is None:
-        classes = plain.select("_print", F.col("uid").alias("keeper_uid"), F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_texts"))
-        classes = stage(classes, "classes")
-        scratch.clear()
-        return classes
-    labelled = plain.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    best = labelled.groupBy("comp").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "uid")).alias("best"), F.count("*").alias("class_texts")
-    )
-    classes = labelled.select("_print", "comp").join(best, "comp").select(
-        "_print", F.col("best.uid").alias("keeper_uid"), F.col("best.doc_id").alias("class_id"), "class_texts"
-    )
-    classes = stage(classes, "classes")
-    scratch.clear()
-    return classes
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "uid")).alias("best")
+    with Scratch(sketches.sparkSession) as scratch:
+        grouped = sketches.groupBy("print").agg(F.min("uid").alias("node"), first, F.max("size").alias("size"), F.first("bands").alias("bands"))
+        nodes = scratch.stage(grouped.select("print", "node", F.col("best.doc_id").alias("doc_id"), F.col("best.uid").alias("uid"), "size", "bands"), "nodes")
+        members = bucket_members(nodes, scratch)
+        wanted = scratch.stage(members.select("node").distinct(), "wanted")
+        texts = scratch.stage(sketches.select(F.col("uid").alias("node"), "text").join(wanted, "node", "left_semi"), "texts")
+        labels = linked_components(members, texts, width, least, scratch)
+        plain = nodes.drop("size", "bands")
+        if labels is None:
+            alone = plain.select("print", F.col("uid").alias("keeper_uid"), F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_texts"))
+            return stage(alone, "classes")
+        labelled = scratch.stage(plain.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "labelled")
+        best = labelled.groupBy("comp").agg(first, F.count("*").alias("class_texts"))
+        classes = labelled.select("print", "comp").join(dealt_anew(best, "class_texts", "comp"), "comp")
+        return stage(classes.select("print", F.col("best.uid").alias("keeper_uid"), F.col("best.doc_id").alias("class_id"), "class_texts"), "classes")
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, least: float = SIMILARITY) -> DataFrame:
@@ -303,16 +291,15 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, least: float = SIMILARI
 
     Similarity is the weighted Jaccard similarity of the counts of shingles of
     ``width`` words. Texts of fewer words are one shingle; texts without words
-    (null, empty) form one class of their own. Exactly one row of a class is
-    the keeper: one of least doc_id, null ids last, one of them if ids repeat.
-    Columns of the three names are replaced.
+    (null, empty) form one class of their own; a long text is one row like any
+    other and costs by its words. Exactly one row of a class is the keeper: one
+    of least doc_id, null ids last, one of them if ids or rows repeat. An empty
+    table stays empty. Columns of the three names are replaced, all others pass
+    under any name.
     """
-    clash = [c for c in ("class_id", "class_texts", "is_keeper") if c in docs.columns]
-    sketches = sketch_rows(docs.drop(*clash), width)
+    carried = Carried(docs, ["doc_id", "text"], ["class_id", "class_texts", "is_keeper"])
+    sketches = sketch_rows(carried.df, width)
     classes = near_classes(sketches, width, least)
-    return (
-        sketches.drop("_bands", "_size")
-        .join(classes, "_print")
-        .withColumn("is_keeper", F.col("_uid") == F.col("keeper_uid"))
-        .drop("_print", "_uid", "keeper_uid")
-    )
+    # both are tables, so a class or text of very many rows can be split
+    marked = sketches.drop("bands", "size").join(classes, "print").withColumn("is_keeper", F.col("uid") == F.col("keeper_uid"))
+    return carried.back(marked, "class_id", "class_texts", "is_keeper")

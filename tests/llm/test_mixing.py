@@ -1,35 +1,67 @@
 """op8: posteriors on held-out labels, rates against a dense solver."""
 
+import re
+from collections import Counter
+
 import numpy as np
 import pytest
+import xxhash
 from llm.cases import clashing
 from pyspark.sql import functions as F
 
-from tessera.llm.mixing import DOMAINS, fit_rates, mix_sources, rate_after
+from tessera.llm.mixing import DOMAINS, HEAD_SHARES, TARGETS, UNIT, fit_rates, fitted, mix_sources, rate_after
 from tessera.llm.op8_query import op8_mixing
 
 
+def solved(p, t, targets, top, steps=20_000):
+    """Rates by the same objective with many more steps, and the objective."""
+    base = (t[:, None] * p).sum(axis=0)
+    goal = base[0] / targets["clean"] * np.array([targets[d] for d in DOMAINS])
+    x = np.ones(len(t))
+    for _ in range(steps):
+        x = np.clip(x - p @ ((t @ (p * x[:, None]) - goal) / np.where(base > 0, base, np.inf)), 0, top)
+    return x, lambda v: (((t @ (p * v[:, None]) - goal) ** 2) / np.maximum(base, 1)).sum()
+
+
 def test_rates_against_a_dense_solver(spark):
     rng = np.random.default_rng(3)
-    p = rng.dirichlet([0.3, 0.3, 0.3], 200)
+    p = np.array([rng.multinomial(UNIT, rng.dirichlet([0.3, 0.3, 0.3])) for _ in range(200)])
     t = rng.integers(5, 500, 200)
     targets = {"clean": 0.8, "toxic": 0.05, "junk": 0.15}
-    scored = spark.createDataFrame([(int(n), [float(x) for x in q]) for n, q in zip(t, p)], "n_tokens long, p array<double>")
+    scored = spark.createDataFrame([(i, int(n), *map(int, q)) for i, (n, q) in enumerate(zip(t, p))], "i long, n_tokens long, clean long, toxic long, junk long")
     for top in (1.0, 3.0):
-        got = np.array([r["x"] for r in scored.select("n_tokens", "p", rate_after(fit_rates(scored, targets, top), top).alias("x")).collect()])
-        base = (t[:, None] * p).sum(axis=0)
-        goal = base[0] / 0.8 * np.array([targets[d] for d in DOMAINS])
-        x = np.ones(200)
-        for _ in range(20_000):  # the same objective with many more steps
-            x = np.clip(x - p @ ((t @ (p * x[:, None]) - goal) / base), 0, top)
-
-        def loss(v):
-            return (((t @ (p * v[:, None]) - goal) ** 2) / base).sum()
-
+        got = np.array([r["x"] for r in scored.select("i", rate_after(fit_rates(scored, targets, top), top).alias("x")).orderBy("i").collect()])
+        x, loss = solved(p / UNIT, t, targets, top)
         assert (got >= 0).all() and (got <= top).all()
         assert loss(got) <= loss(x) + 1e-3 * loss(np.ones(200))
 
 
+def test_query_against_brute_force(spark):
+    """Features by regular expressions, posteriors by numpy, rates by a dense solver, copies by the published hash."""
+    base = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{base}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{base}/labels.parquet")
+    model = fitted(docs, labels)
+    rows = op8_mixing(spark, base).join(docs, "doc_id").collect()
+    for r in rows:
+        low = (r["text"] or "").lower()
+        words = [w for w in re.split(r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", low) if w]
+        held = {w.encode() for w in words} | {b"\t" + s[-2:].encode() for s in re.findall(r"[!-/:-@\[-`{-~]+", low)}
+        logits = model.intercepts + sum((model.coefficients[:, i] for t, i in model.index[0].items() if t in held), np.zeros(3))
+        heads = Counter(w[:5].encode() for w in words)
+        for index, share in zip(model.index[1:], HEAD_SHARES):
+            logits = logits + sum((model.coefficients[:, i] for h, i in index.items() if heads[h] and heads[h] >= share * len(words)), np.zeros(3))
+        p = np.exp(logits - logits.max())
+        assert np.abs(p / p.sum() - [r[f"p_{d}"] for d in DOMAINS]).max() < 3 / UNIT
+        assert r["n_tokens"] == len((r["text"] or "").encode().split())
+        seed = xxhash.xxh64_intdigest(r["doc_id"].to_bytes(8, "little", signed=True), 42)
+        drawn = xxhash.xxh64_intdigest(r["text"].encode(), seed) % (1 << 30) / (1 << 30)
+        assert r["copies"] == int(r["rate"] + drawn)
+    got = np.array([r["rate"] for r in rows])
+    x, loss = solved(np.array([[r[f"p_{d}"] for d in DOMAINS] for r in rows]), np.array([r["n_tokens"] for r in rows]), TARGETS, 5.0, 5_000)
+    # the fit ends once a step moves no total by a ten-thousandth of all words
+    assert loss(got) <= loss(x) + 5e-3 * loss(np.ones(len(rows)))
+
+
 def test_targets_are_met(spark):
     rows = op8_mixing(spark, "/root/testdata/sf0.01").where("n_tokens > 0")
     shares = rows.agg(*(F.sum(F.expr(f"n_tokens * p_{d} * rate")).alias(d) for d in DOMAINS)).first()
@@ -59,7 +91,7 @@ def test_held_out_labels(spark):
 
 
 def test_awkward_rows(awkward, empty, labels):
-    names = ["n_tokens", "p_clean", "p_toxic", "p_junk", "rate", "copies", "p"]
+    names = ["n_tokens", "p_clean", "p_toxic", "p_junk", "rate", "copies", "p", "_x", "_words", "_p", "clean", "toxic", "junk", "y"]
     for docs in (awkward, clashing(awkward, names)):
         rows = mix_sources(docs, labels).collect()
         assert len(rows) == awkward.count()

@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -45,27 +46,24 @@ UNIT = 1000
 STEPS = 60
 TOLERANCE = 1e-4
 BATCH_ROWS = 2000
-#: Runs of other ASCII characters than letters and digits part words.
+#: Runs of other ASCII characters than letters and digits part words, as white space of any kind does.
 PARTS = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 SYMBOLS = re.compile(rb"[!-/:-@\[-`{-~]{1,2}(?![!-/:-@\[-`{-~])")
 
 
-def text_parts(text: str | None) -> tuple[set[bytes], list[bytes], int]:
-    """Tokens that occur, words in order and the number of words parted by white space.
+def text_parts(text: str | None) -> tuple[set[str], list[str], int]:
+    """Tokens that occur, words in order and the number of words parted by ASCII white space.
 
     Tokens are the lower-cased words and, after a tab, the last two characters of each run of symbols.
     """
     raw = (text or "").lower().encode()
-    found = raw.translate(PARTS).split()
-    return set(found).union(b"\t" + s for s in SYMBOLS.findall(raw)), found, len(raw.split())
+    found = raw.translate(PARTS).decode().split()
+    return set(found).union("\t" + s.decode() for s in set(SYMBOLS.findall(raw))), found, len(raw.split())
 
 
-def head_counts(words: list[bytes]) -> Counter:
+def head_counts(words: list[str]) -> Counter:
     """How often each beginning of HEAD letters occurs."""
-    out: Counter = Counter()
-    for word, n in Counter(words).items():
-        out[word[:HEAD] if word.isascii() else word.decode()[:HEAD].encode()] += n
-    return out
+    return Counter(map(itemgetter(slice(HEAD)), words))
 
 
 def domain_of(labels: DataFrame) -> DataFrame:
@@ -80,10 +78,10 @@ def _training_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         tokens, heads = [], [[] for _ in HEAD_SHARES]
         for text in batch.column("text"):
             found, words, _ = text_parts(text.as_py())
-            tokens.append([t.decode() for t in found])
+            tokens.append(list(found))
             counts = head_counts(words)
             for out, share in zip(heads, HEAD_SHARES):
-                out.append([h.decode() for h, n in counts.items() if n >= share * len(words)])
+                out.append([h for h, n in counts.items() if n >= share * len(words)])
         columns = [batch.column("y"), pa.array(tokens, kind), *(pa.array(h, kind) for h in heads)]
         yield pa.RecordBatch.from_arrays(columns, names=["y", "tokens", *(f"heads{i}" for i in range(len(HEAD_SHARES)))])
 
@@ -121,7 +119,7 @@ class Classifier:
     def __init__(self, groups: list[list[str]], coefficients: np.ndarray, intercepts: np.ndarray, found: list[int]) -> None:
         self.index, start = [], 0
         for terms in groups:
-            self.index.append({t.encode(): start + i for i, t in enumerate(terms)})
+            self.index.append({t: start + i for i, t in enumerate(terms)})
             start += len(terms)
         self.coefficients, self.intercepts, self.found = coefficients, intercepts, found
 

@@ -44,10 +44,10 @@ def test_query_against_brute_force(spark):
     rows = op8_mixing(spark, base).join(docs, "doc_id").collect()
     for r in rows:
         low = (r["text"] or "").lower()
-        words = [w for w in re.split(r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", low) if w]
-        held = {w.encode() for w in words} | {b"\t" + s[-2:].encode() for s in re.findall(r"[!-/:-@\[-`{-~]+", low)}
+        words = [w for w in re.split(r"[\x00-\x2f\x3a-\x60\x7b-\x7f\s]+", low) if w]
+        held = {*words} | {"\t" + s[-2:] for s in re.findall(r"[!-/:-@\[-`{-~]+", low)}
         logits = model.intercepts + sum((model.coefficients[:, i] for t, i in model.index[0].items() if t in held), np.zeros(3))
-        heads = Counter(w[:5].encode() for w in words)
+        heads = Counter(w[:5] for w in words)
         for index, share in zip(model.index[1:], HEAD_SHARES):
             logits = logits + sum((model.coefficients[:, i] for h, i in index.items() if heads[h] and heads[h] >= share * len(words)), np.zeros(3))
         p = np.exp(logits - logits.max())

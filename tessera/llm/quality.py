@@ -20,8 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.sources.shared import stage
 from tessera.llm.tokens import mix, slices
+from tessera.sources.columns import Carried
+from tessera.sources.shared import arrow_batches, stage
 
 #: Characters that count as symbols (a fixed value of the rules).
 SYMBOLS = "#*$%&|<>"
@@ -33,7 +34,9 @@ BUCKETS = 1 << 16
 TARGET_DOCS = 20_000
 #: Width of the bins in which scores of labelled documents are compared.
 BIN = 0.005
-SLICE = 1_000_000
+#: Bytes of text whose n-grams are arrays at once, and rows of an Arrow batch: both bound the memory of a task.
+SLICE = 250_000
+BATCH_ROWS = 2000
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 COLUMNS = [*FEATURES, "base_failed", "score", "kept"]
 WORD = re.compile(rb"[^\x20\x09-\x0D]")
@@ -68,7 +71,7 @@ def gram_buckets(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
         value = np.zeros(len(data), dtype=np.uint64)
         for n in range(1, max(GRAMS) + 1):
             shifted = np.zeros(len(data), dtype=np.uint64)
-            shifted[: len(data) - n + 1] = data[n - 1 :]
+            shifted[: max(len(data) - n + 1, 0)] = data[n - 1 :]
             value = value | shifted << np.uint64(8 * (n - 1))
             if n in GRAMS:
                 fits = left >= n
@@ -116,7 +119,8 @@ def ratio_table(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     )
     flagged = docs.select("doc_id", "text").join(F.broadcast(good), "doc_id", "left")
     counted = flagged.select("text", F.coalesce("target", F.lit(False)).alias("target")).mapInArrow(_count_batches, "bucket int, raw long, target long")
-    rows = counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
+    with arrow_batches(docs.sparkSession, BATCH_ROWS):
+        rows = counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
     raw, target = np.ones(BUCKETS), np.ones(BUCKETS)
     for r in rows:
         raw[r["bucket"]] += r["raw"]
@@ -181,15 +185,19 @@ def best_cut(scored: DataFrame, labels: DataFrame) -> float:
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """All rows and columns of ``docs`` with n_words ... n_repeat_words, base_failed, score and kept.
 
-    A null text counts as empty: no words, score 0, failed. Labels with null
-    ids or grades don't count; a document labelled both ways counts for both.
-    Columns of ``docs`` with the names of COLUMNS are replaced.
+    A null text counts as empty: no words, score 0, failed. Long texts are
+    scored whole, repeated rows alike, and a score equal to the cut is kept. An
+    empty table stays empty. Labels with null ids or grades don't count; a
+    document labelled both ways counts for both. Columns of ``docs`` with the
+    names of COLUMNS are replaced, all others pass under any name.
     """
-    docs = docs.drop(*(c for c in COLUMNS if c in docs.columns))
-    table = docs.sparkSession.sparkContext.broadcast(ratio_table(docs, labels))
+    spark = docs.sparkSession
+    carried = Carried(docs, ["doc_id", "text"], COLUMNS)
+    table = spark.sparkContext.broadcast(ratio_table(carried.df, labels))
     kinds = [T.LongType()] * len(FEATURES) + [T.DoubleType()]
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema.fields] + [T.StructField(n, k) for n, k in zip([*FEATURES, "score"], kinds)])
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in carried.df.schema.fields] + [T.StructField(n, k) for n, k in zip([*FEATURES, "score"], kinds)])
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    scored = stage(docs.mapInArrow(_score_batches(table), schema).withColumn("base_failed", failed), "scores")
+    with arrow_batches(spark, BATCH_ROWS):
+        scored = stage(carried.df.mapInArrow(_score_batches(table), schema).withColumn("base_failed", failed), "scores")
     cut = best_cut(scored, labels)
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(cut)))
+    return carried.back(scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(cut))), *COLUMNS)

@@ -46,6 +46,46 @@ def test_query(spark, sf_dir):
     check([{**r.asDict(), "text": texts[r["doc_id"]]} for r in rows], texts)
 
 
+def brute_verdicts(texts, labels):
+    """(score, kept) of each document, from n-grams counted one by one and all cuts tried."""
+    def buckets(text):
+        raw = (text or "").encode()
+        return [int(mix(np.array([int.from_bytes(raw[i : i + n], "little") + (n << 56)], dtype=np.uint64))[0]) % BUCKETS for n in GRAMS for i in range(len(raw) - n + 1)]
+
+    grams, good = {d: buckets(t) for d, t in texts.items()}, {d for d, q, x in labels if q == 1 and not x}
+    raw, target = np.ones(BUCKETS), np.ones(BUCKETS)
+    for d, found in grams.items():
+        np.add.at(raw, found, 1)
+        if d in good:
+            np.add.at(target, found, 1)
+    ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    score = {d: ratio[found].mean() if found else 0.0 for d, found in grams.items()}
+    failed = {d for d, t in texts.items() if (c := brute(t))[0] < 50 or 100 * c[4] > 50 * c[0]}
+    bins = [(math.floor(score[d] / 0.005), q == 1) for d, q, _ in labels if q is not None and d in score and d not in failed]
+    n_good, n_bad = sum(g for _, g in bins), sum(not g for _, g in bins)
+    gains = {b: sum(g for x, g in bins if x > b) / n_good + sum(not g for x, g in bins if x <= b) / n_bad for b, _ in bins}
+    at = min(gains, key=lambda b: (-round(gains[b], 12), b))
+    cut = (at + 1 + max(min((b for b in gains if b > at), default=at + 1), at + 1)) / 2 * 0.005 if gains[at] > 1 else -math.inf
+    return {d: (s, d not in failed and s >= cut) for d, s in score.items()}
+
+
+def test_scores_and_verdicts_against_brute_force(spark):
+    base = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{base}/documents.parquet").collect()}
+    labels = {(r["doc_id"], r["quality"], r["toxic"]) for r in spark.read.parquet(f"{base}/labels.parquet").collect()}
+    expected = brute_verdicts(texts, labels)
+    for r in op5_quality_rules(spark, base).collect():
+        score, kept = expected[r["doc_id"]]
+        assert math.isclose(r["score"], score, abs_tol=1e-9) and r["kept"] == kept
+
+
+def test_tiny_texts(spark):
+    for text in ["", "a", "ok", "abc", "abcd", "é", "😀x"]:
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string").coalesce(1)
+        check(score_documents(docs, docs.selectExpr("doc_id", "1 AS quality", "0 AS toxic")).collect(), [1])
+    assert len(gram_buckets(np.frombuffer(b"ok", dtype=np.uint8), np.array([0, 2]))[0]) == 1
+
+
 def test_awkward_rows(awkward, empty, labels):
     check(score_documents(awkward, labels).collect(), awkward.collect())
     check(score_documents(clashing(awkward, COLUMNS), labels).collect(), awkward.collect())

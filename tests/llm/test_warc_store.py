@@ -10,7 +10,7 @@ from llm.cases import clashing
 from tessera.llm.op4_query import ORACLES, op4_warc
 from tessera.llm.warc_store import read_catalog, restore_records, write_archive
 
-ROWS = [(1, "http://a/", "same"), (2, "http://b/", "same"), (2, "http://b/", "same"), (3, None, "other é"), (None, "http://n/", None), (4, "http://x/\r\ny", ""), (None, None, "same"), (5, "u", "z" * 100_000)]
+ROWS = [(1, "http://a/", "same"), (2, "http://b/", "same"), (2, "http://b/", "same"), (3, None, "other é"), (None, "http://n/", None), (4, "http://x/\r\ny", ""), (None, None, "same"), (5, "u", "z" * 100_000), (6, "http://a/\u2028WARC-Page-ID: 77\x85WARC-Type: x\u2029\x0b \r\nWARC-Page-ID: 78", "sep")]
 
 
 @pytest.fixture(scope="module")
@@ -31,6 +31,11 @@ def test_catalog(spark, pages):
     assert sorted((str(r["page_id"]), r["record_type"], r["refers_to"]) for r in empty) == [("4", "response", None), ("None", "revisit", 4)]
 
 
+def test_separators_in_a_url(spark, pages):
+    record = next(bytes(r["record"]).decode() for r in restore_records(spark, write_archive(pages)).collect() if r["page_id"] == 6)
+    assert "WARC-Target-URI: http://a/%E2%80%A8WARC-Page-ID:%2077%C2%85WARC-Type:%20x%E2%80%A9%0B%20%0D%0AWARC-Page-ID:%2078\r\n" in record
+
+
 def test_small_payloads_are_all_responses(spark, pages):
     rows = read_catalog(spark, write_archive(pages, min_bytes=5)).collect()
     assert all(r["record_type"] == "response" for r in rows)
@@ -73,7 +78,7 @@ def test_damage_is_noticed(spark, pages):
 
 def test_empty_and_clashing(spark, pages):
     assert read_catalog(spark, write_archive(pages.limit(0))).count() == 0
-    assert read_catalog(spark, write_archive(clashing(pages.withColumnRenamed("url", "doc_id"), ["key", "payload", "seq"]).withColumnRenamed("doc_id", "url"))).count() == len(ROWS)
+    assert read_catalog(spark, write_archive(clashing(pages.withColumnRenamed("url", "doc_id"), ["key", "payload", "seq", "digest", "n", "id", "header", "response", "record_type"]).withColumnRenamed("doc_id", "url"))).count() == len(ROWS)
 
 
 def test_query(spark, sf_dir):

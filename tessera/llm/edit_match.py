@@ -19,9 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.sources.columns import Carried
+
 #: Everything but letters and digits counts as one space.
 GAP = re.compile(r"[\W_]+")
 ERROR_RATE = 0.08
+#: Items of fewer words are no queries.
+LEAST_WORDS = 3
 #: Characters of passages in one broadcast; larger sets are searched block by block.
 BLOCK_CHARS = 4_000_000
 
@@ -131,9 +135,11 @@ def _search(block, rate: float):
     return run
 
 
-def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
+def _blocks(items: DataFrame, least_words: int) -> Iterator[list[tuple[int, str]]]:
     block, size = [], 0
     for row in items.select("item_id", "text").where("item_id is not null and text is not null").toLocalIterator():
+        if len(plain(row["text"]).split()) < least_words:
+            continue
         if size and size + len(row["text"]) > BLOCK_CHARS:
             yield block
             block, size = [], 0
@@ -143,28 +149,34 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield block
 
 
-def contamination(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, least_words: int = LEAST_WORDS) -> DataFrame:
     """All rows and columns of ``docs`` with found (item ids and distances), n_items and contaminated.
 
     A passage is found where some stretch of the text is within ``rate`` times
     its length of it in edits, both in the form of ``plain``. Null and empty
-    texts hold nothing. Items with a null id or text are ignored; of items with
-    the same id the nearest counts. The items are the stated queries: they reach
-    the tasks in blocks of at most BLOCK_CHARS characters, every block against
-    all rows. Columns of the three names are replaced.
+    texts hold nothing; repeated rows are marked alike, long texts searched
+    whole, in time that grows with their length and, where pieces hit, with that
+    of the items. Items with a null id or text, and those of fewer than
+    ``least_words`` words, which say nothing about where a text comes from, are
+    no queries; of items with the same id the nearest counts. The items are the
+    stated queries: they reach the tasks in blocks of at most BLOCK_CHARS
+    characters, every block against all rows. An empty table stays empty.
+    Columns of the three names are replaced, all others pass under any name.
     """
     empty = F.array().cast("array<struct<item_id:bigint,distance:int>>")
-    rows = docs.withColumn("found", empty)
+    carried = Carried(docs, ["text"], ["found", "n_items", "contaminated"])
+    rows = carried.df.withColumn("found", empty)
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in rows.schema.fields])
-    for block in _blocks(items):
+    for block in _blocks(items, least_words):
         rows = rows.mapInArrow(_search(docs.sparkSession.sparkContext.broadcast(block), rate), schema)
     distinct = F.aggregate(
         F.array_sort("found"),
         empty,
         lambda out, hit: F.when(F.get(out, F.size(out) - 1)["item_id"] == hit["item_id"], out).otherwise(F.concat(out, F.array(hit))),
     )
-    return (
+    marked = (
         rows.withColumn("found", F.when(F.size("found") > 1, distinct).otherwise(F.col("found")))
         .withColumn("n_items", F.size("found").cast("long"))
         .withColumn("contaminated", F.col("n_items") > 0)
     )
+    return carried.back(marked, "found", "n_items", "contaminated")

@@ -32,6 +32,8 @@ TRAIN, DELETED, HELD_OUT = 0, 1, 2
 BLOCK_TOKENS = 1_600_000
 #: Texts of an Arrow batch, since each carries a hash for every word.
 BATCH_ROWS = 1000
+#: Rows of one batch on the way to the ranges.
+SENT_ROWS = 1024
 #: Context frequencies 0, 1, 2-3, 4-7, ... up to 2**46 and above.
 CONTEXT_BUCKETS = 48
 EM_STEPS = 12
@@ -133,13 +135,16 @@ class Block:
         return words, np.bincount(self.pair_of[chosen], minlength=len(self.pair_keys))
 
 
-def range_cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each of the equal ranges of the hash space starts in the sorted ``keys``."""
-    width = (1 << 64) // buckets + 1
-    return np.searchsorted(keys, np.array([i * width for i in range(buckets)], dtype=np.uint64))
+def range_cuts(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The equal ranges of the hash space that the sorted ``keys`` touch, and where each starts and ends in them."""
+    held = (keys // np.uint64((1 << 64) // buckets + 1)).astype(np.int64)
+    starts = np.flatnonzero(np.diff(held, prepend=-1))
+    return held[starts], np.append(starts, len(keys))
 
 
 def _key_batches(buckets: int):
+    """Rows of KEY_SCHEMA; a block sends one to each range that it has an n-gram in, so never more than it has n-grams."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
         names = [x.split()[0] for x in KEY_SCHEMA.split(", ")]
@@ -148,12 +153,13 @@ def _key_batches(buckets: int):
                 block = Block(row)
                 train, deleted = block.counts(TRAIN), block.counts(DELETED)
                 for kind, keys in ((0, block.word_keys[block.word_order]), (1, block.pair_keys)):
-                    cuts = [*range_cuts(keys, buckets), len(keys)]
-                    out = []
-                    for bucket, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                        if a < b:
-                            out.append((kind, bucket, row["block"], pack(np.diff(keys[a:b], prepend=np.uint64(0))), pack(train[kind][a:b]), pack(deleted[kind][a:b])))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+                    ranges, cuts = range_cuts(keys, buckets)
+                    for at in range(0, len(ranges), SENT_ROWS):
+                        out = [
+                            (kind, int(r), row["block"], pack(np.diff(keys[a:b], prepend=np.uint64(0))), pack(train[kind][a:b]), pack(deleted[kind][a:b]))
+                            for r, a, b in zip(ranges[at : at + SENT_ROWS], cuts[at:], cuts[at + 1 :])
+                        ]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
     return run
 
@@ -284,8 +290,10 @@ def score_corpus(docs: DataFrame, part: Column) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row for each row of ``docs``.
 
     ``part`` says TRAIN, DELETED or HELD_OUT for each row; DELETED rows belong
-    to the training texts. A null or empty text is one END. Rows of equal id
-    are texts of their own. Without training texts every estimate but the
+    to the training texts. A null or empty text is one END. Rows of equal id,
+    repeated ones too, are texts of their own; a long text is a block of its
+    own. An empty table gives an empty one. Further columns don't pass, whatever
+    their names. Without training texts every estimate but the
     uniform one is zero, and without deleted ones the weights keep their start.
     """
     spark = docs.sparkSession

@@ -11,8 +11,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.sources.shared import stage
+from tessera.sources.columns import Carried
+from tessera.sources.shared import Scratch, stage
 
 WHITE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -24,6 +26,13 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
+def document_number(docs: DataFrame) -> Column:
+    """The id as a long; ids of other types by a hash, null below all others."""
+    kind = docs.schema["doc_id"].dataType
+    number = F.col("doc_id").cast("long") if isinstance(kind, T.IntegralType) else F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id"))
+    return F.coalesce(number, F.lit(NULL_ID))
+
+
 def line_rows(docs: DataFrame, min_chars: int) -> DataFrame:
     """(h, doc, row, pos) for each line whose key has at least ``min_chars`` code points.
 
@@ -35,7 +44,7 @@ def line_rows(docs: DataFrame, min_chars: int) -> DataFrame:
     )
     hashed = F.transform(long_lines, lambda r: F.struct(F.unhex(F.md5(F.translate(r["key"], UPPER, LOWER))).alias("h"), r["pos"].alias("pos")))
     return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"),
+        document_number(docs).alias("doc"),
         F.xxhash64("text").alias("row"),
         F.explode(hashed).alias("line"),
     ).select("line.h", "doc", "row", "line.pos")
@@ -79,11 +88,11 @@ def positions_of(bitmap: Column) -> Column:
     return F.flatten(F.transform(bitmap, lambda r: F.sequence(r["start"], r["start"] + r["length"] - 1)))
 
 
-def line_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
+def line_bitmaps(docs: DataFrame, scratch: Scratch, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """(doc, row, dropped_runs) for the documents that lose lines."""
-    lines = stage(line_rows(docs, min_chars), "lines")
+    lines = scratch.stage(line_rows(docs, min_chars), "lines")
     # read from a table, both sides of the join are plain exchanges, so a line of very many documents can be split
-    shared = stage(shared_lines(lines, min_docs).select("h", "keeper"), "shared")
+    shared = scratch.stage(shared_lines(lines, min_docs).select("h", "keeper"), "shared")
     lost = lines.join(shared, "h").where(F.col("doc") < F.col("keeper"))
     return (
         lost.groupBy("doc", "row")
@@ -95,26 +104,20 @@ def line_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """All rows of ``docs`` with n_lines, n_dropped, dropped_runs and kept_text.
 
-    A null or empty text is one empty line. Rows of equal id and text share
-    their bitmap; rows of equal id count as one document. Null ids count as one
-    document whose id is below all others. Other columns pass through, except
-    that columns of the four names above are replaced.
+    A null or empty text is one empty line; long texts are split whole. Rows of
+    equal id and text share their bitmap; rows of equal id count as one
+    document, ids that are no whole numbers by a hash. Null ids count as one
+    document whose id is below all others. An empty table stays empty. Columns
+    of the four names above are replaced, all others pass under any name.
     """
-    marks = line_bitmaps(docs, min_chars, min_docs).withColumnsRenamed({"doc": "_doc", "row": "_row", "dropped_runs": "_runs"})
-    keyed = docs.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).withColumn("_r", F.xxhash64("text"))
-    joined = keyed.join(marks, (F.col("_d") == F.col("_doc")) & (F.col("_r") == F.col("_row")), "left")
+    carried = Carried(docs, ["doc_id", "text"], ["n_lines", "n_dropped", "dropped_runs", "kept_text"])
+    keyed = carried.df.withColumn("doc", document_number(carried.df)).withColumn("row", F.xxhash64("text"))
+    with Scratch(docs.sparkSession) as scratch:
+        marks = stage(line_bitmaps(carried.df, scratch, min_chars, min_docs), "bitmaps")
+    joined = keyed.join(marks, ["doc", "row"], "left")
     lines = lines_of(F.col("text"))
-    gone = positions_of(F.coalesce(F.col("_runs"), F.array().cast("array<struct<start:int,length:int>>")))
-    return (
-        joined.withColumn("n_lines", F.size(lines).cast("long"))
-        .withColumn("_gone", gone)
-        .withColumn("n_dropped", F.size("_gone").cast("long"))
-        .withColumn(
-            "kept_text",
-            F.when(F.col("n_dropped") == 0, F.coalesce(F.col("text"), F.lit(""))).otherwise(
-                F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone")), lambda i: F.get(lines, i)), "\n")
-            ),
-        )
-        .withColumn("dropped_runs", F.col("_runs"))
-        .drop("_d", "_r", "_doc", "_row", "_runs", "_gone")
-    )
+    gone = positions_of(F.coalesce(F.col("dropped_runs"), F.array().cast("array<struct<start:int,length:int>>")))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone")), lambda i: F.get(lines, i))
+    counted = joined.withColumn("n_lines", F.size(lines).cast("long")).withColumn("gone", gone).withColumn("n_dropped", F.size("gone").cast("long"))
+    whole = F.when(F.col("n_dropped") == 0, F.coalesce(F.col("text"), F.lit(""))).otherwise(F.array_join(kept, "\n"))
+    return carried.back(counted.withColumn("kept_text", whole), "n_lines", "n_dropped", "dropped_runs", "kept_text")

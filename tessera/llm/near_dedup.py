@@ -124,8 +124,7 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> Da
     """The rows of ``pairs`` (long columns, a and b among them) whose texts are at least ``least`` similar."""
     left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    with arrow_batches(pairs.sparkSession, BATCH_ROWS):
-        return both.select(*pairs.columns, "text_a", "text_b").mapInArrow(_verify_batches(width, least), ", ".join(f"{c} long" for c in pairs.columns))
+    return both.select(*pairs.columns, "text_a", "text_b").mapInArrow(_verify_batches(width, least), ", ".join(f"{c} long" for c in pairs.columns))
 
 
 def bucket_members(nodes: DataFrame, scratch: Scratch) -> DataFrame:
@@ -212,18 +211,16 @@ def cross_pairs(current: DataFrame, texts: DataFrame, width: int, least: float,
     the rarest come first. Of each cell the holders outside its largest component
     meet all others, and those of a hot cell are dealt to several tasks.
     """
-    spark = texts.sparkSession
     open_ones = current.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi")
     nodes = current.join(dealt_anew(open_ones, "lo", "bucket"), "bucket").select("node", "comp").distinct()
     ready = texts.join(nodes, "node").select("node", "comp", word_hashes(F.col("text")).alias("tokens"))
-    with arrow_batches(spark, BATCH_ROWS):
-        cells = scratch.stage(ready.mapInArrow(_cell_batches(width), "node long, comp long, cells array<long>"), "cells")
-        counts = cells.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-        top = counts.orderBy(F.desc("n"), "cell").limit(HOT_CELLS).toArrow()
-        hot, times = top.column("cell").to_numpy().view(np.uint64), top.column("n").to_numpy()
-        order = np.argsort(hot)
-        schema = "node long, comp long, size long, cell long, at long, lead boolean"
-        prefix = scratch.stage(cells.mapInArrow(_prefix_batches(hot[order], times[order], least), schema), "prefix")
+    cells = scratch.stage(ready.mapInArrow(_cell_batches(width), "node long, comp long, cells array<long>"), "cells")
+    counts = cells.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
+    top = counts.orderBy(F.desc("n"), "cell").limit(HOT_CELLS).toArrow()
+    hot, times = top.column("cell").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    order = np.argsort(hot)
+    schema = "node long, comp long, size long, cell long, at long, lead boolean"
+    prefix = scratch.stage(cells.mapInArrow(_prefix_batches(hot[order], times[order], least), schema), "prefix")
     held = prefix.groupBy("cell", "comp").agg(F.count("*").alias("n")).groupBy("cell")
     shared = held.agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("all")).where(F.col("all") > F.col("most.n"))
     salts = F.ceil((F.col("all") - F.col("most.n")) / SALT_ROWS).cast("int")
@@ -269,7 +266,7 @@ def near_classes(sketches: DataFrame, width: int = WIDTH, least: float = SIMILAR
     the row that stays for it.
     """
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "uid")).alias("best")
-    with Scratch(sketches.sparkSession) as scratch:
+    with Scratch(sketches.sparkSession) as scratch, arrow_batches(sketches.sparkSession, BATCH_ROWS):
         grouped = sketches.groupBy("print").agg(F.min("uid").alias("node"), first, F.max("size").alias("size"), F.first("bands").alias("bands"))
         nodes = scratch.stage(grouped.select("print", "node", F.col("best.doc_id").alias("doc_id"), F.col("best.uid").alias("uid"), "size", "bands"), "nodes")
         members = bucket_members(nodes, scratch)

@@ -13,7 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.sources.shared import shared_path
+from tessera.sources.columns import Carried
+from tessera.sources.shared import Scratch, shared_path, stage
 
 
 @dataclass(frozen=True)
@@ -88,7 +89,8 @@ def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A table of the ledger, empty where nothing was written yet."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        return spark.createDataFrame([], schema)
+        kinds = [field.split(" ", 1) for field in schema.split(", ")]
+        return spark.range(0).select(*(F.lit(None).cast(kind).alias(name) for name, kind in kinds))
     return spark.read.schema(schema).parquet(path)
 
 
@@ -100,6 +102,11 @@ def findings(spark: SparkSession, ledger: Ledger) -> DataFrame:
     return _read(spark, ledger.findings, f"blob string, kind string, version int, spans {SPAN}")
 
 
+def _current(rules: tuple[Rule, ...]) -> Column:
+    """Rows of the ledger that belong to one of ``rules`` in its present version."""
+    return F.struct("kind", "version").isin(*(F.struct(F.lit(r.kind), F.lit(r.version)) for r in rules))
+
+
 def scan_new(versions: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES) -> None:
     """Scan the (blob, rule version) pairs of ``versions`` that the ledger lacks, and append to it.
 
@@ -108,8 +115,7 @@ def scan_new(versions: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULE
     a run that dies in between is simply done again.
     """
     spark = versions.sparkSession
-    wanted = spark.createDataFrame([(r.kind, r.version) for r in rules], "kind string, version int")
-    known = scanned_pairs(spark, ledger).join(F.broadcast(wanted), ["kind", "version"], "left_semi")
+    known = scanned_pairs(spark, ledger).where(_current(rules))
     done = known.groupBy("blob").agg(F.collect_set("kind").alias("kinds"))
     fresh = blobs(versions).join(done, "blob", "left").where(F.col("kinds").isNull() | (F.size("kinds") < len(rules)))
     kinds = F.coalesce(F.col("kinds"), F.array().cast("array<string>"))
@@ -130,30 +136,33 @@ def scan_new(versions: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULE
             )
         ).alias("r"),
     ).select("blob", "r.*")
-    written = shared_path(spark, "scan")
-    results.write.parquet(written)
-    new = spark.read.schema(f"blob string, kind string, version int, spans {SPAN}").parquet(written)
-    new.where(F.size("spans") > 0).coalesce(64).write.mode("append").parquet(ledger.findings)
-    new.select("blob", "kind", "version").write.mode("append").parquet(ledger.scanned)
+    with Scratch(spark) as scratch:
+        new = scratch.stage(results, "scan")
+        new.where(F.size("spans") > 0).hint("rebalance").write.mode("append").parquet(ledger.findings)
+        new.select("blob", "kind", "version").write.mode("append").parquet(ledger.scanned)
 
 
 def findings_by_path(versions: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """All rows of ``versions`` without text, with ``found``: spans of the rules by start, then order of the rules.
 
-    Rows without findings have an empty list. Rows of equal text share their
-    findings; the join on a blob of very many paths can be split.
+    Rows without findings have an empty list; a null text is an empty one, long
+    texts are scanned whole. Rows of equal text, repeated ones too, share their
+    findings; the join on a blob of very many paths can be split. An empty table
+    stays empty. A column found is replaced, all others pass under any name.
     """
     spark = versions.sparkSession
-    wanted = spark.createDataFrame([(r.kind, r.version) for r in rules], "kind string, version int")
     own = (
         findings(spark, ledger)
-        .join(F.broadcast(wanted), ["kind", "version"], "left_semi")
+        .where(_current(rules))
         .dropDuplicates(["blob", "kind", "version"])
         .groupBy("blob")
         .agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("found"))
     )
-    paths = versions.withColumn("blob", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)).drop("text", "found")
-    return paths.join(own, "blob", "left").withColumn("found", F.coalesce("found", F.array().cast(SPAN)))
+    carried = Carried(versions, ["text"], ["found"])
+    paths = carried.df.withColumn("blob", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)).drop("text")
+    # both are plain exchanges, since the findings are a table
+    joined = paths.join(stage(own, "found"), "blob", "left").withColumn("found", F.coalesce("found", F.array().cast(SPAN)))
+    return carried.back(joined, "found", without=["text"])
 
 
 def spans_text(found: Column) -> Column:

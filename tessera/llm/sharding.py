@@ -11,11 +11,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.sources.columns import Carried
+
 #: Multiplier of the 64-bit linear congruential generator of the published algorithm.
 LCG = 2862933555777941757
 MASK32 = 0xFFFFFFFF
 #: Jumps that are computed for each row before the (practically unused) exact tail.
 USUAL_JUMPS = 64
+#: Offsets that are broadcast at most: shards times buckets.
+MOST_OFFSETS = 1 << 18
+NEW_COLUMNS = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
 
 
 def _low32(a: Column, b0: int, b1: int) -> Column:
@@ -69,53 +74,56 @@ def assign_shards(df: DataFrame, key: str, shards: int) -> DataFrame:
     """Add ``shard`` and ``grown_shard``, the shard once one more shard is appended.
 
     Rows with equal keys share a shard; null keys all go to the shard of key 0.
-    An empty table stays empty. Existing columns of these two names are replaced.
+    An empty table stays empty. Existing columns of these two names are replaced; shard_state is a working name.
     """
     return (
-        df.withColumn("_jump", jump_state(shard_key(df, key), shards))
-        .withColumn("shard", F.col("_jump.b").cast("int"))
-        .withColumn("grown_shard", F.when(F.col("_jump.j") == shards, F.lit(shards)).otherwise(F.col("_jump.b")).cast("int"))
-        .drop("_jump")
+        df.withColumn("shard_state", jump_state(shard_key(df, key), shards))
+        .withColumn("shard", F.col("shard_state.b").cast("int"))
+        .withColumn("grown_shard", F.when(F.col("shard_state.j") == shards, F.lit(shards)).otherwise(F.col("shard_state.b")).cast("int"))
+        .drop("shard_state")
     )
 
 
 def number_slots(df: DataFrame, order: list[str], shards: int, buckets: int = 1024) -> DataFrame:
-    """Add ``slot``, gapless from 0 within each ``shard``.
+    """Add ``slot``, gapless from 0 within each ``shard``; columns that begin with slot_ are working names.
 
     A shard can hold a sixteenth of the corpus, so it is never one window
     partition: its rows are spread over ``buckets`` by a checksum of the
     ``order`` columns, numbered within their bucket, and moved up by the sizes
-    of the buckets before it. Those sizes are at most shards * buckets rows.
-    Ties in ``order`` are rows that can't be told apart by it; they get
-    consecutive slots.
+    of the buckets before it. Those sizes are at most MOST_OFFSETS rows, some MB,
+    so they are broadcast. Ties in ``order`` are rows that can't be told apart by
+    it; they get consecutive slots.
     """
+    if shards * buckets > MOST_OFFSETS:
+        raise ValueError(f"{shards} shards of {buckets} buckets are more than {MOST_OFFSETS}")
     text = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in order))
-    rows = df.withColumn("_bucket", F.pmod(F.crc32(text.cast("binary")), F.lit(buckets)).cast("int"))
-    sizes = rows.groupBy("shard", "_bucket").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("shard", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    if shards * buckets <= 1 << 18:  # at most some MB, whatever the size of the corpus
-        offsets = F.broadcast(offsets)
-    within = Window.partitionBy("shard", "_bucket").orderBy(*(F.col(c).asc_nulls_first() for c in order))
+    rows = df.withColumn("slot_bucket", F.pmod(F.crc32(text.cast("binary")), F.lit(buckets)).cast("int"))
+    sizes = rows.groupBy("shard", "slot_bucket").agg(F.count("*").alias("slot_n"))
+    before = Window.partitionBy("shard").orderBy("slot_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("shard", "slot_bucket", F.coalesce(F.sum("slot_n").over(before), F.lit(0)).alias("slot_offset"))
+    within = Window.partitionBy("shard", "slot_bucket").orderBy(*(F.col(c).asc_nulls_first() for c in order))
     return (
-        rows.withColumn("_at", F.row_number().over(within))
-        .join(offsets, ["shard", "_bucket"])
-        .withColumn("slot", F.col("_offset") + F.col("_at") - 1)
-        .drop("_bucket", "_at", "_offset")
+        rows.withColumn("slot_at", F.row_number().over(within))
+        .join(F.broadcast(offsets), ["shard", "slot_bucket"])
+        .withColumn("slot", F.col("slot_offset") + F.col("slot_at") - 1)
+        .drop("slot_bucket", "slot_at", "slot_offset")
     )
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "text") -> DataFrame:
     """All columns of ``docs`` with size, text_crc32, law, shard, slot and grown_shard.
 
-    A null text counts as empty (size 1, checksum 0). Rows repeated exactly get
-    the same shard and slots of their own.
+    A null text counts as empty (size 1, checksum 0), a null key as key 0; long
+    texts count whole. Rows repeated exactly get the same shard and slots of
+    their own. An empty table stays empty. Columns of the new names are
+    replaced, all others pass under any name.
     """
+    carried = Carried(docs, [key, text], NEW_COLUMNS)
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = (
-        assign_shards(docs, key, shards)
+        assign_shards(carried.df, key, shards)
         .withColumn("size", (F.octet_length(body) + 1).cast("long"))
         .withColumn("text_crc32", F.crc32(body.cast("binary")))
         .withColumn("law", F.lit("key"))
     )
-    return number_slots(rows, [key, "text_crc32", "size"], shards)
+    return carried.back(number_slots(rows, [key, "text_crc32", "size"], shards), *NEW_COLUMNS)

@@ -2,11 +2,12 @@
 
 import html
 import re
+import time
 
 import pytest
 from llm.cases import clashing
 
-from tessera.llm.line_blocks import extract_pages, main_text, surge_and_dive
+from tessera.llm.line_blocks import extract_pages, main_text, stretches, tokens
 from tessera.llm.op3_query import op3_html_extraction
 
 BODY = "<p>A long paragraph with <b>many</b> words &amp; a <a href='x'>link</a>, going on and on for a while.</p><p>Short.</p>"
@@ -39,9 +40,46 @@ def test_pages(page, text):
     assert main_text(page) == text
 
 
+LONG = "Words of a paragraph that is long enough to make a surge of its own in any window of lines here."
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<body class='single comments-open'>{BODY}</body>", TEXT),
+        (f"<article class='post comments-enabled'>{BODY}</article>", TEXT),
+        (f"<div class='content has-sidebar'><article>{BODY}</article></div>", TEXT),
+        (f"<div id='page' class='nav-open'><main>{BODY}</main></div>", TEXT),
+        (f"<div class='widget-area'><article>{BODY}</article>no</div>", TEXT),
+        (f"<html><head><meta charset=utf-8><title>no</title><link rel=x><article>{BODY}</article>", TEXT),
+        (f"<html><head><title>no</title><body>{BODY}", TEXT),
+        (f"<article><p>One</p><button>no{BODY}</article>", "One\n" + TEXT),
+        (f"<article><p>One</p><textarea>{BODY}</article>", "One\n" + TEXT),
+        (f"<article>{BODY}<select><option>no<option>no</select><p>after</p></article>", TEXT + "\nafter"),
+        (f"<body><div class='text'><p>{LONG}</p></div><div class=ad><div><div>no</div></div></div><div class='text'><p>{LONG} Again.</p><p>End.</p></div></body>", f"{LONG}\n{LONG} Again.\nEnd."),
+        (f"<body><section><p>{LONG}</p></section><section><p>{LONG} Two.</p><p><a href=x>A link alone</a></p><p>{LONG}</p></section></body>", f"{LONG}\n{LONG} Two.\nA link alone\n{LONG}"),
+        (f"<body><div><a href=1>Home</a></div><div><a href=2>News</a></div><div><a href=3>Sport</a></div><p>{LONG}</p><p>if a <b and c> d, 1 < 2</p></body>", f"{LONG}\nif a <b and c> d, 1 < 2"),
+        (f"<main><article>{BODY}</article><article><h2>Second</h2><p>{LONG}</p></article></main>", f"{TEXT}\nSecond\n{LONG}"),
+        (f"<article>{BODY}<article class='comment'><p>{LONG}</p></article><div id='comment-7'>{LONG}</div></article>", TEXT),
+        (f"<article><p class=x title='a=\"b' data-y=z>{LONG}</p><img alt=\"a > b\"><svg><text>no</text></svg></article>", LONG),
+    ],
+)
+def test_structures(page, text):
+    assert main_text(page) == text
+
+
 def test_surge_and_dive():
-    assert surge_and_dive([5, 0, 0, 0, 50, 0, 60, 0, 0, 0, 9]) == (2, 6)
-    assert surge_and_dive([0, 0]) is None
+    assert stretches([5, 0, 0, 0, 50, 0, 60, 0, 0, 0, 9]) == [(0, 1, False), (2, 7, True), (8, 11, False)]
+    assert stretches([0, 0]) == []
+    assert stretches([9, 0, 0, 0, 90, 0, 0, 0, 0, 81]) == [(0, 1, False), (2, 5, True), (7, 10, True)]
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<a b=\"", "<a b='x>", "<b><i>", "<div>", "<ul><li>", "<!--", "</p", "<p class=\"a", "<script", "<textarea>", "<button><p>", "</div>", "<a =\"\"", "&amp", "<table><tr><td>"])
+def test_hostile_pages_take_linear_time(piece):
+    start = time.perf_counter()
+    main_text(piece * 100_000)
+    assert time.perf_counter() - start < 5
+    assert "".join(t for kind, _, t in tokens("a <b>c</b> < d<!x>e")) == "a c < de"
 
 
 def test_long_page():

@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.numbering import numbered
+from tessera.sources.shared import dealt_anew
+
 
 def exact_groups(files: DataFrame, size: str = "size", content: str = "content") -> DataFrame:
     """``files`` of equal content, with digest and copies; only sizes that occur twice are hashed."""
     crowded = files.groupBy(size).agg(F.count("*").alias("_n")).where("_n > 1").select(size)
     hashed = files.join(crowded, size, "left_semi").withColumn("digest", F.sha2(F.col(content), 256)).drop(content)
     repeated = hashed.groupBy("digest").agg(F.count("*").alias("copies")).where("copies > 1")
-    return hashed.join(repeated, "digest")
+    return hashed.join(dealt_anew(repeated, "copies", "digest"), "digest")
 
 
 def ranked_members(groups: DataFrame, group: str = "digest") -> DataFrame:
     """Members of each group in keeper order: pixels, then bytes, then age, then path."""
-    order = Window.partitionBy(group).orderBy(F.desc("pixels"), F.desc("size"), F.asc("modified"), F.asc("path"))
-    return groups.withColumn("place", F.row_number().over(order))
+    keyed = groups.withColumn("_p", -F.col("pixels")).withColumn("_s", -F.col("size"))
+    return numbered(keyed, [group], ["_p", "_s", "modified", "path"]).withColumn("place", F.col("place") + 1).drop("_p", "_s")
 
 
 def keepers(groups: DataFrame, group: str = "digest") -> DataFrame:

@@ -2,26 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.paths import base_name
 from tessera.functions.text import folder_name
+from tessera.operators.numbering import numbered
 
 
 def unique_names(files: DataFrame, taken: DataFrame | None = None, path: str = "path") -> DataFrame:
     """``files`` with target, its name or ``stem_i.ext`` from the second file of a name on.
 
-    ``taken`` (name) are names already there; they count as the first of their name.
+    ``taken`` (name) are names already there; they count as the first of their name. Files of one name are numbered
+    by path in as many tasks as they fill.
     """
     name = base_name(F.col(path))
-    stem, ext = F.regexp_extract(name, r"^(.+?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"(\.[^.]*)$", 1)
-    rows = files.withColumn("_name", name).withColumn("_used", F.lit(0))
+    stem, ext = F.regexp_extract("_name", r"^(.+?)(\.[^.]*)?$", 1), F.regexp_extract("_name", r"(\.[^.]*)$", 1)
+    rows = numbered(files.withColumn("_name", name), ["_name"], [path], "_i").withColumn("_used", F.lit(0))
     if taken is not None:
         known = taken.select(F.col("name").alias("_name"), F.lit(1).alias("_t")).distinct()
         rows = rows.join(known, "_name", "left").withColumn("_used", F.coalesce("_t", F.lit(0))).drop("_t")
-    order = F.row_number().over(Window.partitionBy("_name").orderBy(path)) - 1 + F.col("_used")
-    return rows.withColumn("_i", order).withColumn("target", F.when(F.col("_i") == 0, F.col("_name")).otherwise(F.concat(stem, F.lit("_"), F.col("_i"), ext))).drop("_name", "_used", "_i")
+    return rows.withColumn("_i", F.col("_i") + F.col("_used")).withColumn("target", F.when(F.col("_i") == 0, F.col("_name")).otherwise(F.concat(stem, F.lit("_"), F.col("_i"), ext))).drop("_name", "_used", "_i")
 
 
 def organised(files: DataFrame, time: str = "shoot_time", place: str = "location") -> DataFrame:

@@ -2,45 +2,62 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Bins of one pass; their counts are what reaches the driver.
+BINS = 4096
+
 
-def values_at(df: DataFrame, column: str, places: list[int], low: float, high: float, bins: int = 4096) -> list[float]:
-    """The values at the given 0-based places of the sorted non-null column.
+def value_at(rows: DataFrame, column: str, place: int) -> float:
+    """The value at a 0-based place of the sorted numbers of ``column``, without nulls or NaN.
 
-    One pass counts values per bin between ``low`` and ``high`` (values beyond
-    fall into the end bins); a second one sorts only the bins that hold a
-    place. ``bins`` counts are all that reaches the driver besides the results.
+    Each pass counts values in bins between the least and the greatest one left
+    and goes on with the bin that holds the place, until all its values are
+    equal. Values thin out by the number of bins, so three or four passes do;
+    nothing is sorted, and a value of very many rows is one bin.
     """
-    scale = bins / (high - low)
-    number = F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor((F.col(column) - low) * scale))).cast("int")
-    rows = df.where(F.col(column).isNotNull()).select(column, number.alias("_bin"))
-    counts = {r["_bin"]: r["n"] for r in rows.groupBy("_bin").agg(F.count("*").alias("n")).collect()}
-    out = []
-    for place in places:
-        before = 0
-        for b in sorted(counts):
-            if before + counts[b] > place:
-                inside = rows.where(F.col("_bin") == b).orderBy(column).offset(place - before).limit(1)
-                out.append(inside.first()[column])
+    ends = rows.agg(F.min(column).alias("low"), F.max(column).alias("high")).first()
+    low, high = ends["low"], ends["high"]
+    while low < high:
+        width = (high - low) / BINS
+        cut = F.least(F.lit(BINS - 1), F.floor((F.col(column) - F.lit(low)) / F.lit(width))) if width > 0 and math.isfinite(width) else (F.col(column) > F.lit(low)).cast("long")
+        bins = rows.where(F.col(column).between(low, high)).groupBy(cut.alias("bin"))
+        counts = sorted(bins.agg(F.count("*").alias("n"), F.min(column).alias("low"), F.max(column).alias("high")).collect(), key=lambda r: r["low"])
+        for r in counts:
+            if place < r["n"]:
+                low, high = r["low"], r["high"]
                 break
-            before += counts[b]
-    return out
+            place -= r["n"]
+    return low
 
 
-def median(df: DataFrame, column: str, low: float = -1.0, high: float = 1.0) -> float:
+def values_at(df: DataFrame, column: str, places: list[int]) -> list[float]:
+    """The values at the given 0-based places of the sorted column; nulls and NaN don't count."""
+    rows = df.where(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double"))).select(F.col(column).cast("double").alias("v"))
+    found: dict[int, float] = {}
+    for place in places:
+        if place not in found:
+            found[place] = value_at(rows, "v", place)
+    return [found[p] for p in places]
+
+
+def _size(df: DataFrame, column: str) -> int:
+    return df.where(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double"))).count()
+
+
+def median(df: DataFrame, column: str) -> float:
     """Exact median, the mean of the middle two for an even number; 0 for an empty column."""
-    n = df.where(F.col(column).isNotNull()).count()
+    n = _size(df, column)
     if n == 0:
         return 0.0
-    a, b = values_at(df, column, [(n - 1) // 2, n // 2], low, high)
+    a, b = values_at(df, column, [(n - 1) // 2, n // 2])
     return (a + b) / 2
 
 
-def nearest_rank(df: DataFrame, column: str, shares: list[float], low: float = -1.0, high: float = 1.0) -> list[float]:
+def nearest_rank(df: DataFrame, column: str, shares: list[float]) -> list[float]:
     """Percentiles by nearest rank: the value at round((n - 1) q), halves away from zero; 0 for an empty column."""
-    n = df.where(F.col(column).isNotNull()).count()
-    if n == 0:
-        return [0.0] * len(shares)
-    return values_at(df, column, [int((n - 1) * q + 0.5) for q in shares], low, high)
+    n = _size(df, column)
+    return values_at(df, column, [int((n - 1) * q + 0.5) for q in shares]) if n else [0.0] * len(shares)

@@ -31,9 +31,14 @@ def lane_weights(kind: str) -> dict[str, float]:
     return {"kw": 1.0, "img": 1.0, "desc": 0.2} if kind == "object" else {"kw": 1.0, "img": 0.2, "desc": 0.5}
 
 
+def comparable(vectors: DataFrame, query: list[float]) -> DataFrame:
+    """Vectors of the dimension of the query; others, and null ones, have no score."""
+    return vectors.where(F.size("embedding") == len(query))
+
+
 def rank_absolute(vectors: DataFrame, query: list[float], limit: int, least: float, key: str = "vec_id") -> DataFrame:
     """(key, score) of the ``limit`` vectors of greatest dot product of at least ``least``; ties by key."""
-    scored = vectors.select(key, dot(F.col("embedding"), literal(query)).alias("score"))
+    scored = comparable(vectors, query).select(key, dot(F.col("embedding"), literal(query)).alias("score"))
     return scored.where(F.col("score") >= least).orderBy(F.desc("score"), key).limit(limit)
 
 
@@ -46,13 +51,14 @@ def rank_relative(
     With ``per_group`` at most so many rows of a group stay, the best of it.
     """
     columns = [key] + ([group] if group else [])
-    scored = vectors.select(*columns, dot(F.col("embedding"), literal(query)).alias("score"))
+    scored = comparable(vectors, query).select(*columns, dot(F.col("embedding"), literal(query)).alias("score"))
     middle = median(scored, "score")
     peak = scored.agg(F.max("score")).first()[0]
     rel = scored.select(*columns, (F.col("score") - middle).alias("rel")).where(F.col("rel") >= floor)
     if peak is None or not peak - middle >= min_lift:
         rel = rel.where(F.lit(False))
     if per_group and group:
+        # a filter on a row number keeps per_group rows of a group in each task before the exchange
         own = Window.partitionBy(group).orderBy(F.desc("rel"), key)
         rel = rel.withColumn("_n", F.row_number().over(own)).where(F.col("_n") <= per_group)
     return rel.orderBy(F.desc("rel"), key).limit(limit).select(key, "rel")

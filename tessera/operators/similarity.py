@@ -49,12 +49,18 @@ def similar_pairs(vectors: DataFrame, least: float, key: str = "vec_id") -> Data
 
     Similar unit vectors differ by at most sqrt(2 - 2 least) in every dimension.
     Two dimensions of great variance are cut into cells of that width, so a pair
-    lies in the same or in neighbouring cells and nothing is lost. The members of
+    lies in the same or in neighbouring cells and nothing is lost. Vectors of
+    another dimension than the commonest, null ones and those that hold a null
+    are in no pair. The members of
     a cell form blocks of about BLOCK vectors; blocks of neighbouring cells meet
     in a join on the cell, and each meeting is one matrix product.
     """
     width = max(math.sqrt(max(2 - 2 * least, 0.0)), 1e-6)
+    whole = vectors.where(F.size("embedding") > 0).where(~F.exists("embedding", lambda x: x.isNull()))
+    common = whole.groupBy(F.size("embedding").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "n").first()
+    vectors = whole.where(F.size("embedding") == (common["n"] if common else 0))
     cells = [F.floor(F.get("embedding", F.lit(d)).cast("double") / width) for d in widest_dimensions(vectors, 2)]
+    cells = cells or [F.lit(0).cast("long")]
     placed = vectors.select(F.col(key).cast("long").alias("id"), "embedding", F.array(*cells).alias("cell"))
     sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("parts"))
     dealt = placed.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))

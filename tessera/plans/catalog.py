@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.filters import SmartFilter, contains_any_case, page, range_filter, smart_filter, token_search
 from tessera.operators.merge import delete_keys
+from tessera.operators.numbering import numbered
 from tessera.sources.tables import table
 from tessera.sources.views import ALBUMS_SQL, PHOTOS_SQL, albums, photos
 
@@ -66,8 +67,9 @@ def album_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def album_location_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = albums(spark, sf_dir)
-    return rows.groupBy("location").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("name")), ",").alias("names"))
+    """Albums of each place in order of name, a row each: a place of very many albums is no list in one row."""
+    rows = numbered(albums(spark, sf_dir).select("location", "name"), ["location"], ["name"])
+    return rows.select("location", "name", (F.col("place") + 1).alias("place"))
 
 
 def known_union(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +102,7 @@ def distinct_person_photos(spark: SparkSession, sf_dir: str) -> DataFrame:
 def even_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seven evenly spaced customers by key, both ends included: the feature is the sample."""
     rows = table(spark, sf_dir, "customer").select("c_custkey")
-    ranked = rows.withColumn("i", F.row_number().over(Window.orderBy("c_custkey")) - 1)
+    ranked = numbered(rows, [], ["c_custkey"], "i")
     n = rows.count()
     picks = sorted({int(i * (n - 1) / 6 + 0.5) for i in range(7)})
     return ranked.where(F.col("i").isin(picks)).select("c_custkey")
@@ -132,7 +134,7 @@ ORACLES = {
     "album_facets": f"""WITH {PHOTOS_SQL}, {ALBUMS_SQL}, l AS (SELECT album_id, max(shoot_time) AS t, count(*) AS c FROM photos GROUP BY 1)
         SELECT CASE WHEN c IS NULL THEN 'unscanned' WHEN c < 10 THEN 'partial' ELSE 'scanned' END AS state, coalesce(t[1:4]::INT, 0) AS year, count(*) AS n
         FROM albums LEFT JOIN l ON id = album_id GROUP BY 1, 2""",
-    "album_location_groups": f"WITH {ALBUMS_SQL} SELECT location, count(*) AS n, string_agg(name, ',' ORDER BY name) AS names FROM albums GROUP BY 1",
+    "album_location_groups": f"WITH {ALBUMS_SQL} SELECT location, name, row_number() OVER (PARTITION BY location ORDER BY name) AS place FROM albums",
     "known_union": """SELECT count(*) AS n, min(id) AS low, max(id) AS high FROM (SELECT doc_id AS id FROM documents UNION SELECT doc_id FROM labels UNION SELECT user_id FROM events)""",
     "set_difference_pending": """SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
         UNION ALL SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 0)""",

@@ -59,13 +59,13 @@ def priority_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Photos below each album root and below each nation root; nested roots both count."""
-    own = albums(spark, sf_dir).where("id < 200").select("id", "root")
+    own = albums(spark, sf_dir).select("id", "root")
     nations = table(spark, sf_dir, "nation").select((-F.col("n_nationkey") - 1).cast("long").alias("id"), F.concat(F.lit("/lib/"), F.col("n_name")).alias("root"))
     return owners(photos(spark, sf_dir).select("id", "path"), own.union(nations)).groupBy("root").agg(F.count("*").alias("n"))
 
 
 def longest_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = albums(spark, sf_dir).where("id % 3 = 0").select("id", "root")
+    own = albums(spark, sf_dir).select("id", "root")
     nations = table(spark, sf_dir, "nation").select((-F.col("n_nationkey") - 1).cast("long").alias("id"), F.concat(F.lit("/lib/"), F.col("n_name")).alias("root"))
     return longest_owner(photos(spark, sf_dir).select("id", "path"), own.union(nations)).select("id", "owner_id")
 
@@ -159,7 +159,7 @@ QUERIES = {
     )
 }
 
-_ROOTS = "roots AS (SELECT id, root FROM albums WHERE {w} UNION ALL SELECT -n_nationkey - 1, '/lib/' || n_name FROM nation)"
+_ROOTS = "roots AS (SELECT id, root FROM albums UNION ALL SELECT -n_nationkey - 1, '/lib/' || n_name FROM nation)"
 _HEALTH = f"""WITH {ALBUMS_SQL}, d AS (SELECT o_custkey AS id, count(*) AS on_disk FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1),
     s AS (SELECT o_custkey AS id, count(*) AS scanned, count(*) FILTER (o_orderpriority = '1-URGENT') AS embedded FROM orders GROUP BY 1),
     r AS (SELECT albums.id, coalesce(on_disk, 0) AS on_disk, coalesce(scanned, 0) AS scanned, coalesce(embedded, 0) AS embedded FROM albums LEFT JOIN d USING (id) LEFT JOIN s USING (id)),
@@ -177,8 +177,8 @@ ORACLES = {
         ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 20""",
     "priority_lookup": """SELECT l.doc_id AS id, CASE WHEN d.doc_id IS NOT NULL THEN d.source WHEN p.page_id IS NOT NULL THEN 'page' END AS origin
         FROM labels l LEFT JOIN documents d ON l.doc_id = d.doc_id AND d.n_chars > 1500 LEFT JOIN pages p ON l.doc_id = p.page_id""",
-    "prefix_counts": f"""WITH {PHOTOS_SQL}, {ALBUMS_SQL}, {_ROOTS.format(w="id < 200")} SELECT root, count(*) AS n FROM photos JOIN roots ON starts_with(path, root || '/') GROUP BY 1""",
-    "longest_prefix": f"""WITH {PHOTOS_SQL}, {ALBUMS_SQL}, {_ROOTS.format(w="id % 3 = 0")}
+    "prefix_counts": f"""WITH {PHOTOS_SQL}, {ALBUMS_SQL}, {_ROOTS} SELECT root, count(*) AS n FROM photos JOIN roots ON starts_with(path, root || '/') GROUP BY 1""",
+    "longest_prefix": f"""WITH {PHOTOS_SQL}, {ALBUMS_SQL}, {_ROOTS}
         SELECT photos.id, arg_max(roots.id, length(root)) AS owner_id FROM photos LEFT JOIN roots ON starts_with(path, root || '/') GROUP BY 1""",
     "health_report": f"{_HEALTH} SELECT * FROM h",
     "health_summary": f"{_HEALTH} SELECT level, count(*) AS albums, sum(on_disk)::BIGINT AS on_disk, sum(scanned)::BIGINT AS scanned FROM h GROUP BY 1",

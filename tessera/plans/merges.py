@@ -57,7 +57,7 @@ def delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 def path_move(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = photos(spark, sf_dir).select("id", "path")
     moves = rows.where("id % 50 = 0").select(F.col("path").alias("old_path"), F.concat(F.lit("/archive/"), F.col("id")).alias("new_path"))
-    return move_path(rows, moves).where("id % 25 = 0")
+    return move_path(rows, moves)
 
 
 def array_add_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +92,7 @@ ORACLES = {
     "replace_partition": """SELECT event_type, event_id, value FROM events WHERE event_type IS DISTINCT FROM 'click' UNION ALL SELECT event_type, event_id, 0.0 FROM events WHERE event_type = 'click' AND value > 50""",
     "delete_cascade": """SELECT l_returnflag, count(*) AS n, count(DISTINCT l_orderkey) AS orders FROM lineitem
         WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING') GROUP BY 1""",
-    "path_move": f"WITH {PHOTOS_SQL} SELECT id, CASE WHEN id % 50 = 0 THEN '/archive/' || id ELSE path END AS path FROM photos WHERE id % 25 = 0",
+    "path_move": f"WITH {PHOTOS_SQL} SELECT id, CASE WHEN id % 50 = 0 THEN '/archive/' || id ELSE path END AS path FROM photos",
     "array_add_remove": """SELECT doc_id, array_to_string(list_filter([lang, source], lambda x: x <> 'en') || ['P001'], ',') AS ids, len(list_filter([lang, source], lambda x: x <> 'en') || ['P001'])::INT AS n FROM documents""",
     "tag_normalise": "SELECT doc_id, 'a,' || lang || ',' || source AS tags FROM documents",
     "renumber_siblings": """SELECT n_nationkey, n_regionkey, (row_number() OVER (PARTITION BY n_regionkey ORDER BY CASE WHEN n_nationkey = 7 THEN -1 ELSE n_nationkey END) - 1)::INT AS sort_order FROM nation""",

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.export import bar_percents, organised, unique_names
 from tessera.operators.merge import delete_keys
+from tessera.operators.numbering import numbered
 from tessera.operators.spatial import grid_cell
 from tessera.sources.tables import table
 from tessera.sources.views import PHOTOS_SQL, photos
@@ -14,7 +15,7 @@ from tessera.sources.views import PHOTOS_SQL, photos
 
 def export_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names for a flat export of photos whose file name is the last digit of the key and a half of taken names."""
-    rows = photos(spark, sf_dir).where("id < 2000").select("id", F.concat(F.lit("/x/"), F.col("id"), F.lit("/IMG"), F.col("id") % 10, F.lit(".jpg")).alias("path"))
+    rows = photos(spark, sf_dir).select("id", F.concat(F.lit("/x/"), F.col("id"), F.lit("/IMG"), F.col("id") % 10, F.lit(".jpg")).alias("path"))
     taken = spark.createDataFrame([(f"IMG{i}.jpg",) for i in range(5)], "name string")
     return unique_names(rows, taken).select("id", "target")
 
@@ -83,7 +84,7 @@ def throttled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").select("c_custkey")
     n = rows.count()
     step = max(1, -(-n // 30))
-    ranked = rows.withColumn("i", F.row_number().over(Window.orderBy("c_custkey")))
+    ranked = numbered(rows, [], ["c_custkey"]).withColumn("i", F.col("place") + 1)
     return ranked.where((F.col("i") == 1) | (F.col("i") == n) | (F.col("i") % step == 0)).select("c_custkey")
 
 
@@ -117,7 +118,7 @@ QUERIES = {
 }
 
 ORACLES = {
-    "export_names": """WITH r AS (SELECT o_orderkey AS id, o_orderkey % 10 AS d, '/x/' || o_orderkey || '/IMG' AS p FROM orders WHERE o_orderkey < 2000),
+    "export_names": """WITH r AS (SELECT o_orderkey AS id, o_orderkey % 10 AS d, '/x/' || o_orderkey || '/IMG' AS p FROM orders),
         i AS (SELECT id, d, row_number() OVER (PARTITION BY d ORDER BY p || d || '.jpg') - 1 + (d < 5)::INT AS i FROM r) SELECT id, CASE WHEN i = 0 THEN 'IMG' || d || '.jpg' ELSE 'IMG' || d || '_' || i || '.jpg' END AS target FROM i""",
     "organise_plan": f"""WITH {PHOTOS_SQL} SELECT CASE WHEN tone <> 'P' THEN shoot_time[1:4] ELSE 'unknown-year' END || '/' || coalesce(location, 'unknown-place') AS folder, count(*) AS n, min(id) AS first_id FROM photos GROUP BY 1""",
     "year_bars": f"""WITH {PHOTOS_SQL}, y AS (SELECT shoot_time[1:4] AS year, count(*)::DOUBLE AS n FROM photos GROUP BY 1)

@@ -21,16 +21,15 @@ def time_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def build_description(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Description and its fingerprint for photos of one place."""
-    rows = photos(spark, sf_dir).where("location = 'NATION_3'")
+    """Description and its fingerprint."""
+    rows = photos(spark, sf_dir)
     segments = [text.time_segment(F.col("shoot_time")), F.col("location"), F.when(F.col("tone") == "F", F.col("category"))]
     return rows.select("id", text.joined_segments(segments).alias("description"), text.fnv1a(text.joined_segments(segments, text.FINGERPRINT_SEPARATOR)).alias("fingerprint"))
 
 
 def fnv_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of some fixed strings with published values."""
-    rows = spark.createDataFrame([("",), ("a",), ("foobar",)], "s string")
-    return rows.select("s", text.fnv1a(F.col("s")).alias("h"))
+    """Fingerprints of all page addresses."""
+    return table(spark, sf_dir, "pages").select("page_id", text.fnv1a(F.col("url")).alias("h"))
 
 
 def redact_values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,9 +111,9 @@ ORACLES = {
     "time_segments": f"""WITH {PHOTOS_SQL} SELECT CASE WHEN tone = 'F' THEN shoot_time[1:4] || '年' || shoot_time[6:7]::INT || '月'
         WHEN tone = 'P' THEN CASE WHEN shoot_time[6:7]::INT BETWEEN 3 AND 5 THEN '春' WHEN shoot_time[6:7]::INT BETWEEN 6 AND 8 THEN '夏' WHEN shoot_time[6:7]::INT BETWEEN 9 AND 11 THEN '秋' ELSE '冬' END
         ELSE '' END AS segment, count(*) AS n FROM photos GROUP BY 1""",
-    "build_description": f"""WITH {PHOTOS_SQL}, d AS (SELECT id, concat_ws(chr(31), shoot_time[1:4] || '年' || shoot_time[6:7]::INT || '月', location, CASE WHEN tone = 'F' THEN category END) AS j FROM photos WHERE location = 'NATION_3')
+    "build_description": f"""WITH {PHOTOS_SQL}, d AS (SELECT id, concat_ws(chr(31), shoot_time[1:4] || '年' || shoot_time[6:7]::INT || '月', location, CASE WHEN tone = 'F' THEN category END) AS j FROM photos)
         SELECT id, replace(j, chr(31), ' · ') AS description, {_FNV.format(t="j")} AS fingerprint FROM d""",
-    "fnv_hash": "SELECT * FROM (VALUES ('', 'cbf29ce484222325'), ('a', 'af63dc4c8601ec8c'), ('foobar', '85944171f73967e8')) v(s, h)",
+    "fnv_hash": f"""SELECT page_id, {_FNV.format(t="url")} AS h FROM pages""",
     "redact_values": """SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'u***@mail.example' WHEN 1 THEN '1' || lpad(c_custkey::VARCHAR, 10, '0')[1:2] || '****' || lpad(c_custkey::VARCHAR, 10, '0')[7:10]
         WHEN 2 THEN lpad(c_custkey::VARCHAR, 17, '1')[1:2] || '**********' || lpad(c_custkey::VARCHAR, 17, '1')[17:17] || 'X' WHEN 3 THEN '<口令哈希 · 已打码>' WHEN 4 THEN '<疑似令牌/密文 40 字符 · 已打码>' END AS masked FROM customer""",
     "format_exposure": """WITH r AS (SELECT l_quantity, l_discount, count(*) AS n, CASE WHEN l_discount > 0.05 THEN l_quantity / 2 ELSE 1 / (l_quantity * 4) END AS s FROM lineitem GROUP BY 1, 2)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import season_key
 from tessera.operators.filters import month_slice
+from tessera.operators.numbering import numbered
 from tessera.sources.tables import table
 from tessera.sources.views import PHOTOS_SQL, photos
 
@@ -33,9 +34,9 @@ def timeline_unrecorded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def timeline_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First 100 in time order, rows without a time last."""
+    """All photos with their place in time order, rows without a time last."""
     rows = photos(spark, sf_dir).withColumn("shoot_time", F.when(F.col("tone") != "P", F.col("shoot_time")))
-    return rows.orderBy(F.col("shoot_time").asc_nulls_last(), "id").limit(100).select("id", "shoot_time")
+    return numbered(rows.select("id", "shoot_time", F.col("shoot_time").isNull().alias("no")), [], ["no", "shoot_time", "id"]).select("id", "shoot_time", "place")
 
 
 def overview_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,10 +81,9 @@ def _memories(rows: DataFrame, key: str) -> DataFrame:
     places = keyed.where("location is not null").groupBy(key, "location").agg(F.count("*").alias("c"))
     top = places.groupBy(key).agg(F.min(F.struct((-F.col("c")).alias("c"), "location")).alias("t")).select(key, F.col("t.location").alias("top_location"))
     counts = keyed.groupBy(key).agg(F.count("*").alias("n"), F.count_if("pref").alias("n_pref"))
-    order = Window.partitionBy(key, "pref").orderBy("shoot_time", "id")
-    ranked = keyed.withColumn("rn", F.row_number().over(order)).join(counts, key)
+    ranked = numbered(keyed, [key, "pref"], ["shoot_time", "id"], "rn").join(F.broadcast(counts), key)  # a row a period
     pool = F.when(F.col("n_pref") > 0, F.col("n_pref")).otherwise(F.col("n"))
-    hero = ranked.where((F.col("pref") == (F.col("n_pref") > 0)) & (F.col("rn") == F.floor(pool / 2) + 1)).select(key, F.col("id").alias("hero_id"))
+    hero = ranked.where((F.col("pref") == (F.col("n_pref") > 0)) & (F.col("rn") == F.floor(pool / 2))).select(key, F.col("id").alias("hero_id"))
     return counts.join(hero, key).join(top, key, "left").select(key, "n", "hero_id", "top_location")
 
 
@@ -112,11 +112,11 @@ def season_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def time_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Year, season, month nesting with album lists, newest first, of the latest photo of each album."""
+    """Albums under the year, season and month of their latest photo, a row each with its place in the month."""
     rows = photos(spark, sf_dir).groupBy("album_id").agg(F.max("shoot_time").alias("t"))
     keyed = rows.select(F.substring("t", 1, 4).cast("int").alias("year"), F.substring("t", 6, 2).cast("int").alias("month"), "album_id")
-    months = keyed.groupBy("year", season_key(F.col("month")).alias("season"), "month").agg(F.array_sort(F.collect_list("album_id")).alias("albums"))
-    return months.select("year", "season", "month", F.size("albums").alias("n"), F.array_join("albums", ",").alias("album_ids"))
+    placed = numbered(keyed, ["year", "month"], ["album_id"])
+    return placed.select("year", season_key(F.col("month")).alias("season"), "month", "album_id", (F.col("place") + 1).alias("place"))
 
 
 def dense_month_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,8 +158,8 @@ ORACLES = {
     "timeline_index": "SELECT coalesce(strftime(o_orderdate, '%Y-%m'), '') AS ym, count(*) AS n FROM orders GROUP BY 1",
     "timeline_month_slice": f"WITH {PHOTOS_SQL} SELECT id, path, shoot_time FROM photos WHERE shoot_time LIKE '1997-03%' ORDER BY id LIMIT 50 OFFSET 20",
     "timeline_unrecorded": f"WITH {PHOTOS_SQL} SELECT location, count(*) AS n FROM photos WHERE tone IN ('P', 'F') GROUP BY 1",
-    "timeline_order": f"""WITH {PHOTOS_SQL} SELECT id, CASE WHEN tone <> 'P' THEN shoot_time END AS shoot_time FROM photos
-        ORDER BY CASE WHEN tone <> 'P' THEN shoot_time END ASC NULLS LAST, id LIMIT 100""",
+    "timeline_order": f"""WITH {PHOTOS_SQL} SELECT id, CASE WHEN tone <> 'P' THEN shoot_time END AS shoot_time,
+        row_number() OVER (ORDER BY CASE WHEN tone <> 'P' THEN shoot_time END ASC NULLS LAST, id) - 1 AS place FROM photos""",
     "overview_scalar": f"""WITH {PHOTOS_SQL} SELECT count(*) AS n, count(*) FILTER (location IS NULL OR location = '') AS no_location,
         count(*) FILTER (category = '1-URGENT') AS urgent, min(shoot_time[1:4]::INT) AS first_year, max(shoot_time[1:4]::INT) AS last_year,
         count(DISTINCT shoot_time[1:7]) AS months FROM photos""",
@@ -173,7 +173,7 @@ ORACLES = {
     "season_rollup": f"""WITH {PHOTOS_SQL}, k AS (SELECT shoot_time[1:4]::INT AS year, shoot_time[6:7]::INT AS month FROM photos)
         SELECT year, {_SEASON.format(m="month")} AS season, month, count(*) AS n FROM k GROUP BY ROLLUP (1, 2, 3)""",
     "time_tree": f"""WITH {PHOTOS_SQL}, a AS (SELECT album_id, max(shoot_time) AS t FROM photos GROUP BY 1), k AS (SELECT t[1:4]::INT AS year, t[6:7]::INT AS month, album_id FROM a)
-        SELECT year, {_SEASON.format(m="month")} AS season, month, count(*) AS n, string_agg(album_id::VARCHAR, ',' ORDER BY album_id) AS album_ids FROM k GROUP BY year, month""",
+        SELECT year, {_SEASON.format(m="month")} AS season, month, album_id, row_number() OVER (PARTITION BY year, month ORDER BY album_id) AS place FROM k""",
     "dense_month_bars": f"""WITH {PHOTOS_SQL}, d AS (SELECT m.month::INT AS month, count(id) AS n FROM range(1, 13) m(month)
         LEFT JOIN photos ON shoot_time[1:4] = '1996' AND shoot_time[6:7]::INT = m.month GROUP BY 1)
         SELECT month, n, round(n / (SELECT max(n) FROM d), 6) AS share FROM d""",

@@ -140,9 +140,10 @@ def online_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queries = ["2019年6月", "春天的花", "杭州西湖景区", "合同扫描", "猫", "Paper notes", "去年", "", "year 2020", "12月", "document scan", "公园里的狗"]
-    rows = spark.createDataFrame(list(enumerate(queries)), "i int, q string")
-    return rows.select("i", query_kind(F.col("q")).alias("kind"))
+    """Kinds of the texts that users could type, one of twelve patterns around the words of each conversation turn."""
+    patterns = ["2019年6月", "春天的花", "杭州西湖景区", "合同扫描", "猫", "Paper notes", "去年", "", "year 2020", "12月", "document scan", "公园里的狗"]
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.element_at(F.array(*map(F.lit, patterns)), F.pmod(F.col("conv_id") + F.col("turn"), F.lit(12)).cast("int") + 1).alias("p"), "role")
+    return rows.select("conv_id", "turn", query_kind(F.concat_ws(" ", "p", "role")).alias("kind"))
 
 
 def _lanes(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -242,7 +243,7 @@ ORACLES = {
         SELECT label, vec_id, sim FROM s QUALIFY row_number() OVER (PARTITION BY label ORDER BY sim DESC, vec_id) = 1""",
     "similar_vector_pairs": """WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id)
         SELECT a, b, round(sim, 6) AS sim FROM p WHERE sim >= 0.38""",
-    "query_kinds": "SELECT * FROM (VALUES (0, 'date'), (1, 'date'), (2, 'place'), (3, 'document'), (4, 'object'), (5, 'document'), (6, 'date'), (7, 'object'), (8, 'object'), (9, 'date'), (10, 'document'), (11, 'place')) v(i, kind)",
+    "query_kinds": """SELECT conv_id, turn, ['date', 'date', 'place', 'document', 'object', 'document', 'date', 'object', 'object', 'date', 'document', 'place'][(conv_id + turn) % 12 + 1] AS kind FROM conversations""",
     "rrf_fusion": f"WITH {_LANES}, {_fused(1.0, 0.2, 'img')} SELECT vec_id, round(score, 6) AS score, place FROM fused",
     "retrieval_metrics": f"""WITH {_LANES}, {_fused(0.2, 0.5, 'desc')}, rel AS (SELECT vec_id FROM embeddings WHERE label IN (3, 4)),
         t AS (SELECT place, vec_id IN (SELECT vec_id FROM rel) AS hit FROM fused WHERE place <= 10), i AS (SELECT sum(1 / log2(k + 1.0)) AS ideal FROM range(1, 11) r(k))

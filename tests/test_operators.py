@@ -7,7 +7,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import clustering, duplicates, filters, graph, merge, order_statistics, prefixes, ranking, similarity, spatial, sql_guard
+from tessera.operators import clustering, duplicates, filters, graph, merge, numbering, order_statistics, prefixes, ranking, similarity, spatial, sql_guard
 
 
 def vectors_of(spark, rows):
@@ -33,6 +33,20 @@ def test_median_and_percentiles(spark):
     assert order_statistics.median(df, "x") == s[250]
     assert order_statistics.nearest_rank(df, "x", [0, 0.9, 1]) == [s[0], s[450], s[500]]
     assert order_statistics.median(df.limit(0), "x") == 0.0
+    odd = spark.createDataFrame([(x,) for x in [3.0] * 300 + [-1e300, 1e300, 3.0000000000000004, None, float("nan"), float("inf"), float("-inf")]], "x double")
+    assert order_statistics.values_at(odd, "x", [0, 1, 2, 150, 302, 303, 304]) == [float("-inf"), -1e300, 3.0, 3.0, 3.0000000000000004, 1e300, float("inf")]
+
+
+def test_numbered(spark):
+    r = random.Random(2)
+    rows = [(r.choice("aaaaab"), r.random(), i) for i in range(500)] + [(None, 0.5, 500)]
+    df = spark.createDataFrame(rows, "g string, x double, i long").repartition(7)
+    for group in ([], ["g"]):
+        got = {t["i"]: t["p"] for t in numbering.numbered(df, group, ["x", "i"], "p").collect()}
+        seen: dict = {}
+        for g, _, i in sorted(rows, key=lambda t: t[1:]):
+            assert got[i] == seen.get(g if group else 0, 0)
+            seen[g if group else 0] = got[i] + 1
 
 
 @pytest.mark.parametrize("least", [0.5, 0.8, 0.95])
@@ -147,12 +161,21 @@ def test_given_order(spark):
     assert [(r["path"], r["v"]) for r in filters.in_given_order(["c", "b", "a"], rows, "path").collect()] == [("c", 3), ("b", None), ("a", 1)]
 
 
-@pytest.mark.parametrize("sql", ["", "drop table x", "select 1; select 2", "with x as (select 1) delete from y", "update t set a = 1"])
-def test_guard_rejects(sql):
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "", "select 1; select 2", "delete from t", "drop table t", "create table t (a int)", "set a=b", "cache table t", "refresh table t", "insert into t select 1", "show tables", "from t insert into s select a", "with a as (select 1) insert into t select * from a", "explain select 1",
+        "select reflect('java.lang.System', 'exit', '0')", "select `java_method`('a', 'b')", "select * from parquet.`/tmp/x`", "select * from `parquet`.`/tmp/x`", "merge into t using s on t.a = s.a when matched then delete",
+    ],
+)
+def test_guard_rejects(spark, sql):
     with pytest.raises(ValueError):
-        sql_guard.guarded(sql, 10)
+        sql_guard.query_of(spark, sql)
 
 
-def test_guard_adds_a_limit():
-    assert sql_guard.guarded("select created_at from t;", 7) == "select created_at from t LIMIT 7"
-    assert sql_guard.guarded("select 1 limit 3", 7) == "select 1 limit 3"
+def test_guard_limits(spark):
+    spark.range(50).createOrReplaceTempView("guard_rows")
+    for sql in ("select id from guard_rows;", "select id, 'limit 3' as t from guard_rows where id in (select id from guard_rows limit 40)", "with a as (select * from guard_rows) select * from a -- delete"):
+        assert sql_guard.run_guarded(spark, sql, 7).count() == 7
+    assert sql_guard.run_guarded(spark, "select id from guard_rows limit 3", 7).count() == 3
+    assert sql_guard.run_guarded(spark, "select 'parquet.`x`' as a, 'reflect(' as b", 7).count() == 1

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -19,6 +19,8 @@ class SmartFilter:
     location: str | None = None
     category: str | None = None
     tone: str | None = None
+    label: str | None = None
+    person_id: str | None = None
 
 
 def contains_any_case(column: Column, text: str) -> Column:
@@ -27,7 +29,8 @@ def contains_any_case(column: Column, text: str) -> Column:
 
 
 def smart_filter(photos: DataFrame, f: SmartFilter, keyword_columns: list[str]) -> DataFrame:
-    """Rows that meet all given predicates; the end date includes its whole day."""
+    """Rows that meet all given predicates; the end date includes its whole day. Blank texts don't apply."""
+    f = replace(f, **{n: v for n, v in ((n, (v or "").strip() or None) for n, v in asdict(f).items())})
     tests: list[Column] = []
     if f.keyword:
         tests.append(reduce(lambda a, b: a | b, (contains_any_case(F.col(c), f.keyword) for c in keyword_columns)))
@@ -39,11 +42,19 @@ def smart_filter(photos: DataFrame, f: SmartFilter, keyword_columns: list[str])
         tests.append(contains_any_case(F.col("location"), f.location))
     if f.category:
         tests.append(F.col("category") == f.category)
+    for column, text in (("label", f.label), ("person_ids", f.person_id)):
+        if text:
+            tests.append(contains_any_case(F.col(column), text))
     if f.tone:
         tests.append(F.col("tone") == f.tone)
     return photos.where(reduce(lambda a, b: a & b, tests, F.lit(True)))
 
 
+def newest_first(time: str = "shoot_time", key: str = "id") -> list[Column]:
+    """The order of search results: rows without a time last, the newest first, the greatest key on ties."""
+    return [F.col(time).desc_nulls_last(), F.col(key).desc()]
+
+
 def range_filter(rows: DataFrame, bounds: dict[str, tuple[float | None, float | None]]) -> DataFrame:
     """Rows within all numeric bounds; a bound of None is none. Only given bounds enter the plan."""
     for column, (low, high) in bounds.items():

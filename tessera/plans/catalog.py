@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.filters import SmartFilter, contains_any_case, page, range_filter, smart_filter, token_search
+from tessera.operators.filters import contains_any_case, newest_first, page, range_filter, smart_filter, SmartFilter, token_search
 from tessera.operators.merge import delete_keys
 from tessera.operators.numbering import numbered
 from tessera.sources.tables import table
@@ -22,6 +22,13 @@ def q_range_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
 
 
+def smart_search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Second page of fifty of what a label and a person find, newest first: the feature is the page."""
+    rows = photos(spark, sf_dir).withColumns({"label": F.concat_ws(" ", "tone", "category"), "person_ids": F.concat(F.lit('["P'), F.col("album_id") % 50, F.lit('"]'))})
+    found = smart_filter(rows, SmartFilter(label="urgent", person_id='P7"', category=" "), ["path"])
+    return page(found, newest_first(), 2, 50).select("id", "shoot_time")
+
+
 def keyword_like(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where(contains_any_case(F.col("text"), "heation")).select("doc_id", "source", "n_chars")
 
@@ -111,12 +118,13 @@ def even_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"smart_filter": q_smart_filter, "range_filter": q_range_filter} | {
     f.__name__: f
     for f in (
-        keyword_like, token_prefix_search, paged_listing, category_counts, category_cover, location_summary, keyword_chips, album_facets,
+        smart_search_page, keyword_like, token_prefix_search, paged_listing, category_counts, category_cover, location_summary, keyword_chips, album_facets,
         album_location_groups, known_union, set_difference_pending, mark_counts, distinct_person_photos, even_sample,
     )
 }
 
 ORACLES = {
+    "smart_search_page": f"""WITH {PHOTOS_SQL} SELECT id, shoot_time FROM photos WHERE category ILIKE '%urgent%' AND album_id % 50 = 7 ORDER BY shoot_time DESC NULLS LAST, id DESC LIMIT 50 OFFSET 50""",
     "smart_filter": f"""WITH {PHOTOS_SQL} SELECT id, shoot_time, location FROM photos WHERE (category ILIKE '%urgent%' OR path ILIKE '%urgent%')
         AND shoot_time >= '1996-01-01' AND shoot_time <= '1997-12-31 23:59:59' AND location ILIKE '%_1%' AND tone = 'F'""",
     "range_filter": """SELECT l_returnflag, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import catalog, duplicates, joins, merges, reports, scalars, streams, timeline, tones, vectors
+from tessera.plans import catalog, duplicates, joins, library, merges, reports, scalars, streams, timeline, tones, vectors
 
-MODULES = (timeline, catalog, joins, vectors, duplicates, merges, scalars, reports, tones, streams)
+MODULES = (timeline, catalog, joins, vectors, duplicates, merges, scalars, reports, tones, streams, library)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

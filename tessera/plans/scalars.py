@@ -104,7 +104,7 @@ QUERIES = {
     )
 }
 
-_FNV = """(SELECT lower(lpad(to_hex((list_reduce(list_transform(range(1, octet_length(encode({t})) + 1), lambda i: ('0x' || hex(encode({t}))[2 * i - 1:2 * i])::HUGEINT),
+FNV_SQL = """(SELECT lower(lpad(to_hex((list_reduce(list_transform(range(1, octet_length(encode({t})) + 1), lambda i: ('0x' || hex(encode({t}))[2 * i - 1:2 * i])::HUGEINT),
     lambda h, b: (((h - h % 256 + xor((h % 256)::INT, b::INT)) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT), 14695981039346656037::HUGEINT))::UBIGINT), 16, '0')))"""
 ORACLES = {
     "clean_scene": "SELECT doc_id, lang || ' ' || source AS scene FROM documents",
@@ -112,8 +112,8 @@ ORACLES = {
         WHEN tone = 'P' THEN CASE WHEN shoot_time[6:7]::INT BETWEEN 3 AND 5 THEN '春' WHEN shoot_time[6:7]::INT BETWEEN 6 AND 8 THEN '夏' WHEN shoot_time[6:7]::INT BETWEEN 9 AND 11 THEN '秋' ELSE '冬' END
         ELSE '' END AS segment, count(*) AS n FROM photos GROUP BY 1""",
     "build_description": f"""WITH {PHOTOS_SQL}, d AS (SELECT id, concat_ws(chr(31), shoot_time[1:4] || '年' || shoot_time[6:7]::INT || '月', location, CASE WHEN tone = 'F' THEN category END) AS j FROM photos)
-        SELECT id, replace(j, chr(31), ' · ') AS description, {_FNV.format(t="j")} AS fingerprint FROM d""",
-    "fnv_hash": f"""SELECT page_id, {_FNV.format(t="url")} AS h FROM pages""",
+        SELECT id, replace(j, chr(31), ' · ') AS description, {FNV_SQL.format(t="j")} AS fingerprint FROM d""",
+    "fnv_hash": f"""SELECT page_id, {FNV_SQL.format(t="url")} AS h FROM pages""",
     "redact_values": """SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'u***@mail.example' WHEN 1 THEN '1' || lpad(c_custkey::VARCHAR, 10, '0')[1:2] || '****' || lpad(c_custkey::VARCHAR, 10, '0')[7:10]
         WHEN 2 THEN lpad(c_custkey::VARCHAR, 17, '1')[1:2] || '**********' || lpad(c_custkey::VARCHAR, 17, '1')[17:17] || 'X' WHEN 3 THEN '<口令哈希 · 已打码>' WHEN 4 THEN '<疑似令牌/密文 40 字符 · 已打码>' END AS masked FROM customer""",
     "format_exposure": """WITH r AS (SELECT l_quantity, l_discount, count(*) AS n, CASE WHEN l_discount > 0.05 THEN l_quantity / 2 ELSE 1 / (l_quantity * 4) END AS s FROM lineitem GROUP BY 1, 2)

@@ -42,6 +42,6 @@ def media_kind(path: Column) -> Column:
 
 def ancestors(path: Column, separator: str = "/") -> Column:
     """All prefixes of a path that end before a separator, longest first: the keys under which a root can own it."""
-    parts = F.split(path, separator)
+    parts = F.split(path, separator)  # a pattern
     lengths = F.sequence(F.size(parts), F.lit(1), F.lit(-1))
-    return F.transform(lengths, lambda n: F.array_join(F.slice(parts, F.lit(1), n), separator))
+    return F.transform(lengths, lambda n: F.array_join(F.slice(parts, F.lit(1), n), separator.replace("\\\\", "\\")))

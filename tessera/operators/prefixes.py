@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.paths import ancestors, dir_name
+from tessera.functions.paths import ancestors, dir_name, path_key
+
+
+def owners_any_case(files: DataFrame, roots: DataFrame, path: str = "path") -> DataFrame:
+    """As :func:`owners`, without regard to case, kind of separator and separators at the end of a root."""
+    keyed = files.select(dir_name(path_key(F.col(path))).alias("dir_key")).distinct().withColumn("root_key", F.explode(ancestors(F.col("dir_key"), "\\\\")))
+    owned = keyed.join(roots.select(F.col("id").alias("root_id"), F.col("root"), path_key(F.col("root")).alias("root_key")), "root_key").drop("root_key")
+    return files.withColumn("dir_key", dir_name(path_key(F.col(path)))).join(owned, "dir_key").drop("dir_key")
 
 
 def owners(files: DataFrame, roots: DataFrame, path: str = "path") -> DataFrame:

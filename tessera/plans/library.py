@@ -9,6 +9,8 @@ from tessera.functions import scans
 from tessera.functions.text import fnv1a
 from tessera.operators import albums as ops
 from tessera.operators import people
+from tessera.operators.prefixes import owners_any_case
+from tessera.operators.trees import below
 from tessera.plans.scalars import FNV_SQL
 from tessera.sources.tables import table
 from tessera.sources.views import ALBUMS_SQL, PHOTOS_SQL, albums, photos
@@ -112,6 +114,18 @@ def detached_albums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.without_folder(_folders(spark, sf_dir), own, 2)[1]
 
 
+def folders_below(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All folders at or below the regions with an A in their name and nation 3, at any depth."""
+    region = table(spark, sf_dir, "region").where("r_name like '%A%'").select(F.col("r_regionkey").cast("long").alias("id"))
+    return below(_folders(spark, sf_dir), region.union(spark.range(103, 104)))
+
+
+def counts_any_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Photos below roots that are written in upper case, with other separators and one at the end."""
+    roots = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.concat(F.lit("\\LIB\\"), F.upper("n_name"), F.lit("\\")).alias("root"))
+    return owners_any_case(photos(spark, sf_dir).select("id", "path"), roots).groupBy("root_id").agg(F.count("*").alias("n"))
+
+
 def marks_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hidden documents, latest first."""
     rows = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id", (F.col("doc_id") % 90).alias("updated_at"))
@@ -400,7 +414,7 @@ def vector_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        virtual_albums, album_problems, partial_update, batch_places, batch_report, batch_misses, merged_photos, merge_provenance, merge_lists, created_folders, deleted_folder, detached_albums,
+        virtual_albums, album_problems, partial_update, batch_places, batch_report, batch_misses, merged_photos, merge_provenance, merge_lists, created_folders, deleted_folder, detached_albums, folders_below, counts_any_case,
         marks_in_order, first_mark, categories_in_order, category_by_id, persons_in_order, albums_in_order, severity_order, places_in_order, category_words, category_labels, album_stats,
         index_repair, sanitised_report, rekeyed_thumbs, relabelled_models, searched_documents, searched_symbols, dropped_column, vectors_by_path, persons_in_albums, person_signatures, face_boxes,
         person_names, overridden_faces, set_overrides, moved_faces, move_overrides, dropped_faces, recomputed_centroids, face_queue, registry_reset, face_gate, cover_rectangles,
@@ -429,6 +443,9 @@ ORACLES = {
         SELECT name, parent_id::BIGINT AS parent_id, CASE WHEN problem IS NULL THEN coalesce(above, 0) + 1 END AS level, CASE WHEN problem IS NULL THEN coalesce(last, -1) + 1 + nth END AS sort_order, problem FROM r""",
     "deleted_folder": f"WITH {FOLDERS_SQL} SELECT id, CASE WHEN parent_id <> 2 THEN parent_id END AS parent_id, CASE WHEN parent_id = 2 THEN 1 ELSE level END AS level, sort_order FROM folders WHERE id <> 2",
     "detached_albums": f"WITH {ALBUMS_SQL} SELECT id, CASE WHEN id % 5 <> 2 THEN id % 5 END AS folder_id FROM albums",
+    "folders_below": f"""WITH RECURSIVE {FOLDERS_SQL}, t AS (SELECT id, 0 AS steps FROM folders WHERE id = 103 OR id IN (SELECT r_regionkey FROM region WHERE r_name LIKE '%A%') UNION SELECT f.id, t.steps + 1 FROM folders f JOIN t ON f.parent_id = t.id)
+        SELECT id, min(steps)::INT AS steps FROM t GROUP BY 1""",
+    "counts_any_case": "SELECT c_nationkey::BIGINT AS root_id, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1",
     "marks_in_order": "SELECT doc_id, doc_id % 90 AS updated_at, row_number() OVER (ORDER BY doc_id % 90 DESC, doc_id) - 1 AS place FROM labels WHERE toxic = 1",
     "first_mark": "SELECT doc_id, 'hidden' AS state FROM labels WHERE toxic = 1 AND doc_id IN (SELECT doc_id FROM documents) ORDER BY doc_id % 90 DESC, doc_id LIMIT 1",
     "categories_in_order": "SELECT p_partkey, p_brand, p_size, row_number() OVER (ORDER BY p_brand <> 'Brand#11', p_size, p_partkey) - 1 AS place FROM part",

@@ -134,6 +134,19 @@ def test_partner_in_a_crowded_bucket(spark):
     assert [got[i] for i in range(len(rows))] == expected
 
 
+def test_recall_in_a_large_group(spark):
+    """Hundreds of copies of one text with up to a tenth of their words changed: all links that brute force finds join the classes."""
+    r, words = random.Random(6), prose(77, 200).split()
+    texts = []
+    for _ in range(400):
+        changed = [w + "a" for w in words] if r.random() < 0.2 else list(words)
+        for at in r.sample(range(200), r.randrange(0, 8)):
+            changed[at] = f"n{r.randrange(10**6)}"
+        texts.append(" ".join(changed))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    check(docs, near_duplicates(docs))
+
+
 @pytest.mark.parametrize("sf", ["sf0.001"])
 def test_query(spark, sf):
     docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text")

@@ -67,6 +67,28 @@ def test_complete_linkage(spark):
     for r in similarity.complete_linkage(pairs).collect():
         groups.setdefault(r["seed"], set()).add(r["node"])
     assert sorted(map(sorted, groups.values())) == [[1, 2, 3], [10, 11]]
+    assert similarity.complete_linkage(pairs.limit(0)).count() == 0
+
+
+def test_complete_linkage_against_a_sequence(spark):
+    r = random.Random(4)
+    links = {(a, b) for a, b in ((r.randrange(120), r.randrange(120)) for _ in range(500)) if a < b}
+    near = {}
+    for a, b in links:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    order = sorted(near, key=lambda u: (-len(near[u]), u))
+    free, expected = set(near), set()
+    for seed in order:
+        if seed in free:
+            members = [seed]
+            for v in order:
+                if v in free and v != seed and all(v in near[m] for m in members):
+                    members.append(v)
+            free -= set(members)
+            expected |= {(seed, m) for m in members if len(members) > 1}
+    got = similarity.complete_linkage(spark.createDataFrame(sorted(links), "a long, b long")).collect()
+    assert len(got) == len(expected) and {(x["seed"], x["node"]) for x in got} == expected
 
 
 def test_components(spark):

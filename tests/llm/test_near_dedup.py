@@ -135,16 +135,24 @@ def test_partner_in_a_crowded_bucket(spark):
 
 
 def test_recall_in_a_large_group(spark):
-    """Hundreds of copies of one text with up to a tenth of their words changed: all links that brute force finds join the classes."""
+    """Copies of one text with up to six of its 200 words changed: all links that brute force finds join the classes."""
     r, words = random.Random(6), prose(77, 200).split()
     texts = []
-    for _ in range(400):
+    for _ in range(300):
         changed = [w + "a" for w in words] if r.random() < 0.2 else list(words)
-        for at in r.sample(range(200), r.randrange(0, 8)):
+        for at in r.sample(range(200), r.randrange(0, 7)):
             changed[at] = f"n{r.randrange(10**6)}"
         texts.append(" ".join(changed))
+    counts = [shingle_counts(t.encode(), 5) for t in texts]
+    least = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if least[a] != least[b] and similarity(counts[a], counts[b]) >= 0.8:
+                low, high = sorted((least[a], least[b]))
+                least = [low if x == high else x for x in least]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    check(docs, near_duplicates(docs))
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == least
 
 
 @pytest.mark.parametrize("sf", ["sf0.001"])

@@ -1,62 +1,121 @@
-"""Order-dependent helpers that run per image or per owner."""
+"""Helpers whose result depends on an order: a group passes its task as a sorted stream, and only the state is held."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def in_sequence(rows: DataFrame, key: str, order: list[Column], fresh: Callable, answered: Callable[[pd.DataFrame, list], pd.DataFrame], schema) -> DataFrame:
+    """Rows of equal ``key`` pass, by ``order``, a function that ``fresh`` makes for each key; ``answered`` turns a batch and its answers into rows.
+
+    Spark deals the keys and sorts each partition outside of Python, spilling
+    where it must, so a group of any size needs the memory of a batch and of its
+    state, and many small groups share a batch.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        begun, at, step = False, None, None
+        for pdf in batches:
+            answers = []
+            for row in pdf.itertuples(index=False):
+                own = getattr(row, key)
+                if not begun or not (own == at or pd.isna(own) and pd.isna(at)):
+                    begun, at, step = True, own, fresh()
+                answers.append(step(row))
+            yield answered(pdf, answers)
+
+    return rows.repartition(key).sortWithinPartitions(F.col(key), *order).mapInPandas(run, schema)
+
+
+class Rows:
+    """A matrix that grows row by row."""
+
+    def __init__(self) -> None:
+        self.held, self.n = np.zeros((0, 0)), 0
+
+    def add(self, row: np.ndarray) -> None:
+        if self.n == len(self.held):
+            wider = np.zeros((max(16, 2 * self.n), len(row)))
+            if self.n:
+                wider[: self.n] = self.held
+            self.held = wider
+        self.held[self.n] = row
+        self.n += 1
 
+    @property
+    def all(self) -> np.ndarray:
+        return self.held[: self.n]
 
-def _suppress(pdf: pd.DataFrame, limit: float) -> pd.DataFrame:
-    c, left, keep = pdf[["x1", "y1", "x2", "y2"]].to_numpy(float), np.argsort(-pdf["score"].to_numpy(float), kind="stable"), []
-    area = (c[:, 2] - c[:, 0]) * (c[:, 3] - c[:, 1])
-    while len(left):
-        best, left = left[0], left[1:]
-        keep.append(best)
-        low, high = np.maximum(c[best, :2], c[left, :2]), np.minimum(c[best, 2:], c[left, 2:])
-        shared = np.prod(np.clip(high - low, 0, None), axis=1)
-        union = area[best] + area[left] - shared
-        left = left[shared <= limit * np.where(union > 0, union, np.inf)]
-    return pdf.iloc[keep]
+
+def _suppressor(limit: float) -> Callable:
+    kept = Rows()
+
+    def stays(row) -> bool:
+        c = np.array([row.x1, row.y1, row.x2, row.y2], dtype=float)
+        area = (c[2] - c[0]) * (c[3] - c[1])
+        if kept.n:
+            k = kept.all
+            sides = np.clip(np.minimum(k[:, 2:4], c[2:]) - np.maximum(k[:, :2], c[:2]), 0, None)
+            shared = sides[:, 0] * sides[:, 1]
+            union = k[:, 4] + area - shared
+            if (shared > limit * np.where(union > 0, union, np.inf)).any():
+                return False
+        kept.add(np.append(c, area))
+        return True
+
+    return stays
 
 
 def non_maximum_suppression(boxes: DataFrame, limit: float = 0.45) -> DataFrame:
-    """Boxes of each image that no better box overlaps by more than ``limit`` of the union."""
-    return boxes.groupBy("image").applyInPandas(lambda pdf: _suppress(pdf.sort_values(["score", "id"], ascending=[False, True]), limit), boxes.schema)
+    """Boxes of each image that no better box that stays overlaps by more than ``limit`` of the union; equal scores by id.
+
+    A task holds the boxes of one image that stay and one batch of rows.
+    """
+    order = [F.desc("score"), F.asc("id")]
+    return in_sequence(boxes, "image", order, lambda: _suppressor(limit), lambda pdf, stays: pdf[np.array(stays, dtype=bool)], boxes.schema)
+
 
+def _registrar(least: float) -> Callable:
+    persons, counts = Rows(), []
 
-def _register(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
-    sums: list[np.ndarray] = []
-    counts: list[int] = []
-    out = []
-    for row in pdf.sort_values("id").itertuples():
+    def person_of(row) -> tuple[int | None, float]:
         v = np.asarray(row.embedding, dtype=float)
         v = v / (np.linalg.norm(v) or 1.0)
-        person, sim = -1, 0.0
-        if sums:
-            sims = np.array(sums) @ v
-            person, sim = int(sims.argmax()), float(sims.max())
-        if not sums or sim < least:
-            if row.verdict != "ok":  # a marginal face may join a person but not found one
-                out.append((row.owner, row.id, None, sim))
-                continue
-            sums.append(v)
-            counts.append(1)
-            person = len(sums) - 1
-        else:
+        sims = persons.all @ v if persons.n else np.zeros(0)
+        person = int(sims.argmax()) if len(sims) else None
+        sim = float(sims[person]) if len(sims) else 0.0
+        if person is not None and sim >= least:
             if row.verdict == "ok":
-                mean = (sums[person] * counts[person] + v) / (counts[person] + 1)
-                sums[person] = mean / (np.linalg.norm(mean) + 1e-9)
+                mean = (persons.all[person] * counts[person] + v) / (counts[person] + 1)
+                persons.all[person] = mean / (np.linalg.norm(mean) + 1e-9)
             counts[person] += 1
-        out.append((row.owner, row.id, person, sim))
-    return pd.DataFrame(out, columns=["owner", "id", "person", "sim"]).astype({"person": "Int64"})
+        elif row.verdict == "ok":
+            person = persons.n
+            persons.add(v)
+            counts.append(1)
+        else:  # a marginal face may join a person but not found one
+            person = None
+        return person, sim
+
+    return person_of
+
+
+def _registered(pdf: pd.DataFrame, answers: list[tuple[int | None, float]]) -> pd.DataFrame:
+    persons, sims = pd.array([p for p, _ in answers], dtype="Int64"), np.array([s for _, s in answers], dtype=float)
+    return pd.DataFrame({"owner": pdf["owner"], "id": pdf["id"], "person": persons, "sim": sims})
 
 
 def register_faces(faces: DataFrame, least: float = 0.55) -> DataFrame:
     """(owner, id, person, sim): faces of an owner join, in order of id, the person of nearest centroid or found a new one.
 
     The result depends on the order by definition, so an owner's faces are one
-    sequence; owners are independent and run in parallel.
+    sequence; owners are independent and run in parallel. A task holds the
+    centroids of an owner's persons and one batch of faces, never all faces.
     """
     rows = faces.select("owner", "id", "embedding", "verdict")
-    return rows.groupBy("owner").applyInPandas(lambda pdf: _register(pdf, least), "owner long, id long, person long, sim double")
+    return in_sequence(rows, "owner", [F.asc("id")], lambda: _registrar(least), _registered, "owner long, id long, person long, sim double")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -13,9 +15,13 @@ from pyspark.sql import functions as F
 
 from tessera.functions.vectors import dot
 from tessera.operators.graph import components
+from tessera.operators.numbering import numbered
+from tessera.sources.shared import Scratch, shared_path, stage
 
 #: Vectors of a block: a product of two blocks of 512 dimensions takes some tens of MB.
 BLOCK = 1024
+#: Nodes of a component whose groups one task settles at once.
+STRETCH = 2048
 
 
 def widest_dimensions(vectors: DataFrame, n: int = 2) -> list[int]:
@@ -75,39 +81,74 @@ def similar_pairs(vectors: DataFrame, least: float, key: str = "vec_id") -> Data
     return meetings.select("left", "right", (F.col("me") == F.col("it")).alias("same")).mapInArrow(_matched(least), "a long, b long, sim double")
 
 
-def _complete_linkage(edges: pd.DataFrame) -> pd.DataFrame:
-    near: dict[int, set[int]] = {}
-    for a, b in zip(edges["a"], edges["b"]):
-        near.setdefault(a, set()).add(b)
-        near.setdefault(b, set()).add(a)
-    order = sorted(near, key=lambda u: (-len(near[u]), u))
-    place = {u: i for i, u in enumerate(order)}
-    free, out = set(order), []
-    for seed in order:
-        if seed not in free:
-            continue
-        members, common = [seed], set(near[seed])
-        for v in sorted(near[seed] & free, key=place.get):
-            if v in common:
-                members.append(v)
-                common &= near[v]
-        free.difference_update(members)
-        if len(members) > 1:
-            out += [(seed, m) for m in members]
-    return pd.DataFrame(out, columns=["seed", "node"])
+def _settled(rows: pd.DataFrame) -> pd.DataFrame:
+    """(comp, at, seed) for one stretch of a component, from its nodes, whole earlier groups and links among themselves."""
+    groups, links = ({n: part.tolist() for n, part in rows["other"][rows["kind"] == kind].groupby(rows["at"])} for kind in ("group", "link"))
+    nodes = sorted(rows["at"][rows["kind"] == "node"])
+    first = nodes[0]
+    seed_of: dict[int, int] = {}
+    sizes: dict[int, int] = {}  # members in this stretch
+    for v in nodes:
+        met = Counter(seed_of[u] for u in links.get(v, ()))
+        fits = (s for s in chain(sorted(groups.get(v, ())), sorted(s for s in met if s >= first)) if met[s] == sizes.get(s, 0))
+        seed = seed_of[v] = next(fits, v)
+        sizes[seed] = sizes.get(seed, 0) + 1
+    return pd.DataFrame({"comp": rows["comp"].iloc[0], "at": nodes, "seed": [seed_of[v] for v in nodes]})
 
 
 def complete_linkage(pairs: DataFrame) -> DataFrame:
     """(seed, node): greedy groups in which every two members are similar.
 
-    Nodes are tried from the best connected on; each takes up those of its free
-    neighbours that are similar to all taken so far. What one connected
-    component does never touches another, so components run as groups of their
-    own; a component's links have to fit a task.
+    Nodes are tried from the best connected on; each joins the oldest group all
+    of whose members are similar to it, or else begins one; groups of one are
+    left out. Nothing passes between connected components, so they run
+    alongside. The nodes of a component are taken in stretches of STRETCH:
+    joins find the earlier groups that a node is wholly linked to, then a task
+    settles the stretch, with at most STRETCH squared links and groups. Of a
+    node's earlier groups it needs the STRETCH oldest, since each other node of
+    the stretch can close one at most. What is settled is written after every
+    stretch, so a component of any size costs rounds, not memory.
     """
-    labels = components(pairs.select("a", "b"))
-    owned = pairs.join(labels.withColumnRenamed("node", "a"), "a").select("comp", "a", "b")
-    return owned.groupBy("comp").applyInPandas(lambda pdf: _complete_linkage(pdf), "seed long, node long")
+    spark = pairs.sparkSession
+    with Scratch(spark) as scratch:
+        links = pairs.where("a <> b").select(F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b")).distinct()
+        links = scratch.stage(links, "links")
+        both = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node")))
+        ranked = both.groupBy("node").agg((-F.count("*")).alias("rank")).join(components(links, scratch), "node")
+        nodes = numbered(ranked, ["comp"], ["rank", "node"], "at").select("node", "comp", F.col("at").cast("long").alias("at"))
+        nodes = stage(nodes.withColumn("stretch", F.floor(F.col("at") / STRETCH)), "nodes")
+        ends = [nodes.select(F.col("node").alias(x), "comp", F.col("at").alias(f"at_{x}")) for x in ("a", "b")]
+        placed = links.join(ends[0], "a").join(ends[1].drop("comp"), "b")
+        placed = placed.select("comp", F.greatest("at_a", "at_b").alias("at"), F.least("at_a", "at_b").alias("before"))
+        placed = placed.withColumn("stretch", F.floor(F.col("at") / STRETCH))
+        by_stretch = scratch.path("placed")
+        placed.repartitionByRange("stretch", "comp", "at").write.partitionBy("stretch").parquet(by_stretch)
+        settled_path, schema = shared_path(spark, "settled"), "comp long, at long, seed long"
+        last = nodes.agg(F.max("stretch")).first()[0]
+        for number in range((last if last is not None else -1) + 1):
+            own = spark.read.schema("comp long, at long, before long, stretch long").parquet(by_stretch).where(F.col("stretch") == number)
+            inner = F.col("before") >= number * STRETCH
+            tasks = [
+                nodes.where(F.col("stretch") == number).select("comp", "at", F.col("at").alias("other"), F.lit("node").alias("kind")),
+                own.where(inner).select("comp", "at", F.col("before").alias("other"), F.lit("link").alias("kind")),
+            ]
+            if number:
+                settled = spark.read.schema(schema).parquet(*(f"{settled_path}/{i}" for i in range(number)))
+                sizes = settled.groupBy("comp", "seed").agg(F.count("*").alias("size"))
+                met = own.where(~inner).join(settled.withColumnRenamed("at", "before"), ["comp", "before"]).groupBy("comp", "at", "seed").agg(F.count("*").alias("n"))
+                whole = met.join(sizes, ["comp", "seed"]).where("n = size")
+                oldest = F.row_number().over(Window.partitionBy("comp", "at").orderBy("seed"))
+                tasks.append(whole.withColumn("rn", oldest).where(F.col("rn") <= STRETCH).select("comp", "at", F.col("seed").alias("other"), F.lit("group").alias("kind")))
+            rows = tasks[0].unionByName(tasks[1])
+            for more in tasks[2:]:
+                rows = rows.unionByName(more)
+            rows.groupBy("comp").applyInPandas(_settled, schema).write.parquet(f"{settled_path}/{number}")
+    if last is None:
+        return spark.createDataFrame([], "seed long, node long")
+    settled = spark.read.schema(schema).parquet(*(f"{settled_path}/{i}" for i in range(last + 1)))
+    shared = settled.groupBy("comp", "seed").agg(F.count("*").alias("n")).where("n > 1")
+    seeds = shared.join(nodes.select("comp", F.col("at").alias("seed"), F.col("node").alias("first")), ["comp", "seed"])
+    return settled.join(seeds, ["comp", "seed"]).join(nodes.select("comp", "at", "node"), ["comp", "at"]).select(F.col("first").alias("seed"), "node")
 
 
 def nearest_centroid(vectors: DataFrame, centroids: DataFrame, least: float, key: str = "vec_id") -> DataFrame:

@@ -63,5 +63,11 @@ ORACLES = {
         s AS (SELECT user_id, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g), c AS (SELECT user_id, s, count(*) AS n FROM s GROUP BY 1, 2)
         SELECT user_id, count(*) AS sessions, max(n) AS longest FROM c GROUP BY 1""",
     "guarded_sql": "SELECT c_custkey, '***' AS email, c_name[1:1] || '***@x.example' AS contact, c_mktsegment FROM customer ORDER BY c_custkey LIMIT 25",
+    "box_suppression": """WITH RECURSIVE b AS (SELECT l_orderkey AS image, l_linenumber AS id, max(l_quantity) + max(l_discount) AS score FROM lineitem GROUP BY 1, 2),
+        o AS MATERIALIZED (SELECT image, id, row_number() OVER (PARTITION BY image ORDER BY score DESC, id) AS k FROM b),
+        r AS (SELECT image, k, [id] AS kept FROM o WHERE k = 1 UNION ALL
+            SELECT o.image, o.k, CASE WHEN len(list_filter(kept, lambda e: 2.0 * greatest(0, 3 - abs(e - o.id)) > 0.45 * (12 - 2.0 * greatest(0, 3 - abs(e - o.id))))) > 0 THEN kept ELSE list_append(kept, o.id) END
+            FROM r JOIN o ON o.image = r.image AND o.k = r.k + 1)
+        SELECT id::BIGINT AS id, count(*) AS n FROM (SELECT unnest(kept) AS id FROM (SELECT kept FROM r QUALIFY row_number() OVER (PARTITION BY image ORDER BY k DESC) = 1)) GROUP BY 1""",
     "listed_tables": "SELECT 'listed_region' AS name, (SELECT count(*) FROM region) AS n UNION ALL SELECT 'listed_nation', (SELECT count(*) FROM nation) UNION ALL SELECT 'listed_orders', (SELECT count(*) FROM orders)",
 }

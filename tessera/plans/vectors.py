@@ -243,6 +243,27 @@ ORACLES = {
         SELECT label, vec_id, sim FROM s QUALIFY row_number() OVER (PARTITION BY label ORDER BY sim DESC, vec_id) = 1""",
     "similar_vector_pairs": """WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id)
         SELECT a, b, round(sim, 6) AS sim FROM p WHERE sim >= 0.38""",
+    "complete_linkage_groups": """WITH RECURSIVE p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id
+            WHERE list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.3),
+        o AS MATERIALIZED (SELECT a AS node, row_number() OVER (ORDER BY count(*) DESC, a) AS k FROM p GROUP BY a),
+        n AS MATERIALIZED (SELECT x.k, coalesce(list(y.k) FILTER (y.k < x.k), []) AS before FROM p JOIN o x ON p.a = x.node JOIN o y ON p.b = y.node GROUP BY x.k),
+        r AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS g UNION ALL
+            SELECT n.k, list_append(g, coalesce(list_filter(list_sort(list_distinct(list_transform(before, lambda u: g[u]))),
+                lambda s: len(list_filter(before, lambda u: g[u] = s)) = len(list_filter(g, lambda y: y = s)))[1], n.k)) FROM r JOIN n ON n.k = r.k + 1),
+        t AS (SELECT unnest(g) AS s, generate_subscripts(g, 1) AS k FROM (SELECT g FROM r ORDER BY k DESC LIMIT 1)),
+        c AS (SELECT s, k FROM t QUALIFY count(*) OVER (PARTITION BY s) > 1)
+        SELECT x.node AS seed, y.node FROM c JOIN o x ON c.s = x.k JOIN o y ON c.k = y.k""",
+    "online_clustering": """WITH RECURSIVE e AS (SELECT label AS owner, vec_id AS id, embedding::DOUBLE[] AS e, vec_id % 10 <> 9 AS ok FROM embeddings),
+        f AS MATERIALIZED (SELECT owner, id, ok, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS v, row_number() OVER (PARTITION BY owner ORDER BY id) AS k FROM e),
+        r AS (SELECT DISTINCT owner, 0::BIGINT AS k, NULL::BIGINT AS id, NULL::BIGINT AS person, 0.0::DOUBLE AS sim, []::DOUBLE[][] AS cents, []::BIGINT[] AS ns FROM f UNION ALL
+            SELECT owner, k, id, CASE WHEN joins THEN p - 1 WHEN ok THEN len(cents) END, coalesce(best, 0.0),
+                CASE WHEN joins AND ok THEN list_transform(cents, lambda c, i: CASE WHEN i = p THEN list_transform(m, lambda x: x / (sqrt(list_inner_product(m, m)) + 1e-9)) ELSE c END)
+                    WHEN ok AND NOT joins THEN list_append(cents, v) ELSE cents END,
+                CASE WHEN joins THEN list_transform(ns, lambda n, i: n + (i = p)::BIGINT) WHEN ok THEN list_append(ns, 1) ELSE ns END
+            FROM (SELECT *, coalesce(best >= 0.2, false) AS joins, list_transform(list_zip(cents[p], v), lambda z: (z[1] * ns[p] + z[2]) / (ns[p] + 1)) AS m
+                FROM (SELECT *, list_max(sims) AS best, list_position(sims, list_max(sims)) AS p
+                    FROM (SELECT f.*, r.cents, r.ns, list_transform(r.cents, lambda c: list_inner_product(c, f.v)) AS sims FROM r JOIN f ON f.owner = r.owner AND f.k = r.k + 1))))
+        SELECT owner::BIGINT AS owner, id, person, round(sim, 6) AS sim FROM r WHERE k > 0""",
     "query_kinds": """SELECT conv_id, turn, ['date', 'date', 'place', 'document', 'object', 'document', 'date', 'object', 'object', 'date', 'document', 'place'][(conv_id + turn) % 12 + 1] AS kind FROM conversations""",
     "rrf_fusion": f"WITH {_LANES}, {_fused(1.0, 0.2, 'img')} SELECT vec_id, round(score, 6) AS score, place FROM fused",
     "retrieval_metrics": f"""WITH {_LANES}, {_fused(0.2, 0.5, 'desc')}, rel AS (SELECT vec_id FROM embeddings WHERE label IN (3, 4)),

@@ -76,9 +76,12 @@ class Scratch:
     def __exit__(self, *error: object) -> None:
         self.clear()
 
+    def path(self, name: str) -> str:
+        self.paths.append(shared_path(self.spark, name))
+        return self.paths[-1]
+
     def stage(self, df: DataFrame, name: str) -> DataFrame:
-        path = shared_path(self.spark, name)
-        self.paths.append(path)
+        path = self.path(name)
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

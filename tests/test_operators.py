@@ -7,6 +7,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.sources.shared import arrow_batches
 from tessera.operators import clustering, duplicates, filters, graph, merge, numbering, order_statistics, prefixes, ranking, similarity, spatial, sql_guard
 
 
@@ -70,9 +71,11 @@ def test_complete_linkage(spark):
     assert similarity.complete_linkage(pairs.limit(0)).count() == 0
 
 
-def test_complete_linkage_against_a_sequence(spark):
+@pytest.mark.parametrize("stretch, nodes, tries", [(2048, 120, 500), (9, 120, 500), (5, 40, 1500), (3, 200, 150)])
+def test_complete_linkage_against_a_sequence(spark, monkeypatch, stretch, nodes, tries):
+    monkeypatch.setattr(similarity, "STRETCH", stretch)
     r = random.Random(4)
-    links = {(a, b) for a, b in ((r.randrange(120), r.randrange(120)) for _ in range(500)) if a < b}
+    links = {(a, b) for a, b in ((r.randrange(nodes), r.randrange(nodes)) for _ in range(tries)) if a < b}
     near = {}
     for a, b in links:
         near.setdefault(a, set()).add(b)
@@ -162,6 +165,42 @@ def test_suppression(spark):
     assert sorted(r["id"] for r in clustering.non_maximum_suppression(boxes).collect()) == [1, 3, 4]
 
 
+def test_sequences_longer_than_a_batch(spark):
+    r = random.Random(6)
+    boxes = [(r.choice("ppppq"), i, r.uniform(0, 40), r.uniform(0, 40), 0.0, 0.0, round(r.random(), 1)) for i in range(300)]
+    boxes = [(p, i, x, y, x + r.uniform(0, 9), y + r.uniform(0, 9), s) for p, i, x, y, _, _, s in boxes]
+
+    def overlap(a, b):
+        sides = [max(0.0, min(a[i + 4], b[i + 4]) - max(a[i + 2], b[i + 2])) for i in (0, 1)]
+        areas = [(c[4] - c[2]) * (c[5] - c[3]) for c in (a, b)]
+        return sides[0] * sides[1] > 0.2 * (sum(areas) - sides[0] * sides[1])
+
+    kept = []
+    for b in sorted(boxes, key=lambda b: (-b[6], b[1])):
+        if not any(k[0] == b[0] and overlap(k, b) for k in kept):
+            kept.append(b)
+    faces, persons, expected = [], {}, {}
+    for i in range(300):
+        angle, owner, ok = r.uniform(0, 6.28), r.choice([1, 1, 1, 2]), r.random() < 0.8
+        v, own = [math.cos(angle), math.sin(angle)], persons.setdefault(owner, [])
+        faces.append((owner, i, v, "ok" if ok else "marginal"))
+        sims = [sum(a * b for a, b in zip(c, v)) for c, _ in own]
+        if sims and max(sims) >= 0.9:
+            at = expected[i] = sims.index(max(sims))
+            c, n = own[at]
+            mean = [(a * n + b) / (n + 1) for a, b in zip(c, v)]
+            own[at] = ([a / math.hypot(*mean) for a in mean] if ok else c, n + 1)
+        else:
+            expected[i] = len(own) if ok else None
+            if ok:
+                own.append((v, 1))
+    with arrow_batches(spark, 7):
+        got = clustering.non_maximum_suppression(spark.createDataFrame(boxes, "image string, id long, x1 double, y1 double, x2 double, y2 double, score double"), 0.2)
+        assert sorted(x["id"] for x in got.collect()) == sorted(k[1] for k in kept)
+        df = spark.createDataFrame(faces, "owner long, id long, embedding array<double>, verdict string").repartition(5)
+        assert {x["id"]: x["person"] for x in clustering.register_faces(df, 0.9).collect()} == expected
+
+
 def test_faces(spark):
     rows = [(1, 1, [1.0, 0.0], "ok"), (1, 2, [0.9, 0.1], "marginal"), (1, 3, [0.0, 1.0], "marginal"), (1, 4, [0.0, 1.0], "ok"), (2, 5, [1.0, 0.0], "ok")]
     faces = spark.createDataFrame(rows, "owner long, id long, embedding array<double>, verdict string")

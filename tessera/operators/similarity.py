@@ -151,14 +151,52 @@ def complete_linkage(pairs: DataFrame) -> DataFrame:
     return settled.join(seeds, ["comp", "seed"]).join(nodes.select("comp", "at", "node"), ["comp", "at"]).select(F.col("first").alias("seed"), "node")
 
 
+def _padded(vectors: list[list[float | None]], width: int) -> np.ndarray:
+    """One row a vector, zeros in place of nulls and of what a shorter one lacks: products with it end there."""
+    out = np.zeros((len(vectors), width))
+    for row, v in zip(out, vectors):
+        row[: len(v)] = [x or 0.0 for x in v]
+    return out
+
+
+def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The best centroid of a block for each member of a chunk, least label on ties."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            asked = sorted(row["asked"], key=lambda c: c["label"])
+            width = max(len(x["v"]) for x in [*asked, *row["members"]])
+            sims = _padded([m["v"] for m in row["members"]], width) @ _padded([c["v"] for c in asked], width).T
+            best = sims.argmax(axis=1)
+            labels = [asked[i]["label"] for i in best]
+            yield pa.RecordBatch.from_arrays([pa.array([m["id"] for m in row["members"]], pa.int64()), pa.array(labels, pa.int64()), pa.array(sims.max(axis=1))], names=["id", "label", "sim"])
+
+
+def _chunks(rows: DataFrame, name: str, by: str, n: int) -> DataFrame:
+    """Rows in chunks of about BLOCK: the chunk's number and its rows as the array ``name``."""
+    part = F.pmod(F.xxhash64(by), F.lit(-(-n // BLOCK))).alias("part")
+    return rows.groupBy(part).agg(F.collect_list(F.struct(*rows.columns)).alias(name))
+
+
 def nearest_centroid(vectors: DataFrame, centroids: DataFrame, least: float, key: str = "vec_id") -> DataFrame:
-    """(key, label, sim): the centroid of greatest cosine for each vector, label null below ``least``.
+    """(key, label, sim): the centroid of greatest cosine for each vector, least label on ties, label null below ``least``.
 
-    ``centroids`` (label, centroid) is a stated set of queries; every one is held against all vectors.
+    Up to BLOCK centroids are broadcast. More form blocks, and so do the
+    vectors; every chunk of vectors meets every block of centroids in one matrix
+    product, and the best of a block is all that leaves it. A null vector has
+    neither label nor sim, a null centroid is none; of different dimensions the shorter counts.
     """
-    scored = vectors.crossJoin(centroids.select(F.col("label").alias("_label"), "centroid")).select(
-        key, "_label", dot(F.col("embedding"), F.col("centroid")).alias("sim")
-    )
+    centroids = centroids.where("label is not null and centroid is not null")
+    n = centroids.count()
+    if n <= BLOCK:
+        few = F.broadcast(centroids.select(F.col("label").alias("_label"), "centroid"))
+        scored = vectors.join(few, how="left").select(key, "_label", dot(F.col("embedding"), F.col("centroid")).alias("sim"))
+    else:
+        whole = vectors.where("embedding is not null").select(F.col(key).cast("long").alias("id"), F.col("embedding").alias("v"))
+        asked = _chunks(centroids.select(F.col("label").cast("long").alias("label"), F.col("centroid").alias("v")), "asked", "label", n)
+        parts = F.sequence(F.lit(0).cast("long"), F.lit(-(-n // BLOCK) - 1).cast("long"))
+        members = _chunks(whole, "members", "id", max(whole.count(), 1)).select("members", F.explode(parts).alias("part"))
+        met = members.join(asked, "part").select("members", "asked").mapInArrow(_nearest, "id long, label long, sim double")
+        scored = met.select(F.col("id").alias(key), F.col("label").alias("_label"), "sim").union(vectors.where("embedding is null").select(key, F.lit(None), F.lit(None)))
     best = scored.groupBy(key).agg(F.max(F.struct("sim", (-F.col("_label")).alias("m"))).alias("best"))
     return best.select(key, F.when(F.col("best.sim") >= least, -F.col("best.m")).alias("label"), F.col("best.sim").alias("sim"))
 

@@ -94,6 +94,21 @@ def test_complete_linkage_against_a_sequence(spark, monkeypatch, stretch, nodes,
     assert len(got) == len(expected) and {(x["seed"], x["node"]) for x in got} == expected
 
 
+@pytest.mark.parametrize("block", [1024, 7])
+def test_nearest_centroid(spark, monkeypatch, block):
+    monkeypatch.setattr(similarity, "BLOCK", block)
+    r = random.Random(8)
+    rows = [[r.randint(-3, 3) for _ in range(3)] for _ in range(50)] + [None, [1, 2]]
+    asked = [[r.randint(-3, 3) for _ in range(3)] for _ in range(30)] + [None]
+    df = spark.createDataFrame([(i, v and [float(x) for x in v]) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    centroids = spark.createDataFrame([(i, v and [float(x) for x in v]) for i, v in enumerate(asked)], "label long, centroid array<double>")
+    expected = {}
+    for i, v in enumerate(rows):
+        best = max(((sum(a * b for a, b in zip(v, c)), -j) for j, c in enumerate(asked) if c), default=None) if v else None
+        expected[i] = (-best[1] if best and best[0] >= 4 else None, best and best[0])
+    assert {x["vec_id"]: (x["label"], x["sim"]) for x in similarity.nearest_centroid(df, centroids, 4.0).collect()} == expected
+
+
 def test_components(spark):
     r = random.Random(3)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(500, 540)]

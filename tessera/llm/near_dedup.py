@@ -34,10 +34,10 @@ WIDTH = 5
 SIMILARITY = 0.8
 #: A pair at similarity 0.8 shares one of 25 bands of 5 coordinates with probability 1 - (1 - 0.8**5)**25 > 0.9999.
 BANDS, ROWS = 25, 5
-#: Words per slice of a batch: bounds the arrays of a task to some tens of MB.
-SLICE = 200_000
-#: Documents of an Arrow batch, since each carries a hash for every word.
-BATCH_ROWS = 1000
+#: Words and texts per slice of a batch: a text draws about a thousand darts, so both bound the arrays of a task to some ten MB.
+SLICE, SLICE_ROWS = 50_000, 100
+#: Documents and bytes of an Arrow batch, since each carries a hash for every word.
+BATCH_ROWS, BATCH_BYTES = 250, 2 << 20
 #: Shingles that are told apart by how often they occur, the most frequent ones; this orders shingles and drops none.
 HOT_CELLS = 65_536
 #: Members of one shingle that a task takes at once on one side of the join.
@@ -49,7 +49,7 @@ def _sketch_batches(width: int, bands: int, rows: int):
         for batch in batches:
             tokens, bounds = ragged(batch.column(batch.schema.get_field_index("tokens")))
             prints, sizes, keys = [], [], []
-            for start, stop in slices(bounds, SLICE):
+            for start, stop in slices(bounds, SLICE, SLICE_ROWS):
                 own = bounds[start : stop + 1] - bounds[start]
                 part = tokens[bounds[start] : bounds[stop]]
                 prints += [hashlib.md5(part[a:b].tobytes()).digest() for a, b in zip(own[:-1], own[1:])]
@@ -85,7 +85,7 @@ def sketch_rows(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: i
         ]
     )
     ready = docs.withColumn("uid", F.monotonically_increasing_id()).withColumn("tokens", word_hashes(F.col("text")))
-    with arrow_batches(docs.sparkSession, BATCH_ROWS):
+    with arrow_batches(docs.sparkSession, BATCH_ROWS, BATCH_BYTES):
         return stage(ready.mapInArrow(_sketch_batches(width, bands, rows), schema), "sketches")
 
 
@@ -155,7 +155,7 @@ def _cell_batches(width: int):
         for batch in batches:
             tokens, bounds = ragged(batch.column(batch.schema.get_field_index("tokens")))
             found, sizes = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
-            for start, stop in slices(bounds, SLICE):
+            for start, stop in slices(bounds, SLICE, SLICE_ROWS):
                 own = bounds[start : stop + 1] - bounds[start]
                 cells, row = shingle_cells(tokens[bounds[start] : bounds[stop]], own, width)
                 order = np.argsort(row, kind="stable")
@@ -266,7 +266,7 @@ def near_classes(sketches: DataFrame, width: int = WIDTH, least: float = SIMILAR
     the row that stays for it.
     """
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "uid")).alias("best")
-    with Scratch(sketches.sparkSession) as scratch, arrow_batches(sketches.sparkSession, BATCH_ROWS):
+    with Scratch(sketches.sparkSession) as scratch, arrow_batches(sketches.sparkSession, BATCH_ROWS, BATCH_BYTES):
         grouped = sketches.groupBy("print").agg(F.min("uid").alias("node"), first, F.max("size").alias("size"), F.first("bands").alias("bands"))
         nodes = scratch.stage(grouped.select("print", "node", F.col("best.doc_id").alias("doc_id"), F.col("best.uid").alias("uid"), "size", "bands"), "nodes")
         members = bucket_members(nodes, scratch)

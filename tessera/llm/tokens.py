@@ -37,11 +37,12 @@ def ragged(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return values[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def slices(bounds: np.ndarray, most: int):
-    """Ranges of rows that hold about ``most`` values each, one row at least; whole rows only."""
+def slices(bounds: np.ndarray, most: int, most_rows: int | None = None):
+    """Ranges of at most ``most_rows`` rows that hold about ``most`` values each, one row at least; whole rows only."""
     start, rows = 0, len(bounds) - 1
     while start < rows:
         stop = max(start + 1, int(np.searchsorted(bounds, bounds[start] + most, side="right")) - 1)
+        stop = min(stop, start + (most_rows or rows))
         yield start, stop
         start = stop
 

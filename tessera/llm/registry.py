@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = [import_module(f"tessera.llm.{name}") for name in ("op1_query", "op2_query", "op3_query", "op4_query", "op5_query", "op6_query", "op7_query", "op8_query", "op9_query", "op10_query")]
+MODULES = [import_module(f"tessera.llm.{name}") for name in ("op1_query", "op2_query", "op3_query", "op4_query", "op5_query", "op6_query", "op7_query", "op8_query", "op9_query", "op10_query", "op11_query", "op12_query", "op13_query")]
 
 
 def queries() -> dict:

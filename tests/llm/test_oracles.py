@@ -15,4 +15,4 @@ def test_against_sql(spark, name, sf):
 
 def test_names():
     names = set(registry.queries())
-    assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 14)}

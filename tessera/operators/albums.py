@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.merge import insert_or_ignore
 from tessera.operators.numbering import numbered
+from tessera.operators.text_index import like_any_case, parsed, says
 from tessera.sources.shared import dealt_anew
 
 # Fixed values of the application.
@@ -185,15 +186,9 @@ def relabelled(rows: DataFrame, keys: list[str], column: str, old: list[str], ne
 
 
 def searched(rows: DataFrame, keyword: str, columns: list[str]) -> DataFrame:
-    """Rows with a word that begins like one of the keyword's, ranked by how many they have; without words in the keyword, its substring hits."""
-    words = [w for w in keyword.lower().split() if any(ch.isalnum() for ch in w)]
-    text = F.lower(F.concat_ws(" ", *columns))
-    if not words:
-        return rows.where(F.contains(text, F.lit(keyword.lower().strip()))).withColumn("hits", F.lit(0))
-    found = F.split(text, r"[^\p{L}\p{N}]+")
-
-    def begins(word: str) -> Column:
-        return F.exists(found, lambda w: w.startswith(word)).cast("int")
-
-    hits = sum(map(begins, words), F.lit(0))
+    """Rows with one of the words of a keyword, the last of which may be a beginning, and how many of them as hits; a keyword that is no search for words finds rows LIKE it."""
+    text, asked = F.concat_ws(" ", *columns), parsed(keyword)
+    if asked is None:
+        return rows.where(like_any_case(text, keyword)).withColumn("hits", F.lit(0))
+    hits = sum((says(text, [one]).cast("int") for one in asked), F.lit(0))
     return rows.withColumn("hits", hits).where("hits > 0")

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.text_index import like_any_case, parsed, says
+
 
 @dataclass(frozen=True)
 class SmartFilter:
@@ -66,10 +68,9 @@ def range_filter(rows: DataFrame, bounds: dict[str, tuple[float | None, float |
 
 
 def token_search(rows: DataFrame, column: str, query: str) -> DataFrame:
-    """Rows with a word that starts with one of the words of ``query``."""
-    prefixes = [w.lower() for w in query.split()]
-    words = F.split(F.lower(F.coalesce(F.col(column), F.lit(""))), r"[^\p{L}\p{N}]+")
-    return rows.where(F.exists(words, lambda w: reduce(lambda a, b: a | b, (w.startswith(p) for p in prefixes), F.lit(False))))
+    """Rows with one of the words of ``query``; the last word may be a beginning. A query that is no search for words finds rows LIKE it."""
+    asked = parsed(query)
+    return rows.where(like_any_case(F.col(column), query) if asked is None else says(F.col(column), asked))
 
 
 def page(rows: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:

@@ -131,7 +131,7 @@ ORACLES = {
         WHERE l_quantity BETWEEN 10 AND 20 AND l_discount >= 0.05 AND l_tax <= 0.04 GROUP BY 1""",
     "keyword_like": "SELECT doc_id, source, n_chars FROM documents WHERE text ILIKE '%heation%'",
     "token_prefix_search": r"""SELECT doc_id FROM documents
-        WHERE len(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: starts_with(w, 'thnd') OR starts_with(w, 'ñdo'))) > 0""",
+        WHERE len(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w = 'thnd' OR starts_with(w, 'ñdo'))) > 0""",
     "paged_listing": f"WITH {PHOTOS_SQL} SELECT id, score FROM photos WHERE category = '2-HIGH' ORDER BY score DESC, id LIMIT 40 OFFSET 80",
     "category_counts": f"WITH {PHOTOS_SQL} SELECT category, tone, count(*) AS n FROM photos GROUP BY 1, 2",
     "category_cover": f"""WITH {PHOTOS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY score DESC, id) AS rn, count(*) OVER (PARTITION BY category) AS n FROM photos)

@@ -468,7 +468,7 @@ ORACLES = {
     "rekeyed_thumbs": f"""WITH p AS (SELECT page_id, url || '|' || page_id || '|7' AS t FROM pages) SELECT page_id, CASE WHEN page_id % 2 = 0 THEN {FNV_SQL.format(t="t")} ELSE 'own' || page_id END AS key FROM p""",
     "relabelled_models": """WITH u AS (SELECT vec_id % 100 AS k, label::VARCHAR AS model, min(vec_id) AS vec_id FROM embeddings GROUP BY 1, 2), n AS (SELECT k, CASE WHEN model IN ('1', '2') THEN '0' ELSE model END AS m, model NOT IN ('1', '2') AS late, vec_id FROM u)
         SELECT k, m AS model, arg_min(vec_id, (late, vec_id)) AS vec_id FROM n GROUP BY 1, 2""",
-    "searched_documents": f"""WITH h AS (SELECT doc_id, (len(list_filter({_WORDS}, lambda w: starts_with(w, 'thnd'))) > 0)::INT + (len(list_filter({_WORDS}, lambda w: starts_with(w, 'ñdo'))) > 0)::INT AS hits FROM documents) SELECT * FROM h WHERE hits > 0""",
+    "searched_documents": f"""WITH h AS (SELECT doc_id, list_contains({_WORDS}, 'thnd')::INT + (len(list_filter({_WORDS}, lambda w: starts_with(w, 'ñdo'))) > 0)::INT AS hits FROM documents) SELECT * FROM h WHERE hits > 0""",
     "searched_symbols": "SELECT page_id, 0 AS hits FROM pages WHERE contains(lower(concat_ws(' ', url, html)), '??')",
     "dropped_column": "SELECT c_custkey, c_name, c_nationkey, c_mktsegment, 'user' AS role FROM customer",
     "vectors_by_path": f"WITH {PHOTOS_SQL} SELECT count(*) FILTER (id % 3 > 0) AS found, count(*) FILTER (id % 3 = 0) AS missing FROM photos WHERE id % 5 <> 0",

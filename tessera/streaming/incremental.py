@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tessera.operators.merge import delete_keys
@@ -17,19 +20,21 @@ def table_exists(spark: SparkSession, path: str) -> bool:
 def scan_incrementally(source: DataFrame, key: str, target: str, checkpoint: str) -> StreamingQuery:
     """Append the rows of a streaming ``source`` whose key the table at ``target`` lacks.
 
-    Each micro-batch is an anti-join with the table, so files that come twice or
-    rows that repeat are stored once; the batch number is part of the path, so a
-    batch that is done again overwrites its own output.
+    Each micro-batch is an anti-join with the table, so files that come twice, rows
+    that repeat and a stream that starts again from nothing are stored once. Every
+    start has folders of its own: a batch that is done again finds its rows stored,
+    or writes over what it left unfinished, and never over rows of an earlier start.
     """
+    run = uuid.uuid4().hex
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
+        spark, own = batch.sparkSession, f"{run}-{number}"
         rows = batch.dropDuplicates([key])
-        folders = f"{target}/batch=*"
-        known = spark.read.option("basePath", target).parquet(folders).where(F.col("batch") != number) if number and table_exists(spark, target) else None
-        if known is not None:
-            rows = delete_keys(rows, known, [key])
-        rows.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        if table_exists(spark, target):
+            stored = T.StructType([batch.schema[key], T.StructField("batch", T.StringType())])
+            known = spark.read.schema(stored).option("basePath", target).parquet(target)
+            rows = delete_keys(rows, known.where(F.col("batch") != own), [key])
+        rows.write.mode("overwrite").parquet(f"{target}/batch={own}")
 
     return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

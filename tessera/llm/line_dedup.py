@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions.arrays import let
 from tessera.sources.columns import Carried
 from tessera.sources.shared import Scratch, stage
 
@@ -42,12 +43,12 @@ def line_rows(docs: DataFrame, min_chars: int) -> DataFrame:
         F.transform(lines_of(F.col("text")), lambda line, i: F.struct(i.alias("pos"), F.btrim(line, F.lit(WHITE)).alias("key"))),
         lambda r: F.char_length(r["key"]) >= min_chars,
     )
-    hashed = F.transform(long_lines, lambda r: F.struct(F.unhex(F.md5(F.translate(r["key"], UPPER, LOWER))).alias("h"), r["pos"].alias("pos")))
-    return docs.select(
-        document_number(docs).alias("doc"),
-        F.xxhash64("text").alias("row"),
-        F.explode(hashed).alias("line"),
-    ).select("line.h", "doc", "row", "line.pos")
+    def hashed(row: Column) -> Column:
+        return F.transform(long_lines, lambda r: F.struct(F.unhex(F.md5(F.translate(r["key"], UPPER, LOWER))).alias("h"), row.alias("row"), r["pos"].alias("pos")))
+
+    # the hash of the text is made inside the array: beside it, it would be made anew, and the text copied, for every line
+    lines = docs.select(document_number(docs).alias("doc"), F.explode(let(F.xxhash64("text"), hashed)).alias("line"))
+    return lines.select("line.h", "doc", "line.row", "line.pos")
 
 
 def shared_lines(lines: DataFrame, min_docs: int, salts: int = 64) -> DataFrame:
@@ -79,9 +80,13 @@ def shared_lines(lines: DataFrame, min_docs: int, salts: int = 64) -> DataFrame:
 
 def runs(positions: Column) -> Column:
     """Sorted distinct positions as runs (start, length): the compressed bitmap of dropped lines."""
-    starts = F.filter(positions, lambda p, i: (i == 0) | (F.get(positions, i - 1) != p - 1))
-    ends = F.filter(positions, lambda p, i: (i == F.size(positions) - 1) | (F.get(positions, i + 1) != p + 1))
-    return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), (b - a + 1).alias("length")))
+
+    def over(at: Column) -> Column:
+        starts = F.filter(at, lambda p, i: (i == 0) | (F.get(at, i - 1) != p - 1))
+        ends = F.filter(at, lambda p, i: (i == F.size(at) - 1) | (F.get(at, i + 1) != p + 1))
+        return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), (b - a + 1).alias("length")))
+
+    return let(positions, over)
 
 
 def positions_of(bitmap: Column) -> Column:
@@ -117,7 +122,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     joined = keyed.join(marks, ["doc", "row"], "left")
     lines = lines_of(F.col("text"))
     gone = positions_of(F.coalesce(F.col("dropped_runs"), F.array().cast("array<struct<start:int,length:int>>")))
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone")), lambda i: F.get(lines, i))
+    kept = let(lines, lambda split: F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("gone")), lambda i: F.get(split, i)))
     counted = joined.withColumn("n_lines", F.size(lines).cast("long")).withColumn("gone", gone).withColumn("n_dropped", F.size("gone").cast("long"))
     whole = F.when(F.col("n_dropped") == 0, F.coalesce(F.col("text"), F.lit(""))).otherwise(F.array_join(kept, "\n"))
     return carried.back(counted.withColumn("kept_text", whole), "n_lines", "n_dropped", "dropped_runs", "kept_text")

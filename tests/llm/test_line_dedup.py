@@ -1,6 +1,7 @@
 """op2 against brute force and DuckDB."""
 
 import hashlib
+import time
 from collections import defaultdict
 
 from compare import assert_same, connection
@@ -65,3 +66,14 @@ def test_awkward_rows(awkward):
 
 def test_query(spark, sf_dir):
     assert_same(op2_line_dedup(spark, sf_dir), connection(sf_dir), ORACLES["op2_line_dedup"])
+
+
+def test_one_very_long_text(spark):
+    """200 000 lines, every other one shared by five documents: time grows with the lines, not with their square."""
+    text = "\n".join(f"own {i}" if i % 2 else f"{SHARED}{i}" for i in range(200_000))
+    docs = spark.createDataFrame([(i, text) for i in range(5)], "doc_id long, text string")
+    start = time.perf_counter()
+    rows = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["kept"]) for r in dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.md5("kept_text").alias("kept")).collect()}
+    assert time.perf_counter() - start < 60
+    kept = hashlib.md5("\n".join(f"own {i}" for i in range(1, 200_000, 2)).encode()).hexdigest()
+    assert all(rows[i] == (200_000, 100_000, kept) for i in range(4)) and rows[4][:2] == (200_000, 0)

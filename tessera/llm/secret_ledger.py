@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.arrays import let, positions, running_totals
 from tessera.sources.columns import Carried
 from tessera.sources.shared import Scratch, shared_path, stage
 
@@ -60,23 +61,26 @@ class Ledger:
 def spans_of(text: Column, rule: Rule, rank: int) -> Column:
     """Leftmost non-overlapping matches of a rule as (start, rank, kind, stop), in code points.
 
-    The text between the matches comes from splitting at the pattern, so the
-    start of match i is the length of the first i + 1 pieces and i matches.
+    The text between the matches comes from splitting at the pattern, so the start of match i is the length of the first
+    i + 1 pieces and i matches: running totals of lengths, in which no match copies what the earlier ones found.
     """
-    pieces = F.split(text, rule.pattern)
-    matches = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    secrets = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else matches
-    parts = F.arrays_zip(pieces.alias("piece"), matches.alias("match"), secrets.alias("secret"))
-    state = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPAN).alias("out"))
-
-    def add(acc: Column, part: Column) -> Column:
-        start = acc["at"] + F.char_length(part["piece"])
-        stop = start + F.coalesce(F.char_length(part["match"]), F.lit(0))
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), stop.alias("stop"))
-        found = F.coalesce(F.char_length(part["secret"]) >= rule.least, F.lit(False))
-        return F.struct(stop.alias("at"), F.when(found, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
-
-    return F.when(F.size(pieces) > 1, F.aggregate(parts, state, add, lambda s: s["out"])).otherwise(F.array().cast(SPAN))
+
+    def over(pieces: Column, matches: Column, secrets: Column) -> Column:
+        lengths = F.flatten(F.transform(matches, lambda m, i: F.array(*(F.char_length(x).cast("bigint") for x in (F.get(pieces, i), m)))))
+        long = F.filter(positions(secrets), lambda i: F.char_length(F.get(secrets, i)) >= rule.least)
+        return let(running_totals(lengths), lambda at: F.transform(long, lambda i: span(F.get(at, 2 * i + 1), F.get(at, 2 * i + 2))))
+
+    def span(start: Column, stop: Column) -> Column:
+        return F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), stop.alias("stop"))
+
+    def matched(pieces: Column) -> Column:
+        matches = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
+        if not rule.group:
+            return let(matches, lambda m: over(pieces, m, m))
+        secrets = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
+        return let(matches, lambda m: let(secrets, lambda s: over(pieces, m, s)))
+
+    return let(F.split(text, rule.pattern), lambda pieces: F.when(F.size(pieces) > 1, matched(pieces)).otherwise(F.array().cast(SPAN)))
 
 
 def blobs(versions: DataFrame) -> DataFrame:

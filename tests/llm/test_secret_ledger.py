@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import pytest
 from llm.cases import clashing
@@ -51,6 +52,17 @@ def test_spans(spark, docs):
     assert all(r["s"] == base_spans(texts[r["doc_id"]]) for r in rows)
 
 
+def test_one_text_of_very_many_matches(spark):
+    """200 000 matches of one rule: no match copies what earlier ones found."""
+    text = "deadbeefdeadbeef " * 200_000
+    df, book = spark.createDataFrame([(1, text)], "doc_id long, text string"), ledger(spark)
+    start = time.perf_counter()
+    scan_new(df, book)
+    found = findings_by_path(df, book).select(F.size("found").alias("n"), F.md5(spans_text(F.col("found"))).alias("s")).first()
+    assert time.perf_counter() - start < 60
+    assert (found["n"], found["s"]) == (200_000, hashlib.md5(",".join(f"hex:{17 * i}:{17 * i + 16}" for i in range(200_000)).encode()).hexdigest())
+
+
 def test_added_kinds(spark):
     text = "-----BEGIN RSA PRIVATE KEY----- ghp_" + "A" * 36 + " eyJabcdefgh0.eyJabcdefgh0.abcdefgh0"
     book, df = ledger(spark), spark.createDataFrame([(1, text)], "doc_id long, text string")

@@ -18,14 +18,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.sources.columns import Carried
 
 #: Everything but letters and digits counts as one space.
 GAP = re.compile(r"[\W_]+")
 ERROR_RATE = 0.08
-#: Items of fewer words are no queries.
-LEAST_WORDS = 3
+#: Items of fewer letters and digits are no queries.
+LEAST_LETTERS = 8
+#: Characters of scripts that are written without spaces between words.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 #: Characters of passages in one broadcast; larger sets are searched block by block.
 BLOCK_CHARS = 4_000_000
 
@@ -75,7 +78,7 @@ class Myers:
 class Matcher:
     """Search for all of a block of (id, passage) at once; passages without letters or digits match nothing."""
 
-    def __init__(self, passages: list[tuple[int, str]], rate: float) -> None:
+    def __init__(self, passages: list[tuple], rate: float) -> None:
         self.automaton = ahocorasick.Automaton()
         self.patterns: dict[int, tuple[int, int, Myers]] = {}
         at: dict[str, list[tuple[int, int]]] = {}
@@ -84,8 +87,9 @@ class Matcher:
             if not passage:
                 continue
             budget = int(len(passage) * rate)
-            if budget == 0:  # too short for errors: whole words only
-                passage = f" {passage} "
+            if budget == 0:  # too short for errors: whole words only, where the script has spaces
+                before, after = ("" if UNSPACED.match(ch) else " " for ch in (passage[0], passage[-1]))
+                passage = before + passage + after
             self.patterns[number] = (item, budget, Myers(passage))
             for offset, piece in pieces(passage, budget):
                 at.setdefault(piece, []).append((number, offset))
@@ -94,7 +98,7 @@ class Matcher:
         if at:
             self.automaton.make_automaton()
 
-    def find(self, text: str | None) -> list[tuple[int, int]]:
+    def find(self, text: str | None) -> list[tuple]:
         """(item id, least distance) of the passages found in ``text``, by id."""
         body = f" {plain(text)} "
         if not self.patterns or len(body) < 3:
@@ -120,7 +124,7 @@ class Matcher:
         return sorted(found.items())
 
 
-def _search(block, rate: float):
+def _search(block, rate: float, item_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = None
         for batch in batches:
@@ -128,17 +132,17 @@ def _search(block, rate: float):
             at = batch.schema.get_field_index("text")
             before = batch.column(batch.schema.get_field_index("found")).to_pylist()
             found = [old + [{"item_id": i, "distance": d} for i, d in matcher.find(text.as_py())] for old, text in zip(before, batch.column(at))]
-            kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32())]))
+            kind = pa.list_(pa.struct([("item_id", item_type), ("distance", pa.int32())]))
             columns = [pa.array(found, kind) if n == "found" else batch.column(n) for n in batch.schema.names]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
     return run
 
 
-def _blocks(items: DataFrame, least_words: int) -> Iterator[list[tuple[int, str]]]:
+def _blocks(items: DataFrame, least_letters: int) -> Iterator[list[tuple]]:
     block, size = [], 0
     for row in items.select("item_id", "text").where("item_id is not null and text is not null").toLocalIterator():
-        if len(plain(row["text"]).split()) < least_words:
+        if len(plain(row["text"]).replace(" ", "")) < least_letters:
             continue
         if size and size + len(row["text"]) > BLOCK_CHARS:
             yield block
@@ -149,7 +153,7 @@ def _blocks(items: DataFrame, least_words: int) -> Iterator[list[tuple[int, str]
         yield block
 
 
-def contamination(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, least_words: int = LEAST_WORDS) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, least_letters: int = LEAST_LETTERS) -> DataFrame:
     """All rows and columns of ``docs`` with found (item ids and distances), n_items and contaminated.
 
     A passage is found where some stretch of the text is within ``rate`` times
@@ -157,18 +161,19 @@ def contamination(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, l
     texts hold nothing; repeated rows are marked alike, long texts searched
     whole, in time that grows with their length and, where pieces hit, with that
     of the items. Items with a null id or text, and those of fewer than
-    ``least_words`` words, which say nothing about where a text comes from, are
-    no queries; of items with the same id the nearest counts. The items are the
+    ``least_letters`` letters and digits in any script, are no queries; ids may
+    be of any type; of items with the same id the nearest counts. The items are the
     stated queries: they reach the tasks in blocks of at most BLOCK_CHARS
     characters, every block against all rows. An empty table stays empty.
     Columns of the three names are replaced, all others pass under any name.
     """
-    empty = F.array().cast("array<struct<item_id:bigint,distance:int>>")
+    item = items.schema["item_id"].dataType
+    empty = F.array().cast(f"array<struct<item_id:{item.simpleString()},distance:int>>")
     carried = Carried(docs, ["text"], ["found", "n_items", "contaminated"])
     rows = carried.df.withColumn("found", empty)
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in rows.schema.fields])
-    for block in _blocks(items, least_words):
-        rows = rows.mapInArrow(_search(docs.sparkSession.sparkContext.broadcast(block), rate), schema)
+    for block in _blocks(items, least_letters):
+        rows = rows.mapInArrow(_search(docs.sparkSession.sparkContext.broadcast(block), rate, to_arrow_type(item)), schema)
     distinct = F.aggregate(
         F.array_sort("found"),
         empty,

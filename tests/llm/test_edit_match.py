@@ -51,6 +51,27 @@ def test_everything_within_the_budget_is_found():
         assert matcher.find(text) == ([(7, best)] if best <= budget else [])
 
 
+def test_query_finds_planted_errors(spark):
+    """Through the operator: items with 0 to twice the budget of errors in documents, ids that are text, against the edit table."""
+    r = random.Random(11)
+    items = [(f"item {i}", prose(i * 7 + 1, 12)) for i in range(6)]
+    docs = [(d, f"{prose(d + 500, 15)} {mutated(r, plain(text), r.randint(0, 2 * int(len(plain(text)) * 0.08)))} {prose(d + 900, 15)}") for d in range(30) for _, text in [items[d % 6]]]
+    got = contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string"), 0.08)
+    want = {}
+    for d, text in docs:
+        near = {i: (table_distance(plain(t), plain(text)), int(len(plain(t)) * 0.08)) for i, t in items}
+        want[d] = {i: n for i, (n, budget) in near.items() if n <= budget}
+    assert {x["doc_id"]: {f["item_id"]: f["distance"] for f in x["found"]} for x in got.collect()} == want
+    assert len({n for found in want.values() for n in found.values()}) > 4 and not all(want.values())
+
+
+def test_scripts_without_spaces_and_short_items(spark):
+    items = spark.createDataFrame([(1, "北京是中国的首都和最大的城市之一"), (2, "ภาษาไทยมีพยัญชนะ"), (3, "unfathomable quagmire"), (4, "東京都港区六本木"), (5, "a b c"), (6, "…")], "item_id long, text string")
+    docs = [(1, "据说北京是中国的首都和最大的城市之一，人口众多"), (2, "据说北京是中国的首部和最大的城市之一。"), (3, "คือภาษาไทยมีพยัญชนะมาก"), (4, "An UNFATHOMABLE, quagmire."), (5, "住所は東京都港区六本木です"), (6, "a b c"), (7, "北京是城市")]
+    got = contamination(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()
+    assert {r["doc_id"]: [(f["item_id"], f["distance"]) for f in r["found"]] for r in got} == {1: [(1, 0)], 2: [(1, 1)], 3: [(2, 0)], 4: [(3, 0)], 5: [(4, 0)], 6: [], 7: []}
+
+
 def test_short_passages_match_whole_words():
     matcher = Matcher([(1, "cat"), (2, "!!!"), (3, "")], 0.08)
     assert matcher.find("A Cat.") == [(1, 0)] and matcher.find("concatenate") == [] and matcher.find("") == [] and matcher.find(None) == []

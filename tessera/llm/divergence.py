@@ -32,7 +32,7 @@ TERMS = translation()
 #: Rows that a task gathers before it hands them on.
 HELD = 400_000
 #: Cells of a chunk: sources times terms. The chunk's vectors take 8 bytes a cell.
-CELLS = 1 << 19
+CELLS = 1 << 17
 SCALE_STEPS, STEP = 3, 1000  # p is scaled by STEP ** SCALE_STEPS = 10^9
 COUNTS = pa.schema([("lang", pa.string()), ("term", pa.string()), ("source", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
 

@@ -132,11 +132,15 @@ def complete_linkage_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return complete_linkage(similar_pairs(_vectors(spark, sf_dir), 0.3))
 
 
-def online_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    faces = _vectors(spark, sf_dir).select(
+def label_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as faces, their label the owner, every tenth of marginal quality."""
+    return _vectors(spark, sf_dir).select(
         F.col("label").cast("long").alias("owner"), F.col("vec_id").alias("id"), "embedding", F.when(F.col("vec_id") % 10 == 9, "marginal").otherwise("ok").alias("verdict")
     )
-    return _rounded(register_faces(faces, 0.2), "sim")
+
+
+def online_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(register_faces(label_faces(spark, sf_dir), 0.2), "sim")
 
 
 def query_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:

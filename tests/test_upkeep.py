@@ -206,3 +206,10 @@ def test_export_names_as_in_turn(spark, seed):
     got = {r["path"]: r["target"] for r in unique_names(df, spark.createDataFrame([(t,) for t in taken], "name string")).collect()}
     assert [got[p] for p in paths] == names_in_turn(paths, taken)
     assert len(set(got.values()) | set(taken)) == len(paths) + len(taken)
+
+
+def test_export_query(spark, sf_dir):
+    from tessera.plans.upkeep import export_names_clashing
+
+    rows = sorted(map(tuple, export_names_clashing(spark, sf_dir).select("path", "target").collect()))
+    assert [t for _, t in rows] == names_in_turn([p for p, _ in rows], ["IMG3.jpg", "IMG4_2.jpg"])

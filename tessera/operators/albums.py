@@ -91,13 +91,15 @@ def created_folders(folders: DataFrame, requests: DataFrame) -> DataFrame:
     """(name, parent_id, level, sort_order, problem) of the folders asked for by ``requests`` (name, parent_id).
 
     A folder lies one level below its parent and comes last among its siblings; one without a parent is a root.
-    Unknown parents and levels beyond FOLDER_LEVELS are problems, and such a folder has no level.
+    Names are trimmed. Empty names, unknown parents and levels beyond FOLDER_LEVELS are problems, in this order, and such
+    a folder has no level and takes no place.
     """
     parents = folders.select(F.col("id").alias("parent_id"), F.col("level").alias("above"))
     last = folders.groupBy(F.col("parent_id").alias("of")).agg(F.max("sort_order").alias("last"))
     rows = requests.join(parents, "parent_id", "left").join(dealt_anew(last, "last", "of"), F.col("of").eqNullSafe(F.col("parent_id")), "left")
-    problem = F.when(F.col("parent_id").isNotNull() & F.col("above").isNull(), "parent").when(F.col("above") >= FOLDER_LEVELS, "level")
-    placed = numbered(rows.select("name", "parent_id", "above", "last", problem.alias("problem")), ["parent_id"], ["name"], "nth")
+    rows = rows.withColumn("name", F.regexp_replace(F.coalesce("name", F.lit("")), r"(?U)^\s+|\s+$", ""))
+    problem = F.when(F.col("name") == "", "name").when(F.col("parent_id").isNotNull() & F.col("above").isNull(), "parent").when(F.col("above") >= FOLDER_LEVELS, "level")
+    placed = numbered(rows.select("name", "parent_id", "above", "last", problem.alias("problem")), ["parent_id", "problem"], ["name"], "nth")
     fine = F.col("problem").isNull()
     level = F.when(fine, F.coalesce("above", F.lit(0)) + 1)
     return placed.select("name", "parent_id", level.alias("level"), F.when(fine, F.coalesce("last", F.lit(-1)) + 1 + F.col("nth")).alias("sort_order"), "problem")
@@ -147,18 +149,18 @@ def repaired_index(rows: DataFrame, index: DataFrame, key: str) -> DataFrame:
     return index if rows.count() == index.count() else rows.select(*index.columns)
 
 
-def sanitised_groups(items: DataFrame) -> DataFrame:
+def sanitised_groups(items: DataFrame, order: str = "place") -> DataFrame:
     """(group_id, keep_path, items, deletable, reclaimable, collapsed) of duplicate groups that still let something go.
 
-    ``items`` has group_id, path, dir, size, keep_path. Equal paths (any case) count once. A keeper that is not among
-    the items gives way to the first item. What lies in the keeper's folder stays.
+    ``items`` has group_id, path, dir, size, keep_path and its place in the report. Of equal paths (any case) the first
+    counts. A keeper that is not among the items gives way to the first item. What lies in the keeper's folder stays.
     """
     raw = items.groupBy("group_id").agg(F.count("*").alias("raw"), F.max("keep_path").alias("wanted"))
-    single = items.groupBy("group_id", F.lower("path").alias("low")).agg(F.min(F.struct("path", "dir", "size")).alias("m")).select("group_id", "m.*")
+    single = items.groupBy("group_id", F.lower("path").alias("low")).agg(F.min(F.struct(F.col(order).alias("at"), "path", "dir", "size")).alias("m")).select("group_id", "m.*")
     picks = single.join(dealt_anew(raw, "wanted", "group_id"), "group_id")
     keep = picks.groupBy("group_id").agg(
         F.count("*").alias("items"), F.max("raw").alias("raw"),
-        F.coalesce(F.min(F.when(F.col("path") == F.col("wanted"), F.struct("path", "dir"))), F.min(F.struct("path", "dir"))).alias("keep"),
+        F.coalesce(F.min(F.when(F.col("path") == F.col("wanted"), F.struct("at", "path", "dir"))), F.min(F.struct("at", "path", "dir"))).alias("keep"),
     )
     gone = single.join(dealt_anew(keep, "items", "group_id"), "group_id").where((F.col("path") != F.col("keep.path")) & (F.lower("dir") != F.lower("keep.dir")))
     return gone.groupBy("group_id").agg(
@@ -176,13 +178,13 @@ def rekeyed(rows: DataFrame, key: str, old: Column, new: Column) -> DataFrame:
 
 
 def relabelled(rows: DataFrame, keys: list[str], column: str, old: list[str], new: str) -> DataFrame:
-    """``column`` set to ``new`` where it is one of ``old``; of rows that then share ``keys`` one that was renamed wins."""
+    """``column`` set to ``new`` where it is one of ``old``, one after the other: of rows that then share ``keys`` the one renamed last stays."""
     if new in old:
         return rows
-    renamed = F.col(column).isin(*old)
+    turn = F.coalesce(F.array_position(F.array(*map(F.lit, old)), F.col(column)), F.lit(0)) if old else F.lit(0)
     rest = [c for c in rows.columns if c not in [*keys, column]]
-    named = rows.select(*keys, F.when(renamed, F.lit(new)).otherwise(F.col(column)).alias(column), F.struct(F.when(renamed, 0).otherwise(1).alias("late"), *rest).alias("row"))
-    return named.groupBy(*keys, column).agg(F.min("row").alias("row")).select(*keys, column, *(f"row.{c}" for c in rest)).select(*rows.columns)
+    named = rows.select(*keys, F.when(turn > 0, F.lit(new)).otherwise(F.col(column)).alias(column), F.struct(turn.alias("turn"), *rest).alias("row"))
+    return named.groupBy(*keys, column).agg(F.max("row").alias("row")).select(*keys, column, *(f"row.{c}" for c in rest)).select(*rows.columns)
 
 
 def searched(rows: DataFrame, keyword: str, columns: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.vectors import normalised
 from tessera.operators.merge import insert_or_ignore, upsert
-from tessera.operators.prefixes import owners
+from tessera.operators.prefixes import owners_any_case
 from tessera.sources.shared import dealt_anew
 
 # Fixed values of the face gate: bounds of ratios, degrees and pixels.
@@ -49,10 +49,13 @@ def cover_rectangle(width: Column, height: Column, box: Column, ratio: float, ex
 
 
 def persons_below(faces: DataFrame, persons: DataFrame, roots: DataFrame) -> DataFrame:
-    """(root_id, person_id, name, photos): the persons seen below each root of ``roots`` (id, root) and in how many photos."""
-    below = owners(faces.select("person_id", "path"), roots)
+    """(root_id, person_id, name, photos): the known persons seen below each root of ``roots`` (id, root) and in how many photos.
+
+    Case, kind of separator and separators at the end of a root do not count; faces of unknown persons are left out.
+    """
+    below = owners_any_case(faces.select("person_id", "path"), roots)
     counts = below.groupBy("root_id", "person_id").agg(F.countDistinct("path").alias("photos"))
-    return counts.join(persons.select("person_id", "name"), "person_id", "left").select("root_id", "person_id", "name", "photos")
+    return counts.join(persons.select("person_id", "name"), "person_id").select("root_id", "person_id", "name", "photos")
 
 
 def with_signature(persons: DataFrame, faces: DataFrame) -> DataFrame:

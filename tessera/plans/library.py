@@ -96,11 +96,12 @@ FOLDERS_SQL = """folders AS (SELECT r_regionkey::BIGINT AS id, NULL::BIGINT AS p
 
 
 def created_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A folder asked for by each customer: below a region, nation, supplier, an unknown one or none."""
+    """A folder asked for by each customer: below a region, nation, supplier, an unknown one or none; some names are blank or begin with blanks."""
     c = table(spark, sf_dir, "customer")
     k = F.col("c_custkey") % 5
     parent = F.when(k == 0, F.col("c_nationkey") % 5).when(k == 1, F.col("c_nationkey") + 100).when(k == 2, F.lit(1001)).when(k == 3, F.lit(99_999_999))
-    return ops.created_folders(_folders(spark, sf_dir), c.select(F.col("c_name").alias("name"), parent.cast("long").alias("parent_id")))
+    name = F.when(F.col("c_custkey") % 9 == 0, F.lit(" \t ")).when(F.col("c_custkey") % 9 == 1, F.concat(F.lit("  "), "c_name", F.lit("\n"))).otherwise(F.col("c_name"))
+    return ops.created_folders(_folders(spark, sf_dir), c.select(name.alias("name"), parent.cast("long").alias("parent_id")))
 
 
 def deleted_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,7 +204,7 @@ def sanitised_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of items by part and quantity; the wanted keeper is there or not, paths repeat in other case."""
     i = table(spark, sf_dir, "lineitem")
     path = F.concat(F.when(F.col("l_linenumber") % 2 == 0, F.lit("/A/")).otherwise(F.lit("/a/")), F.col("l_orderkey") % 3, F.lit("/x"), F.col("l_orderkey") % 50)
-    items = i.select(F.concat_ws(":", "l_partkey", F.col("l_quantity").cast("int")).alias("group_id"), path.alias("path"), F.regexp_extract(path, "^(.*)/", 1).alias("dir"), F.lit(10).cast("long").alias("size"), F.lit("/a/1/x1").alias("keep_path"))
+    items = i.select(F.concat_ws(":", "l_partkey", F.col("l_quantity").cast("int")).alias("group_id"), path.alias("path"), F.regexp_extract(path, "^(.*)/", 1).alias("dir"), F.lit(10).cast("long").alias("size"), F.lit("/a/1/x1").alias("keep_path"), (-8 * F.col("l_orderkey") - F.col("l_linenumber")).alias("place"))
     return ops.sanitised_groups(items)
 
 
@@ -214,10 +215,10 @@ def rekeyed_thumbs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def relabelled_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors of labels 1 and 2 count as those of label 0; a renamed one replaces one with the same key."""
+    """Vectors of labels 1 and 2 count as those of label 0; a renamed one replaces one with the same key, and label 1, renamed last, one of label 2."""
     rows = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 100).alias("k"), F.col("label").cast("string").alias("model"), "vec_id")
     unique = rows.groupBy("k", "model").agg(F.min("vec_id").alias("vec_id"))
-    return ops.relabelled(unique, ["k"], "model", ["1", "2"], "0")
+    return ops.relabelled(unique, ["k"], "model", ["2", "1"], "0")
 
 
 def searched_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,10 +245,12 @@ def vectors_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def persons_in_albums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths and roots come in other cases and with other separators, and every seventh person is unknown."""
     faces = _faces(spark, sf_dir)
-    persons = faces.select("person_id").distinct().withColumn("name", F.concat(F.lit("name "), "person_id"))
-    roots = faces.select(F.regexp_extract("path", "^(/lib/[^/]+)", 1).alias("root")).distinct().withColumn("id", F.char_length("root").cast("long"))
-    return people.persons_below(faces, persons, roots.groupBy("root").agg(F.min("id").alias("id")))
+    roots = faces.select(F.regexp_extract("path", "^(/lib/[^/]+)", 1).alias("root")).distinct().select(F.char_length("root").cast("long").alias("id"), F.concat(F.upper("root"), F.lit("/")).alias("root"))
+    path = F.when(F.col("face_id") % 3 == 0, F.upper("path")).when(F.col("face_id") % 3 == 1, F.translate("path", "/", "\\")).otherwise(F.col("path"))
+    persons = faces.select("person_id").distinct().where("cast(substring(person_id, 2) as bigint) % 7 <> 0").withColumn("name", F.concat(F.lit("name "), "person_id"))
+    return people.persons_below(faces.withColumn("path", path), persons, roots.groupBy("root").agg(F.min("id").alias("id")))
 
 
 def person_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -437,9 +440,9 @@ ORACLES = {
     "merged_photos": f"WITH {PHOTOS_SQL}, {ALBUMS_SQL} SELECT id, CASE WHEN album_id IN (SELECT id FROM albums WHERE id % 10 = 3) THEN 1 ELSE album_id END AS album_id FROM photos",
     "merge_provenance": f"WITH {PHOTOS_SQL}, {ALBUMS_SQL} SELECT 1::BIGINT AS target_id, a.id AS source_id, count(p.id) AS n_photos, '2024-01-01' AS merged_at FROM albums a LEFT JOIN photos p ON p.album_id = a.id WHERE a.id % 10 = 3 GROUP BY a.id",
     "merge_lists": f"WITH {ALBUMS_SQL} SELECT location, string_agg(name, '|' ORDER BY id) AS sources FROM albums WHERE id % 100 = 3 GROUP BY 1",
-    "created_folders": f"""WITH {FOLDERS_SQL}, q AS (SELECT c_name AS name, CASE c_custkey % 5 WHEN 0 THEN c_nationkey % 5 WHEN 1 THEN c_nationkey + 100 WHEN 2 THEN 1001 WHEN 3 THEN 99999999 END AS parent_id FROM customer),
-        r AS (SELECT q.*, f.level AS above, CASE WHEN q.parent_id IS NOT NULL AND f.id IS NULL THEN 'parent' WHEN f.level >= 3 THEN 'level' END AS problem,
-          (SELECT max(sort_order) FROM folders s WHERE s.parent_id IS NOT DISTINCT FROM q.parent_id) AS last, row_number() OVER (PARTITION BY q.parent_id ORDER BY name) - 1 AS nth FROM q LEFT JOIN folders f ON f.id = q.parent_id)
+    "created_folders": f"""WITH {FOLDERS_SQL}, q AS (SELECT CASE WHEN c_custkey % 9 = 0 THEN '' ELSE c_name END AS name, CASE c_custkey % 5 WHEN 0 THEN c_nationkey % 5 WHEN 1 THEN c_nationkey + 100 WHEN 2 THEN 1001 WHEN 3 THEN 99999999 END AS parent_id FROM customer),
+        r AS (SELECT q.*, f.level AS above, CASE WHEN name = '' THEN 'name' WHEN q.parent_id IS NOT NULL AND f.id IS NULL THEN 'parent' WHEN f.level >= 3 THEN 'level' END AS problem,
+          (SELECT max(sort_order) FROM folders s WHERE s.parent_id IS NOT DISTINCT FROM q.parent_id) AS last, row_number() OVER (PARTITION BY q.parent_id, name = '' ORDER BY name) - 1 AS nth FROM q LEFT JOIN folders f ON f.id = q.parent_id)
         SELECT name, parent_id::BIGINT AS parent_id, CASE WHEN problem IS NULL THEN coalesce(above, 0) + 1 END AS level, CASE WHEN problem IS NULL THEN coalesce(last, -1) + 1 + nth END AS sort_order, problem FROM r""",
     "deleted_folder": f"WITH {FOLDERS_SQL} SELECT id, CASE WHEN parent_id <> 2 THEN parent_id END AS parent_id, CASE WHEN parent_id = 2 THEN 1 ELSE level END AS level, sort_order FROM folders WHERE id <> 2",
     "detached_albums": f"WITH {ALBUMS_SQL} SELECT id, CASE WHEN id % 5 <> 2 THEN id % 5 END AS folder_id FROM albums",
@@ -460,19 +463,20 @@ ORACLES = {
     "category_labels": "SELECT doc_id, CASE lang WHEN 'en' THEN 'English' WHEN 'de' THEN 'German' WHEN 'fr' THEN 'French' ELSE lang END AS label FROM documents",
     "album_stats": "SELECT l_orderkey, count(*) AS file_count, CASE WHEN count(*) = l_orderkey % 4 + 1 THEN 0 ELSE sum(l_linenumber) END::BIGINT AS bytes, count(*) = l_orderkey % 4 + 1 AS reused FROM lineitem GROUP BY 1",
     "index_repair": "SELECT doc_id, lower(source) AS content FROM documents",
-    "sanitised_report": """WITH i AS (SELECT l_partkey || ':' || l_quantity::INT AS group_id, CASE WHEN l_linenumber % 2 = 0 THEN '/A/' ELSE '/a/' END || l_orderkey % 3 AS dir, '/x' || l_orderkey % 50 AS name FROM lineitem),
-        s AS (SELECT group_id, min(dir || name) AS path, min(dir) AS dir FROM i GROUP BY group_id, lower(dir || name)), c AS (SELECT group_id, count(*) AS raw FROM i GROUP BY 1),
-        k AS (SELECT group_id, count(*) AS items, coalesce(min(path) FILTER (path = '/a/1/x1'), min(path)) AS keep FROM s GROUP BY 1)
+    "sanitised_report": """WITH i AS (SELECT l_partkey || ':' || l_quantity::INT AS group_id, CASE WHEN l_linenumber % 2 = 0 THEN '/A/' ELSE '/a/' END || l_orderkey % 3 AS dir, '/x' || l_orderkey % 50 AS name, -8 * l_orderkey - l_linenumber AS place FROM lineitem),
+        s AS (SELECT group_id, arg_min(dir || name, (place, dir || name)) AS path, arg_min(dir, (place, dir || name)) AS dir, min(place) AS place FROM i GROUP BY group_id, lower(dir || name)), c AS (SELECT group_id, count(*) AS raw FROM i GROUP BY 1),
+        k AS (SELECT group_id, count(*) AS items, coalesce(min(path) FILTER (path = '/a/1/x1'), arg_min(path, (place, path))) AS keep FROM s GROUP BY 1)
         SELECT s.group_id, keep AS keep_path, items, count(*) AS deletable, (count(*) * 10)::BIGINT AS reclaimable, max(raw) - items AS collapsed FROM s JOIN k USING (group_id) JOIN c USING (group_id)
         WHERE path <> keep AND lower(dir) <> lower(regexp_extract(keep, '^(.*)/', 1)) GROUP BY 1, 2, 3""",
     "rekeyed_thumbs": f"""WITH p AS (SELECT page_id, url || '|' || page_id || '|7' AS t FROM pages) SELECT page_id, CASE WHEN page_id % 2 = 0 THEN {FNV_SQL.format(t="t")} ELSE 'own' || page_id END AS key FROM p""",
-    "relabelled_models": """WITH u AS (SELECT vec_id % 100 AS k, label::VARCHAR AS model, min(vec_id) AS vec_id FROM embeddings GROUP BY 1, 2), n AS (SELECT k, CASE WHEN model IN ('1', '2') THEN '0' ELSE model END AS m, model NOT IN ('1', '2') AS late, vec_id FROM u)
-        SELECT k, m AS model, arg_min(vec_id, (late, vec_id)) AS vec_id FROM n GROUP BY 1, 2""",
+    "relabelled_models": """WITH u AS (SELECT vec_id % 100 AS k, label::VARCHAR AS model, min(vec_id) AS vec_id FROM embeddings GROUP BY 1, 2), n AS (SELECT k, CASE WHEN model IN ('1', '2') THEN '0' ELSE model END AS m, CASE model WHEN '1' THEN 2 WHEN '2' THEN 1 ELSE 0 END AS turn, vec_id FROM u)
+        SELECT k, m AS model, arg_max(vec_id, turn) AS vec_id FROM n GROUP BY 1, 2""",
     "searched_documents": f"""WITH h AS (SELECT doc_id, list_contains({_WORDS}, 'thnd')::INT + (len(list_filter({_WORDS}, lambda w: starts_with(w, 'ñdo'))) > 0)::INT AS hits FROM documents) SELECT * FROM h WHERE hits > 0""",
     "searched_symbols": "SELECT page_id, 0 AS hits FROM pages WHERE contains(lower(concat_ws(' ', url, html)), '??')",
     "dropped_column": "SELECT c_custkey, c_name, c_nationkey, c_mktsegment, 'user' AS role FROM customer",
     "vectors_by_path": f"WITH {PHOTOS_SQL} SELECT count(*) FILTER (id % 3 > 0) AS found, count(*) FILTER (id % 3 = 0) AS missing FROM photos WHERE id % 5 <> 0",
-    "persons_in_albums": f"WITH {FACES_SQL}, f AS (SELECT *, regexp_extract(path, '^(/lib/[^/]+)', 1) AS root FROM faces) SELECT length(root)::BIGINT AS root_id, person_id, 'name ' || person_id AS name, count(DISTINCT path) AS photos FROM f GROUP BY 1, 2",
+    "persons_in_albums": f"""WITH {FACES_SQL}, f AS (SELECT *, regexp_extract(path, '^(/lib/[^/]+)', 1) AS root, CASE face_id % 3 WHEN 0 THEN upper(path) WHEN 1 THEN replace(path, '/', chr(92)) ELSE path END AS p FROM faces WHERE person_id[2:]::BIGINT % 7 <> 0)
+        SELECT length(root)::BIGINT AS root_id, person_id, 'name ' || person_id AS name, count(DISTINCT p) AS photos FROM f GROUP BY 1, 2""",
     "person_signatures": f"WITH {FACES_SQL}, s AS (SELECT person_id, count(*) || ':' || max(face_id) AS signature FROM faces GROUP BY 1) SELECT 'P' || c_custkey AS person_id, signature FROM customer LEFT JOIN s ON s.person_id = 'P' || c_custkey",
     "face_boxes": f"WITH {FACES_SQL} SELECT person_id, path, min(box) AS box FROM faces GROUP BY 1, 2",
     "person_names": """SELECT doc_id, array_to_string(CASE doc_id % 6 WHEN 0 THEN ['Ann', 'Bo'] WHEN 1 THEN ['Ann', 'Bo'] WHEN 2 THEN ['Bo', 'Ann'] WHEN 3 THEN ['Bo', 'Ann'] WHEN 4 THEN ['Ann'] ELSE ['Ann'] END, ',') AS names FROM documents""",

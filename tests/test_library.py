@@ -27,9 +27,9 @@ def test_merge_and_folders(spark):
     assert sorted(map(tuple, noted.collect())) == [(12, 10, 2, "now"), (12, 13, 0, "now")]
     assert sorted(map(tuple, albums.merged_albums(photos, merges, False, "now")[0].collect())) == sorted(map(tuple, photos.collect()))
     folders = spark.createDataFrame([(1, None, 1, 0), (2, 1, 2, 0), (3, 2, 3, 4)], "id long, parent_id long, level int, sort_order long")
-    asked = spark.createDataFrame([("a", None), ("b", 1), ("c", 1), ("d", 3), ("e", 99), ("f", 2)], "name string, parent_id long")
+    asked = spark.createDataFrame([("a", None), ("b", 1), ("c", 1), ("d", 3), ("e", 99), ("f", 2), (" ", 2), ("\u3000 g\n", 2), (None, 99)], "name string, parent_id long")
     got = {r["name"]: (r["level"], r["sort_order"], r["problem"]) for r in albums.created_folders(folders, asked).collect()}
-    assert got == {"a": (1, 1, None), "b": (2, 1, None), "c": (2, 2, None), "d": (None, None, "level"), "e": (None, None, "parent"), "f": (3, 5, None)}
+    assert got == {"a": (1, 1, None), "b": (2, 1, None), "c": (2, 2, None), "d": (None, None, "level"), "e": (None, None, "parent"), "f": (3, 5, None), "g": (3, 6, None), "": (None, None, "name")}
 
 
 def test_rekeyed_and_relabelled(spark):
@@ -38,6 +38,18 @@ def test_rekeyed_and_relabelled(spark):
     v = spark.createDataFrame([(1, "a", 5), (1, "b", 6), (2, "c", 7)], "k long, model string, x long")
     assert sorted(map(tuple, albums.relabelled(v, ["k"], "model", ["a"], "b").collect())) == [(1, "b", 5), (2, "c", 7)]
     assert albums.relabelled(v, ["k"], "model", ["a", "b"], "b") is v
+    clash = spark.createDataFrame([(1, "c", 3), (1, "a", 5), (1, "n", 9)], "k long, model string, x long")
+    assert [tuple(r) for r in albums.relabelled(clash, ["k"], "model", ["c", "a"], "n").collect()] == [(1, "n", 5)]
+    assert [tuple(r) for r in albums.relabelled(clash, ["k"], "model", ["a", "c"], "n").collect()] == [(1, "n", 3)]
+
+
+def test_first_item_and_any_case(spark):
+    items = [("g", "/b/2", "/b", 1, "/gone", 0), ("g", "/a/1", "/a", 1, "/gone", 1), ("g", "/A/1", "/A", 1, "/gone", 2), ("h", "/a/1", "/a", 1, "/a/1", 0)]
+    got = albums.sanitised_groups(spark.createDataFrame(items, "group_id string, path string, dir string, size long, keep_path string, place long")).collect()
+    assert [tuple(r) for r in got] == [("g", "/b/2", 2, 1, 1, 1)]
+    faces = spark.createDataFrame([("P1", "/Lib/A/x.jpg"), ("P1", "\\lib\\a\\y.jpg"), ("P2", "/lib/a/x.jpg"), ("P1", "/lib/ab/x.jpg"), ("P1", "/lib/a")], "person_id string, path string")
+    roots, persons = spark.createDataFrame([(1, "/lib/a/")], "id long, root string"), spark.createDataFrame([("P1", "Ann")], "person_id string, name string")
+    assert [tuple(r) for r in people.persons_below(faces, persons, roots).collect()] == [(1, "P1", "Ann", 2)]
 
 
 def test_face_verdicts(spark):

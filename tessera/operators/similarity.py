@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 from tessera.functions.vectors import dot
 from tessera.operators.graph import components
 from tessera.operators.numbering import numbered
-from tessera.sources.shared import Scratch, shared_path, stage
+from tessera.sources.shared import Scratch, stage
 
 #: Vectors of a block: a product of two blocks of 512 dimensions takes some tens of MB.
 BLOCK = 1024
+#: Cells at most; a vector is compared with every pivot.
+PIVOTS = 4096
 #: Nodes of a component whose groups one task settles at once.
 STRETCH = 2048
 
@@ -31,54 +33,108 @@ def widest_dimensions(vectors: DataFrame, n: int = 2) -> list[int]:
     return [r["dim"] for r in best.collect()]
 
 
+def _members(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each row of a list of (id, embedding) the ids and the matrix."""
+    out, flat, bounds = [], column.flatten(), column.offsets.to_numpy() - column.offsets[0].as_py()
+    ids, vectors = flat.field("id").to_numpy(), flat.field("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    vectors = vectors.reshape(len(ids), -1)
+    for start, stop in zip(bounds, bounds[1:]):
+        out.append((ids[start:stop], vectors[start:stop]))
+    return out
+
+
 def _matched(least: float):
     """Pairs (a, b, sim) of the members of two blocks, by one matrix product for each pair of blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                own, other = (np.array([v["embedding"] for v in row[side]], dtype=np.float64) for side in ("left", "right"))
-                ids, other_ids = (np.array([v["id"] for v in row[side]], dtype=np.int64) for side in ("left", "right"))
+            left, right = (_members(batch.column(side)) for side in ("left", "right"))
+            for (ids, own), (other_ids, other), same in zip(left, right, batch.column("same").to_pylist(), strict=True):
                 sims = own @ other.T
                 near = sims >= least
-                if row["same"]:
+                if same:
                     near &= ids[:, None] < other_ids[None, :]
                 i, j = np.nonzero(near)
-                a, b = ids[i], other_ids[j]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(sims[i, j])], names=["a", "b", "sim"])
+                x, y = ids[i], other_ids[j]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(sims[i, j])], names=["a", "b", "sim"])
 
     return run
 
 
-def similar_pairs(vectors: DataFrame, least: float, key: str = "vec_id") -> DataFrame:
-    """(a, b, sim) of all pairs of unit vectors of one dimension with a dot product of at least ``least``, a < b.
-
-    Similar unit vectors differ by at most sqrt(2 - 2 least) in every dimension.
-    Two dimensions of great variance are cut into cells of that width, so a pair
-    lies in the same or in neighbouring cells and nothing is lost. Vectors of
-    another dimension than the commonest, null ones and those that hold a null
-    are in no pair. The members of
-    a cell form blocks of about BLOCK vectors; blocks of neighbouring cells meet
-    in a join on the cell, and each meeting is one matrix product.
+def _celled(pivots: np.ndarray, reach: float):
+    """(cell, home, id, embedding): each vector at home in the cell of its nearest pivot, and a guest in earlier cells within ``reach``."""
+    norms = (pivots**2).sum(axis=1)
+    between = np.sqrt(np.maximum(norms[:, None] + norms[None, :] - 2 * pivots @ pivots.T, 0.0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            vectors = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(batch), -1)
+            far = norms[None, :] - 2 * vectors @ pivots.T  # squared distances but for the vector's own norm
+            home = far.argmin(axis=1)
+            near = far - far[np.arange(len(far)), home][:, None] <= 2 * (reach + 1e-9) * between[home]
+            near &= np.arange(len(pivots))[None, :] < home[:, None]
+            rows, cells = np.nonzero(near)
+            at = np.concatenate([np.arange(len(batch)), rows])
+            taken = batch.take(pa.array(at))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([home, cells]).astype(np.int64)), pa.array(np.arange(len(at)) < len(batch)), taken.column("id"), taken.column("embedding")], names=["cell", "home", "id", "embedding"]
+            )
+
+    return run
+
+
+def block_meetings(vectors: DataFrame, least: float, key: str = "vec_id") -> DataFrame:
+    """(left, right, same): the pairs of blocks of vectors that may hold a pair with a dot product of at least ``least``.
+
+    Pivots are up to PIVOTS vectors, those of least hash. A vector is at home with its nearest pivot. Two vectors whose dot
+    product is at least ``least`` lie within a distance that follows from it and from the longest vector; so if their homes
+    differ, both lie within that distance of the plane halfway between the pivots, and the one of the later home is a guest
+    in the earlier. Blocks have about BLOCK vectors; in a cell, blocks at home meet each other and the guests.
     """
-    width = max(math.sqrt(max(2 - 2 * least, 0.0)), 1e-6)
     whole = vectors.where(F.size("embedding") > 0).where(~F.exists("embedding", lambda x: x.isNull()))
-    common = whole.groupBy(F.size("embedding").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "n").first()
-    vectors = whole.where(F.size("embedding") == (common["n"] if common else 0))
-    cells = [F.floor(F.get("embedding", F.lit(d)).cast("double") / width) for d in widest_dimensions(vectors, 2)]
-    cells = cells or [F.lit(0).cast("long")]
-    placed = vectors.select(F.col(key).cast("long").alias("id"), "embedding", F.array(*cells).alias("cell"))
-    sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("parts"))
-    dealt = placed.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
-    blocks = dealt.groupBy("cell", "part").agg(F.collect_list(F.struct("id", "embedding")).alias("members"))
-    shifts = [()]
-    for _ in cells:
-        shifts = [s + (i,) for s in shifts for i in (-1, 0, 1)]
-    near = F.array(*(F.array(*(F.get("cell", F.lit(j)) + s for j, s in enumerate(shift))) for shift in shifts))
-    left = blocks.select(F.struct("cell", "part").alias("me"), F.col("members").alias("left"), F.explode(near).alias("cell"))
-    right = blocks.select("cell", F.struct("cell", "part").alias("it"), F.col("members").alias("right"))
-    meetings = left.join(right, "cell").where(F.col("me") <= F.col("it"))
-    return meetings.select("left", "right", (F.col("me") == F.col("it")).alias("same")).mapInArrow(_matched(least), "a long, b long, sim double")
+    norm = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
+    common = whole.groupBy(F.size("embedding").alias("n")).agg(F.count("*").alias("c"), F.max(norm).alias("norm")).orderBy(F.desc("c"), "n").first()
+    width, count, longest = (common["n"], common["c"], common["norm"]) if common else (0, 0, 0.0)
+    rows = whole.where(F.size("embedding") == width).select(F.col(key).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    if count <= 2 * BLOCK:  # one cell
+        celled = rows.select(F.lit(0).cast("long").alias("cell"), F.lit(True).alias("home"), "id", "embedding")
+    else:
+        # several cells a block, so that groups of similar vectors have pivots of their own
+        chosen = rows.orderBy(F.xxhash64("id"), "id").limit(min(PIVOTS, 4 * count // BLOCK)).collect()
+        pivots = np.unique(np.array([r["embedding"] for r in chosen], dtype=np.float64), axis=0)
+        reach = math.sqrt(max(2 * longest - 2 * least, 0.0))
+        celled = rows.mapInArrow(_celled(pivots, reach), "cell long, home boolean, id long, embedding array<double>")
+    sizes = celled.groupBy("cell", "home").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("parts"))
+    dealt = celled.join(sizes, ["cell", "home"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    blocks = dealt.groupBy("cell", "home", "part").agg(F.collect_list(F.struct("id", "embedding")).alias("members"))
+    left = blocks.where("home").select("cell", F.col("part").alias("me"), F.col("members").alias("left"))
+    right = blocks.select("cell", "home", F.col("part").alias("it"), F.col("members").alias("right"))
+    met = left.join(right, "cell").where(~F.col("home") | (F.col("me") <= F.col("it")))
+    return met.select("left", "right", (F.col("home") & (F.col("me") == F.col("it"))).alias("same"))
+
+
+def similar_pairs(vectors: DataFrame, least: float, key: str = "vec_id") -> DataFrame:
+    """(a, b, sim) of all pairs of vectors of one dimension with a dot product of at least ``least``, a < b.
+
+    Vectors of another dimension than the commonest, null ones and those that hold a null are in no pair. Every meeting of
+    two blocks (:func:`block_meetings`) is one matrix product.
+    """
+    return block_meetings(vectors, least, key).mapInArrow(_matched(least), "a long, b long, sim double")
+
+
+def similar_classes(vectors: DataFrame, least: float, key: str = "vec_id") -> DataFrame:
+    """(id, class, links): of each vector the least id that it is linked with over others, itself without any, and the number of vectors similar to it.
+
+    The links are found once and written; a class is a connected component of them.
+    """
+    links = stage(similar_pairs(vectors, least, key).select("a", "b"), "links")
+    ends = links.select(F.col("a").alias("id")).union(links.select("b"))
+    counted = ends.groupBy("id").agg(F.count("*").alias("links"))
+    classes = components(links).select(F.col("node").alias("id"), F.col("comp").alias("class"))
+    known = vectors.select(F.col(key).cast("long").alias("id")).join(counted, "id", "left").join(classes, "id", "left")
+    return known.select("id", F.coalesce("class", "id").alias("class"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def _settled(rows: pd.DataFrame) -> pd.DataFrame:
@@ -99,56 +155,64 @@ def _settled(rows: pd.DataFrame) -> pd.DataFrame:
 def complete_linkage(pairs: DataFrame) -> DataFrame:
     """(seed, node): greedy groups in which every two members are similar.
 
-    Nodes are tried from the best connected on; each joins the oldest group all
-    of whose members are similar to it, or else begins one; groups of one are
-    left out. Nothing passes between connected components, so they run
-    alongside. The nodes of a component are taken in stretches of STRETCH:
-    joins find the earlier groups that a node is wholly linked to, then a task
-    settles the stretch, with at most STRETCH squared links and groups. Of a
-    node's earlier groups it needs the STRETCH oldest, since each other node of
-    the stretch can close one at most. What is settled is written after every
-    stretch, so a component of any size costs rounds, not memory.
+    Nodes are tried from the best connected on; each joins the oldest group all of whose members are similar to it, or else
+    begins one; groups of one are left out. Nothing passes between connected components. The nodes of a component are
+    cut into stretches of STRETCH in that order, and all stretches of all components are settled at once, each by a task that
+    holds at most STRETCH squared links and groups. What a stretch needs to know of earlier ones are the groups that its nodes
+    are wholly linked to; in the first round there are none, afterwards they come from the round before. The first stretch is
+    right from the first round on, so each round settles one more for good, but rounds end as soon as nothing changes, which
+    for groups of similar things is after a few. Of a node's earlier groups the STRETCH oldest are enough, since each other
+    node of the stretch can close one at most.
     """
     spark = pairs.sparkSession
     with Scratch(spark) as scratch:
         links = pairs.where("a <> b").select(F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b")).distinct()
         links = scratch.stage(links, "links")
         both = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node")))
-        ranked = both.groupBy("node").agg((-F.count("*")).alias("rank")).join(components(links, scratch), "node")
-        nodes = numbered(ranked, ["comp"], ["rank", "node"], "at").select("node", "comp", F.col("at").cast("long").alias("at"))
-        nodes = stage(nodes.withColumn("stretch", F.floor(F.col("at") / STRETCH)), "nodes")
+        ranked = scratch.stage(both.groupBy("node").agg((-F.count("*")).alias("rank")), "ranked")
+        if ranked.limit(STRETCH + 1).count() <= STRETCH:  # one stretch holds them all, whatever their components
+            place = F.row_number().over(Window.orderBy("rank", "node")) - 1
+            nodes = ranked.select("node", F.lit(0).cast("long").alias("comp"), place.cast("long").alias("at"))
+        else:
+            known = ranked.join(components(links, scratch), "node")
+            nodes = numbered(known, ["comp"], ["rank", "node"], "at").select("node", "comp", F.col("at").cast("long").alias("at"))
+        stretch = F.floor(F.col("at") / STRETCH).alias("stretch")
+        nodes = stage(nodes.select("node", "comp", "at", stretch), "nodes")
         ends = [nodes.select(F.col("node").alias(x), "comp", F.col("at").alias(f"at_{x}")) for x in ("a", "b")]
         placed = links.join(ends[0], "a").join(ends[1].drop("comp"), "b")
-        placed = placed.select("comp", F.greatest("at_a", "at_b").alias("at"), F.least("at_a", "at_b").alias("before"))
-        placed = placed.withColumn("stretch", F.floor(F.col("at") / STRETCH))
-        by_stretch = scratch.path("placed")
-        placed.repartitionByRange("stretch", "comp", "at").write.partitionBy("stretch").parquet(by_stretch)
-        settled_path, schema = shared_path(spark, "settled"), "comp long, at long, seed long"
+        placed = scratch.stage(placed.select("comp", F.greatest("at_a", "at_b").alias("at"), F.least("at_a", "at_b").alias("before")).select("comp", "at", "before", stretch), "placed")
+        inner = F.col("before") >= F.col("stretch") * STRETCH
+        own = nodes.select("comp", "stretch", "at", F.col("at").alias("other"), F.lit("node").alias("kind"))
+        own = own.union(placed.where(inner).select("comp", "stretch", "at", "before", F.lit("link")))
         last = nodes.agg(F.max("stretch")).first()[0]
-        for number in range((last if last is not None else -1) + 1):
-            own = spark.read.schema("comp long, at long, before long, stretch long").parquet(by_stretch).where(F.col("stretch") == number)
-            inner = F.col("before") >= number * STRETCH
-            tasks = [
-                nodes.where(F.col("stretch") == number).select("comp", "at", F.col("at").alias("other"), F.lit("node").alias("kind")),
-                own.where(inner).select("comp", "at", F.col("before").alias("other"), F.lit("link").alias("kind")),
-            ]
-            if number:
-                settled = spark.read.schema(schema).parquet(*(f"{settled_path}/{i}" for i in range(number)))
-                sizes = settled.groupBy("comp", "seed").agg(F.count("*").alias("size"))
-                met = own.where(~inner).join(settled.withColumnRenamed("at", "before"), ["comp", "before"]).groupBy("comp", "at", "seed").agg(F.count("*").alias("n"))
-                whole = met.join(sizes, ["comp", "seed"]).where("n = size")
-                oldest = F.row_number().over(Window.partitionBy("comp", "at").orderBy("seed"))
-                tasks.append(whole.withColumn("rn", oldest).where(F.col("rn") <= STRETCH).select("comp", "at", F.col("seed").alias("other"), F.lit("group").alias("kind")))
-            rows = tasks[0].unionByName(tasks[1])
-            for more in tasks[2:]:
-                rows = rows.unionByName(more)
-            rows.groupBy("comp").applyInPandas(_settled, schema).write.parquet(f"{settled_path}/{number}")
-    if last is None:
-        return spark.createDataFrame([], "seed long, node long")
-    settled = spark.read.schema(schema).parquet(*(f"{settled_path}/{i}" for i in range(last + 1)))
-    shared = settled.groupBy("comp", "seed").agg(F.count("*").alias("n")).where("n > 1")
-    seeds = shared.join(nodes.select("comp", F.col("at").alias("seed"), F.col("node").alias("first")), ["comp", "seed"])
-    return settled.join(seeds, ["comp", "seed"]).join(nodes.select("comp", "at", "node"), ["comp", "at"]).select(F.col("first").alias("seed"), "node")
+        if last is None:
+            return spark.createDataFrame([], "seed long, node long")
+        schema, settled = "comp long, at long, seed long", None
+        for number in range(last + 1):
+            rows, final = own, None
+            if settled is not None:
+                final = settled.where(F.col("stretch") < number)
+                rows = rows.where(F.col("stretch") >= number).union(_whole_groups(placed.where(~inner & (F.col("stretch") >= number)), settled))
+            now = rows.groupBy("comp", "stretch").applyInPandas(_settled, schema).select("comp", "at", "seed", stretch)
+            now = stage(now if final is None else final.union(now), "settled")
+            if settled is not None and now.join(settled, ["comp", "at", "seed"], "left_anti").isEmpty():
+                break
+            settled = now
+        shared = settled.groupBy("comp", "seed").agg(F.count("*").alias("n")).where("n > 1")
+        seeds = shared.join(nodes.select("comp", F.col("at").alias("seed"), F.col("node").alias("first")), ["comp", "seed"])
+        return settled.join(seeds, ["comp", "seed"]).join(nodes.select("comp", "at", "node"), ["comp", "at"]).select(F.col("first").alias("seed"), "node")
+
+
+def _whole_groups(earlier: DataFrame, settled: DataFrame) -> DataFrame:
+    """(comp, stretch, at, other, kind): the groups of earlier stretches that a node is linked to all members of."""
+    sizes = settled.groupBy("comp", "seed", "stretch").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("comp", "seed").agg(F.collect_list(F.struct("stretch", "n")).alias("parts"))  # one a stretch that the group spans
+    joined = earlier.join(settled.select("comp", F.col("at").alias("before"), "seed"), ["comp", "before"])
+    met = joined.groupBy("comp", "stretch", "at", "seed").agg(F.count("*").alias("met")).join(sizes, ["comp", "seed"])
+    there = F.aggregate(F.filter("parts", lambda p: p["stretch"] < F.col("stretch")), F.lit(0).cast("long"), lambda acc, p: acc + p["n"])
+    oldest = F.row_number().over(Window.partitionBy("comp", "at").orderBy("seed"))
+    whole = met.where(F.col("met") == there).withColumn("nth", oldest).where(F.col("nth") <= STRETCH)
+    return whole.select("comp", "stretch", "at", F.col("seed").alias("other"), F.lit("group").alias("kind"))
 
 
 def _padded(vectors: list[list[float | None]], width: int) -> np.ndarray:

@@ -9,7 +9,7 @@ from tessera.functions.vectors import dot, literal, normalised, strict_dot
 from tessera.operators.clustering import register_faces
 from tessera.operators.order_statistics import nearest_rank
 from tessera.operators.ranking import fuse, query_kind, rank_absolute, rank_relative, ranking_metrics
-from tessera.operators.similarity import centroids, complete_linkage, nearest_centroid, similar_pairs, widest_dimensions
+from tessera.operators.similarity import centroids, complete_linkage, nearest_centroid, similar_classes, similar_pairs, widest_dimensions
 from tessera.sources.tables import table
 
 EXCLUDE_MARGIN = 0.005
@@ -128,6 +128,11 @@ def similar_vector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(similar_pairs(_vectors(spark, sf_dir), 0.38), "sim")
 
 
+def similar_vector_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of similar vectors with the number of links of each, beside the pairs."""
+    return similar_classes(_vectors(spark, sf_dir), 0.38)
+
+
 def complete_linkage_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return complete_linkage(similar_pairs(_vectors(spark, sf_dir), 0.3))
 
@@ -183,7 +188,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         cosine_topk, cosine_rel_median, cosine_fold, image_recall, centered_cosine, neutral_baseline, keyword_argmax_class, percentile_nearest_rank, dominant_model,
-        embedding_version, max_variance_dims, centroid_by_label, nearest_label, representative_member, similar_vector_pairs, complete_linkage_groups,
+        embedding_version, max_variance_dims, centroid_by_label, nearest_label, representative_member, similar_vector_pairs, similar_vector_classes, complete_linkage_groups,
         online_clustering, query_kinds, rrf_fusion, retrieval_metrics, judged_pool,
     )
 }
@@ -247,6 +252,9 @@ ORACLES = {
         SELECT label, vec_id, sim FROM s QUALIFY row_number() OVER (PARTITION BY label ORDER BY sim DESC, vec_id) = 1""",
     "similar_vector_pairs": """WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id)
         SELECT a, b, round(sim, 6) AS sim FROM p WHERE sim >= 0.38""",
+    "similar_vector_classes": """WITH RECURSIVE p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.38),
+        r AS (SELECT vec_id AS id, vec_id AS met FROM embeddings UNION SELECT r.id, p.b FROM r JOIN p ON r.met = p.a)
+        SELECT id, min(met) AS class, (SELECT count(*) FROM p WHERE p.a = id) AS links FROM r GROUP BY id""",
     "complete_linkage_groups": """WITH RECURSIVE p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id
             WHERE list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.3),
         o AS MATERIALIZED (SELECT a AS node, row_number() OVER (ORDER BY count(*) DESC, a) AS k FROM p GROUP BY a),

@@ -62,6 +62,73 @@ def test_similar_pairs_lose_nothing(spark, least):
     assert {(p["a"], p["b"]) for p in similarity.similar_pairs(vectors_of(spark, rows), least).collect()} == expected
 
 
+def clustered(r, centres, each, noise, dims):
+    rows = []
+    for _ in range(centres):
+        c = [r.gauss(0, 1) for _ in range(dims)]
+        for _ in range(each):
+            v = [x + noise * r.gauss(0, 1) for x in c]
+            n = math.sqrt(sum(x * x for x in v))
+            rows.append([x / n for x in v])
+    return rows
+
+
+@pytest.mark.parametrize("least, noise", [(0.9, 0.1), (0.9, 0.35), (0.5, 0.6), (-0.2, 1.0)])
+def test_similar_pairs_with_many_pivots(spark, monkeypatch, least, noise):
+    """Every pair once, from cells of a few vectors; copies of a vector and vectors that are not of length 1 among them."""
+    monkeypatch.setattr(similarity, "BLOCK", 5)
+    rows = clustered(random.Random(int(100 * noise)), 25, 6, noise, 8)
+    rows += [rows[0]] * 4 + [[0.5 * x for x in rows[9]], [1.5 * x for x in rows[20]]]
+    expected = {(i, j) for i, j in combinations(range(len(rows)), 2) if sum(a * b for a, b in zip(rows[i], rows[j])) >= least}
+    got = [(p["a"], p["b"]) for p in similarity.similar_pairs(vectors_of(spark, rows), least).collect()]
+    assert len(got) == len(set(got)) and set(got) == expected
+
+
+def test_few_blocks_meet(spark, monkeypatch):
+    """Of vectors in 40 clusters, at 0.9, the products made are a small part of all pairs."""
+    monkeypatch.setattr(similarity, "BLOCK", 25)
+    rows = clustered(random.Random(3), 40, 50, 0.1, 32)
+    met = similarity.block_meetings(vectors_of(spark, rows), 0.9).select(F.sum(F.size("left") * F.size("right"))).first()[0]
+    assert met < 0.25 * len(rows) ** 2 / 2
+
+
+def test_similar_classes(spark):
+    rows = [[1.0, 0.0], [1.0, 0.0], [0.8, 0.6], [0.0, 1.0], None, [0.6, 0.8], [-1.0, 0.0]]
+    df = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>")
+    got = {r["id"]: (r["class"], r["links"]) for r in similarity.similar_classes(df, 0.79).collect()}
+    assert got == {0: (0, 2), 1: (0, 2), 2: (0, 3), 3: (0, 1), 5: (0, 2), 4: (4, 0), 6: (6, 0)}
+
+
+def linked_in_turn(links):
+    """Complete linkage, one node after the other."""
+    near = {}
+    for a, b in links:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    order = sorted(near, key=lambda u: (-len(near[u]), u))
+    free, out = set(near), set()
+    for seed in order:
+        if seed in free:
+            members = [seed]
+            for v in order:
+                if v in free and v != seed and all(v in near[m] for m in members):
+                    members.append(v)
+            free -= set(members)
+            out |= {(seed, m) for m in members if len(members) > 1}
+    return out
+
+
+def test_linkage_rounds_do_not_grow_with_the_component(spark, monkeypatch):
+    """Groups of twenty in one chain: 800 nodes in 50 stretches are settled in a few rounds."""
+    monkeypatch.setattr(similarity, "STRETCH", 16)
+    rounds, plain = [], similarity.stage
+    monkeypatch.setattr(similarity, "stage", lambda df, name: rounds.append(name) or plain(df, name))
+    links = [(20 * g + i, 20 * g + j) for g in range(40) for i in range(20) for j in range(i)] + [(20 * g + 19, 20 * g + 20) for g in range(39)]
+    got = similarity.complete_linkage(spark.createDataFrame(links, "a long, b long")).collect()
+    assert {(x["seed"], x["node"]) for x in got} == linked_in_turn(links)
+    assert rounds.count("settled") <= 8
+
+
 def test_complete_linkage(spark):
     pairs = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (1, 3), (10, 11)], "a long, b long")
     groups = {}
@@ -76,20 +143,7 @@ def test_complete_linkage_against_a_sequence(spark, monkeypatch, stretch, nodes,
     monkeypatch.setattr(similarity, "STRETCH", stretch)
     r = random.Random(4)
     links = {(a, b) for a, b in ((r.randrange(nodes), r.randrange(nodes)) for _ in range(tries)) if a < b}
-    near = {}
-    for a, b in links:
-        near.setdefault(a, set()).add(b)
-        near.setdefault(b, set()).add(a)
-    order = sorted(near, key=lambda u: (-len(near[u]), u))
-    free, expected = set(near), set()
-    for seed in order:
-        if seed in free:
-            members = [seed]
-            for v in order:
-                if v in free and v != seed and all(v in near[m] for m in members):
-                    members.append(v)
-            free -= set(members)
-            expected |= {(seed, m) for m in members if len(members) > 1}
+    expected = linked_in_turn(links)
     got = similarity.complete_linkage(spark.createDataFrame(sorted(links), "a long, b long")).collect()
     assert len(got) == len(expected) and {(x["seed"], x["node"]) for x in got} == expected
 

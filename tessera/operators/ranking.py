@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import dot, literal
-from tessera.operators.order_statistics import median
+from tessera.operators.order_statistics import median_and_peak
+from tessera.sources.shared import stage
 
 RRF_K = 60
 # Words that tell the kind of a query.
@@ -47,13 +48,13 @@ def rank_relative(
 ) -> DataFrame:
     """(key, rel) of the best vectors by dot product above the median of all.
 
-    The lane is empty if its peak lies less than ``min_lift`` above the median.
+    The lane is empty if its peak lies less than ``min_lift`` above the median. Scores are written once, so that neither
+    the passes of the median nor the ranking read vectors again.
     With ``per_group`` at most so many rows of a group stay, the best of it.
     """
     columns = [key] + ([group] if group else [])
-    scored = comparable(vectors, query).select(*columns, dot(F.col("embedding"), literal(query)).alias("score"))
-    middle = median(scored, "score")
-    peak = scored.agg(F.max("score")).first()[0]
+    scored = stage(comparable(vectors, query).select(*columns, dot(F.col("embedding"), literal(query)).alias("score")), "scores")
+    middle, peak = median_and_peak(scored, "score")
     rel = scored.select(*columns, (F.col("score") - middle).alias("rel")).where(F.col("rel") >= floor)
     if peak is None or not peak - middle >= min_lift:
         rel = rel.where(F.lit(False))

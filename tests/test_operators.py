@@ -27,7 +27,9 @@ def test_fold(spark):
     assert [r["vec_id"] for r in ranking.rank_relative(v, [1.0, 0.0], 10, 0.0, per_group=2, group="label").collect()] == [0, 1]
 
 
-def test_median_and_percentiles(spark):
+@pytest.mark.parametrize("few", [4096, 1])
+def test_median_and_percentiles(spark, monkeypatch, few):
+    monkeypatch.setattr(order_statistics, "FEW", few)
     values = [random.Random(5).uniform(-1, 1) for _ in range(501)]
     df = spark.createDataFrame([(x,) for x in values], "x double")
     s = sorted(values)

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # File extensions by media kind.
-IMAGE_EXTENSIONS = ["jpg", "jpeg", "png", "bmp", "tif", "tiff", "heic", "heif"]
+IMAGE_EXTENSIONS = ["jpg", "jpeg", "png", "bmp", "heic", "heif", "tif", "tiff"]
 ANIMATED_EXTENSIONS = ["gif", "webp"]
 VIDEO_EXTENSIONS = ["mp4", "mov", "m4v", "wmv", "webm"]
 

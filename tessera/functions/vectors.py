@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.arrays import let
+
 
 def dot(a: Column, b: Column) -> Column:
     """Dot product over the shorter length; null vectors give null."""
@@ -23,7 +25,7 @@ def norm(a: Column) -> Column:
 
 def normalised(a: Column) -> Column:
     """Unit vector; vectors of length up to 1e-6 stay as they are."""
-    return F.when(norm(a) > 1e-6, F.transform(a, lambda x: x.cast("double") / norm(a))).otherwise(a.cast("array<double>"))
+    return let(norm(a), lambda n: F.when(n > 1e-6, F.transform(a, lambda x: x.cast("double") / n)).otherwise(a.cast("array<double>")))
 
 
 def literal(vector: list[float]) -> Column:

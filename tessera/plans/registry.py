@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import catalog, duplicates, joins, library, merges, reports, scalars, streams, text_search, timeline, tones, upkeep, vectors
+from tessera.plans import catalog, duplicates, expressions, joins, library, merges, reports, scalars, streams, text_search, timeline, tones, upkeep, vectors
 
-MODULES = (timeline, catalog, joins, vectors, duplicates, merges, scalars, reports, tones, streams, library, text_search, upkeep)
+MODULES = (timeline, catalog, joins, vectors, duplicates, merges, scalars, reports, tones, streams, library, text_search, upkeep, expressions)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -311,3 +311,49 @@ def test_guard_limits(spark):
         assert sql_guard.run_guarded(spark, sql, 7).count() == 7
     assert sql_guard.run_guarded(spark, "select id from guard_rows limit 3", 7).count() == 3
     assert sql_guard.run_guarded(spark, "select 'parquet.`x`' as a, 'reflect(' as b", 7).count() == 1
+
+
+REGION = "id long, bbox array<double>, polygons array<array<array<struct<lon:double,lat:double>>>>"
+
+
+def ring_of(r, n, x, y, size, grid):
+    """A star-shaped ring; on a grid many vertices share latitudes with points and tiles."""
+    out = []
+    for i in range(n):
+        turn, far = 2 * math.pi * i / n, size * r.uniform(0.3, 1)
+        p = (x + far * math.cos(turn), y + far * math.sin(turn))
+        out.append(tuple(round(c / grid) * grid for c in p) if grid else p)
+    return out
+
+
+@pytest.mark.parametrize("grid, tile", [(0.0, 1.0), (0.5, 1.0), (0.25, 0.5), (1.0, 3.0)])
+def test_locate_as_by_rays(spark, grid, tile):
+    """Cells against the ray through all edges: holes, several polygons, rings that cross themselves, points on vertices and edges."""
+    r = random.Random(int(grid * 100 + tile))
+    regions = []
+    for i in range(8):
+        x, y = r.uniform(-6, 6), r.uniform(-6, 6)
+        polygons = [[ring_of(r, r.choice([3, 7, 40]), x, y, 4, grid), ring_of(r, 5, x, y, 1, grid)], [ring_of(r, 6, x + 3, y, 2, grid)]]
+        if i == 3:
+            polygons.append([r.sample(polygons[0][0], len(polygons[0][0]))])
+        flat = [p for poly in polygons for ring in poly for p in ring]
+        box = [min(p[0] for p in flat), min(p[1] for p in flat), max(p[0] for p in flat), max(p[1] for p in flat)]
+        regions.append((i, box, polygons))
+    regions.append((99, [0.0, 0.0, 1.0, 1.0], [[[]]]))
+    near = [p for _, _, polygons in regions for poly in polygons for ring in poly for p in ring][:60]
+    points = [(round(r.uniform(-12, 12) * 4) / 4, round(r.uniform(-12, 12) * 4) / 4) if grid else (r.uniform(-12, 12), r.uniform(-12, 12)) for _ in range(500)] + near + near[:3]
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(points)] + [(-1, None, 1.0)], "id long, lon double, lat double")
+    rows = spark.createDataFrame(regions, REGION)
+    b = F.col("bbox")
+    boxed = F.col("lon").between(F.get(b, F.lit(0)), F.get(b, F.lit(2))) & F.col("lat").between(F.get(b, F.lit(1)), F.get(b, F.lit(3)))
+    want = df.join(rows.withColumnRenamed("id", "region"), boxed & spatial.in_region(F.col("lon"), F.col("lat"), F.col("polygons")), "left").groupBy("id").agg(F.min("region").alias("region_id"))
+    got = spatial.locate(df, rows, tile).select("id", "region_id")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_cells_do_not_copy_polygons(spark):
+    """A ring of 20 000 vertices over many tiles: each edge is held by few tiles, tiles of the inside by no edge."""
+    ring = [(10 * math.cos(2 * math.pi * i / 20_000), 10 * math.sin(2 * math.pi * i / 20_000)) for i in range(20_000)]
+    cells = spatial.region_cells(spark.createDataFrame([(1, [-10.0, -10.0, 10.0, 10.0], [[ring]])], REGION), 1.0)
+    held = cells.agg(F.count("*").alias("cells"), F.sum(F.size("edges")).alias("edges"), F.count_if(F.size("edges") == 0).alias("inside"), F.max(F.when(F.size("edges") == 0, F.size("toggles"))).alias("toggles"), F.sum(F.size("toggles")).alias("all")).first()
+    assert held["edges"] < 1.05 * 20_000 and held["inside"] > 200 and held["toggles"] == 1 and held["all"] < 2 * held["cells"]

@@ -9,6 +9,7 @@ from tessera.operators.clustering import FaceRegistry
 from tessera.operators.export import unique_names
 from tessera.operators.moves import Held, deleted_everywhere, moved_everywhere
 from tessera.plans import timeline, vectors
+from tessera.sources.folders import tailed, tree
 from tessera.sources.kept import Kept, signature
 from tessera.sources.shared import shared_path
 from tessera.sources.tables import table
@@ -85,7 +86,28 @@ def export_names_clashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unique_names(rows, spark.createDataFrame([("IMG3.jpg",), ("IMG4_2.jpg",)], "name string")).select("id", "path", "target")
 
 
-QUERIES = {f.__name__: f for f in (scanned_table, overview_kept, moved_tables, moved_ratings, resumed_clustering, export_names_clashing)}
+def tailed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of all documents followed in two runs, the second after more was written."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(" ", "doc_id", "lang", "source").alias("line"))
+    logs, out, offsets = (shared_path(spark, n) for n in ("logs", "tailed", "offsets"))
+    for part in ("doc_id % 3 = 0", "doc_id % 3 <> 0"):
+        lines.where(part).select("line").write.mode("append").text(logs)
+        stream = tailed(spark, logs, ".txt", piece=1 << 16)
+        stream.writeStream.format("parquet").option("checkpointLocation", offsets).trigger(availableNow=True).start(out).awaitTermination()
+    words = F.split("line", " ")
+    return spark.read.parquet(out).groupBy(F.get(words, F.lit(1)).alias("lang"), F.get(words, F.lit(2)).alias("source")).agg(F.count("*").alias("n"), F.max(F.get(words, F.lit(0)).cast("long")).alias("last"))
+
+
+def listed_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as one file for each language and source, then listed: the folders, their files and whether any is empty."""
+    at = shared_path(spark, "tree")
+    docs = table(spark, sf_dir, "documents").select("lang", "source", F.col("doc_id").cast("string").alias("line"))
+    docs.repartition("lang", "source").write.partitionBy("lang", "source").text(at)
+    files = tree(spark, at, levels=1).where("name like 'part-%'")
+    return files.groupBy(F.regexp_extract("dir", "(lang=[^/]*/source=[^/]*)$", 1).alias("folder")).agg(F.count("*").alias("files"), F.min(F.col("size") > 0).alias("filled"))
+
+
+QUERIES = {f.__name__: f for f in (tailed_lines, listed_folders, scanned_table, overview_kept, moved_tables, moved_ratings, resumed_clustering, export_names_clashing)}
 
 _PATH = "'/d' || ({n}) % 7 || '/f' || ({n})"
 _CHAIN = f"""m AS (SELECT o_orderkey AS seq, {_PATH.format(n="o_orderkey % 1000")} AS old, {_PATH.format(n="o_orderkey * 7 % 1000")} AS new, o_orderkey % 10 AS album FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 1000 <> o_orderkey * 7 % 1000),
@@ -94,6 +116,8 @@ _CHAIN = f"""m AS (SELECT o_orderkey AS seq, {_PATH.format(n="o_orderkey % 1000"
   r AS (SELECT id, min(seq) AS seq FROM p JOIN m ON p.path = m.old GROUP BY id UNION ALL SELECT id, n FROM r JOIN nxt USING (seq) WHERE n IS NOT NULL),
   w AS (SELECT p.id, p.path AS old_path, l.seq, coalesce(m.new, p.path) AS path, m.album FROM p LEFT JOIN (SELECT id, max(seq) AS seq FROM r GROUP BY 1) l USING (id) LEFT JOIN m ON m.seq = l.seq)"""
 ORACLES = {
+    "tailed_lines": "SELECT lang, source, count(*) AS n, max(doc_id) AS last FROM documents GROUP BY 1, 2",
+    "listed_folders": "SELECT DISTINCT 'lang=' || lang || '/source=' || source AS folder, 1::BIGINT AS files, true AS filled FROM documents",
     "scanned_table": """WITH c AS (SELECT o_custkey AS album, o_orderkey AS version, o_orderkey % 11 = 0 AS deleted, o_orderkey % 3 = 0 AS ai, o_orderkey % 2 = 0 AS exif,
           CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority END AS label, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice::DOUBLE END AS score, CASE WHEN o_orderkey % 4 <> 1 THEN o_orderstatus END AS place FROM orders),
         a AS (SELECT c.* FROM c WHERE NOT deleted AND version > coalesce((SELECT max(d.version) FROM c d WHERE d.deleted AND d.album = c.album), -1))

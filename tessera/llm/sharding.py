@@ -90,12 +90,12 @@ def number_slots(df: DataFrame, order: list[str], shards: int, buckets: int = 10
     A shard can hold a sixteenth of the corpus, so it is never one window
     partition: its rows are spread over ``buckets`` by a checksum of the
     ``order`` columns, numbered within their bucket, and moved up by the sizes
-    of the buckets before it. Those sizes are at most MOST_OFFSETS rows, some MB,
-    so they are broadcast. Ties in ``order`` are rows that can't be told apart by
+    of the buckets before it. Those sizes are broadcast while they are at most
+    MOST_OFFSETS rows, some MB: many shards have fewer buckets each, and more
+    shards than that are joined with their sizes by an exchange. Ties in ``order`` are rows that can't be told apart by
     it; they get consecutive slots.
     """
-    if shards * buckets > MOST_OFFSETS:
-        raise ValueError(f"{shards} shards of {buckets} buckets are more than {MOST_OFFSETS}")
+    buckets = max(1, min(buckets, MOST_OFFSETS // shards))
     text = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in order))
     rows = df.withColumn("slot_bucket", F.pmod(F.crc32(text.cast("binary")), F.lit(buckets)).cast("int"))
     sizes = rows.groupBy("shard", "slot_bucket").agg(F.count("*").alias("slot_n"))
@@ -104,7 +104,7 @@ def number_slots(df: DataFrame, order: list[str], shards: int, buckets: int = 10
     within = Window.partitionBy("shard", "slot_bucket").orderBy(*(F.col(c).asc_nulls_first() for c in order))
     return (
         rows.withColumn("slot_at", F.row_number().over(within))
-        .join(F.broadcast(offsets), ["shard", "slot_bucket"])
+        .join(F.broadcast(offsets) if shards * buckets <= MOST_OFFSETS else offsets, ["shard", "slot_bucket"])
         .withColumn("slot", F.col("slot_offset") + F.col("slot_at") - 1)
         .drop("slot_bucket", "slot_at", "slot_offset")
     )

@@ -52,6 +52,16 @@ def test_awkward_rows(awkward, empty):
     assert shard_documents(empty).count() == 0
 
 
+@pytest.mark.parametrize("shards", [300, 5000, (1 << 18) + 1])
+def test_any_number_of_shards(spark, shards):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 7).alias("text"))
+    slots = defaultdict(list)
+    for r in shard_documents(docs, shards).collect():
+        assert r["shard"] == jump(r["doc_id"], shards)
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 def test_query(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     check(op1_sharding(spark, sf_dir).join(docs.select("doc_id", "text"), "doc_id").collect(), docs.collect())

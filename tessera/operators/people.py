@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import normalised
+from tessera.operators.means import element_means
 from tessera.operators.merge import insert_or_ignore, upsert
 from tessera.operators.prefixes import owners_any_case
 from tessera.sources.shared import dealt_anew
@@ -91,7 +92,7 @@ def moved_faces(faces: DataFrame, overrides: DataFrame, source: str, target: str
 
 def person_centroids(faces: DataFrame) -> DataFrame:
     """(person_id, faces, centroid): normalised means, added up element by element."""
-    flat = faces.select("person_id", F.posexplode("embedding").alias("at", "x")).groupBy("person_id", "at").agg(F.avg(F.col("x").cast("double")).alias("m"), F.count("*").alias("n"))
+    flat = element_means(faces, "person_id").withColumnsRenamed({"pos": "at", "rows": "n"})
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("at", "m"))), lambda p: p["m"])
     return flat.groupBy("person_id").agg(F.max("n").alias("faces"), normalised(ordered).alias("centroid"))
 

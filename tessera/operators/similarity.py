@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.vectors import dot
 from tessera.operators.graph import components
+from tessera.operators.means import element_means
 from tessera.operators.numbering import numbered
 from tessera.sources.shared import Scratch, stage
 
@@ -266,8 +267,8 @@ def nearest_centroid(vectors: DataFrame, centroids: DataFrame, least: float, key
 
 
 def centroids(vectors: DataFrame, label: str = "label") -> DataFrame:
-    """(label, centroid): normalised means of the vectors of a label, element by element; other dimensions than the most common are left out."""
-    flat = vectors.select(label, F.posexplode("embedding").alias("pos", "x")).groupBy(label, "pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    """(label, centroid): normalised means of the vectors of a label, element by element, over the vectors that have the element."""
+    flat = element_means(vectors, label)
     whole = flat.withColumn("len", F.sqrt(F.sum(F.col("m") * F.col("m")).over(Window.partitionBy(label))))
     return whole.groupBy(label).agg(F.array_sort(F.collect_list(F.struct("pos", (F.col("m") / F.col("len")).alias("m")))).alias("s")).select(
         label, F.transform("s", lambda r: r["m"]).alias("centroid")

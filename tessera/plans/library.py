@@ -78,9 +78,9 @@ def merge_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merge_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Merge sources of each place in the order of their numbers, at most one album in a hundred."""
-    noted = albums(spark, sf_dir).where("id % 100 = 3").select("location", "id", "name")
-    return ops.listed(noted, "location", "id", "name", "sources").select("location", F.array_join("sources", "|").alias("sources"))
+    """The parts of each order in the order of its items, as the merge sources of an album: few each."""
+    noted = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").cast("string").alias("part"))
+    return ops.listed(noted, "l_orderkey", "l_linenumber", "part", "sources").select("l_orderkey", F.array_join("sources", "|").alias("sources"))
 
 
 def _folders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,7 +270,7 @@ def person_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _faces(spark, sf_dir).where("face_id < 3000").groupBy("path", "box").agg(F.concat(F.lit("Q"), F.min("face_id")).alias("person_id"))
+    return _faces(spark, sf_dir).where("value >= 50").groupBy("path", "box").agg(F.concat(F.lit("Q"), F.min("face_id")).alias("person_id"))
 
 
 def overridden_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -426,7 +426,7 @@ QUERIES = {
     )
 }
 
-_OVER = "o AS (SELECT path, box, 'Q' || min(face_id) AS person_id FROM faces WHERE face_id < 3000 GROUP BY 1, 2)"
+_OVER = "o AS (SELECT path, box, 'Q' || min(face_id) AS person_id FROM faces WHERE value >= 50 GROUP BY 1, 2)"
 _DURATION = "CASE WHEN {v} >= 100 THEN format('{{:.0f}}', {v}) WHEN {v} >= 10 THEN format('{{:.1f}}', {v}) ELSE format('{{:.2f}}', {v}) END"
 _WORDS = r"regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+')"
 
@@ -439,7 +439,7 @@ ORACLES = {
     "batch_misses": f"WITH {ALBUMS_SQL} SELECT DISTINCT o_custkey * 2 AS id FROM orders WHERE o_custkey * 2 NOT IN (SELECT id FROM albums)",
     "merged_photos": f"WITH {PHOTOS_SQL}, {ALBUMS_SQL} SELECT id, CASE WHEN album_id IN (SELECT id FROM albums WHERE id % 10 = 3) THEN 1 ELSE album_id END AS album_id FROM photos",
     "merge_provenance": f"WITH {PHOTOS_SQL}, {ALBUMS_SQL} SELECT 1::BIGINT AS target_id, a.id AS source_id, count(p.id) AS n_photos, '2024-01-01' AS merged_at FROM albums a LEFT JOIN photos p ON p.album_id = a.id WHERE a.id % 10 = 3 GROUP BY a.id",
-    "merge_lists": f"WITH {ALBUMS_SQL} SELECT location, string_agg(name, '|' ORDER BY id) AS sources FROM albums WHERE id % 100 = 3 GROUP BY 1",
+    "merge_lists": "SELECT l_orderkey, string_agg(l_partkey::VARCHAR, '|' ORDER BY l_linenumber, l_partkey::VARCHAR) AS sources FROM lineitem GROUP BY 1",
     "created_folders": f"""WITH {FOLDERS_SQL}, q AS (SELECT CASE WHEN c_custkey % 9 = 0 THEN '' ELSE c_name END AS name, CASE c_custkey % 5 WHEN 0 THEN c_nationkey % 5 WHEN 1 THEN c_nationkey + 100 WHEN 2 THEN 1001 WHEN 3 THEN 99999999 END AS parent_id FROM customer),
         r AS (SELECT q.*, f.level AS above, CASE WHEN name = '' THEN 'name' WHEN q.parent_id IS NOT NULL AND f.id IS NULL THEN 'parent' WHEN f.level >= 3 THEN 'level' END AS problem,
           (SELECT max(sort_order) FROM folders s WHERE s.parent_id IS NOT DISTINCT FROM q.parent_id) AS last, row_number() OVER (PARTITION BY q.parent_id, name = '' ORDER BY name) - 1 AS nth FROM q LEFT JOIN folders f ON f.id = q.parent_id)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.vectors import dot, literal, normalised, strict_dot
 from tessera.operators.clustering import register_faces
+from tessera.operators.means import element_means
 from tessera.operators.order_statistics import nearest_rank
 from tessera.operators.ranking import fuse, query_kind, rank_absolute, rank_relative, ranking_metrics
 from tessera.operators.similarity import centroids, complete_linkage, nearest_centroid, similar_classes, similar_pairs, widest_dimensions
@@ -51,7 +52,7 @@ def image_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 def centered_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cosine after the mean of the library is taken off; the mean is one row."""
     v = _vectors(spark, sf_dir)
-    means = v.select(F.posexplode("embedding").alias("pos", "x")).groupBy("pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    means = element_means(v.withColumn("all", F.lit(0)), "all")
     mean = means.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda r: r["m"]).alias("mean"))
     off = v.crossJoin(mean).select("vec_id", normalised(F.zip_with("embedding", "mean", lambda x, m: x.cast("double") - m)).alias("e"))
     query = off.where("vec_id = 3").select(F.col("e").alias("q"))

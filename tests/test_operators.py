@@ -357,3 +357,22 @@ def test_cells_do_not_copy_polygons(spark):
     cells = spatial.region_cells(spark.createDataFrame([(1, [-10.0, -10.0, 10.0, 10.0], [[ring]])], REGION), 1.0)
     held = cells.agg(F.count("*").alias("cells"), F.sum(F.size("edges")).alias("edges"), F.count_if(F.size("edges") == 0).alias("inside"), F.max(F.when(F.size("edges") == 0, F.size("toggles"))).alias("toggles"), F.sum(F.size("toggles")).alias("all")).first()
     assert held["edges"] < 1.05 * 20_000 and held["inside"] > 200 and held["toggles"] == 1 and held["all"] < 2 * held["cells"]
+
+
+def test_element_means(spark, monkeypatch):
+    """Vectors of several lengths, nulls in them, null vectors and labels, in batches of few rows."""
+    from tessera.operators.means import element_means
+
+    r = random.Random(6)
+    rows = [(r.choice(["a", "b", None]), r.choice([None, [], [r.random(), None, r.random()], [r.random()], [r.random() for _ in range(5)]])) for _ in range(200)] + [("c", [None])]
+    want = {}
+    for label, v in rows:
+        for i, x in enumerate(v or []):
+            want.setdefault((label, i), []).append(x)
+    mean = {k: (None if not [x for x in xs if x is not None] else round(sum(x for x in xs if x is not None) / len([x for x in xs if x is not None]), 9), len(xs)) for k, xs in want.items()}
+    with arrow_batches(spark, 7):
+        got = element_means(spark.createDataFrame(rows, "label string, embedding array<float>").withColumn("embedding", F.col("embedding").cast("array<double>")), "label").collect()
+    assert {k for k in mean} == {(x["label"], x["pos"]) for x in got}
+    for x in got:
+        m, n = mean[x["label"], x["pos"]]
+        assert x["rows"] == n and (x["m"] is None if m is None else abs(x["m"] - m) < 1e-6)

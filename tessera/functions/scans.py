@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 
 def skipped(total: Column, processed: Column) -> Column:
@@ -83,12 +84,24 @@ def badge_lane(kind: Column, image: Column, description: Column) -> Column:
     return F.when(kind == "object", F.coalesce(image, description)).otherwise(F.coalesce(description, image))
 
 
-@pandas_udf(T.ArrayType(T.FloatType()))
-def vector_of_bytes(blobs: pd.Series) -> pd.Series:
+@arrow_udf(T.ArrayType(T.FloatType()))
+def vector_of_bytes(blobs: pa.Array) -> pa.Array:
     """Little-endian single-precision numbers; bytes beyond the last whole number don't count."""
-    return blobs.map(lambda b: None if b is None else np.frombuffer(b[: len(b) // 4 * 4], "<f4"))
-
-
-@pandas_udf(T.BinaryType())
-def bytes_of_vector(vectors: pd.Series) -> pd.Series:
-    return vectors.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+    blobs = blobs.cast(pa.large_binary())
+    known = blobs.fill_null(b"")
+    whole = pc.multiply(pc.divide(pc.binary_length(known), 4), 4)
+    if not pc.all(pc.equal(whole, pc.binary_length(known))).as_py():  # rare: cut the odd ones
+        known = pa.array([b[: len(b) // 4 * 4] for b in known.to_pylist()], pa.large_binary())
+    bounds = np.frombuffer(known.buffers()[1], np.int64)[known.offset : known.offset + len(known) + 1]
+    numbers = np.frombuffer(known.buffers()[2] or b"", "<f4", int(bounds[-1] - bounds[0]) // 4, int(bounds[0])) if bounds[-1] > bounds[0] else np.zeros(0, "<f4")
+    return pa.ListArray.from_arrays(pa.array((bounds - bounds[0]) // 4, pa.int32()), pa.array(numbers), mask=blobs.is_null())
+
+
+@arrow_udf(T.BinaryType())
+def bytes_of_vector(vectors: pa.Array) -> pa.Array:
+    """The numbers of each vector one after the other; a null in a vector counts as 0."""
+    numbers = vectors.flatten().cast(pa.float32()).fill_null(0.0).to_numpy().astype("<f4")
+    bounds = np.concatenate([[0], np.cumsum(vectors.value_lengths().fill_null(0).to_numpy())]).astype(np.int32) * 4
+    missing = vectors.is_null()
+    valid = None if not missing.null_count and not pc.any(missing).as_py() else pa.py_buffer(np.packbits(~missing.to_numpy(zero_copy_only=False), bitorder="little").tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(vectors), [valid, pa.py_buffer(bounds.tobytes()), pa.py_buffer(numbers.tobytes())])

@@ -12,6 +12,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.vectors import dot
 from tessera.operators.graph import components
@@ -232,8 +233,9 @@ def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             width = max(len(x["v"]) for x in [*asked, *row["members"]])
             sims = _padded([m["v"] for m in row["members"]], width) @ _padded([c["v"] for c in asked], width).T
             best = sims.argmax(axis=1)
-            labels = [asked[i]["label"] for i in best]
-            yield pa.RecordBatch.from_arrays([pa.array([m["id"] for m in row["members"]], pa.int64()), pa.array(labels, pa.int64()), pa.array(sims.max(axis=1))], names=["id", "label", "sim"])
+            kinds = [batch.schema.field(side).type.value_type.field(name).type for side, name in (("members", "id"), ("asked", "label"))]
+            columns = ([m["id"] for m in row["members"]], [asked[i]["label"] for i in best])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns, kinds), pa.array(sims.max(axis=1))], names=["id", "label", "sim"])
 
 
 def _chunks(rows: DataFrame, name: str, by: str, n: int) -> DataFrame:
@@ -247,8 +249,9 @@ def nearest_centroid(vectors: DataFrame, centroids: DataFrame, least: float, key
 
     Up to BLOCK centroids are broadcast. More form blocks, and so do the
     vectors; every chunk of vectors meets every block of centroids in one matrix
-    product, and the best of a block is all that leaves it. A null vector has
-    neither label nor sim, a null centroid is none; of different dimensions the shorter counts.
+    product, and the best of a block is all that leaves it. Keys and labels may
+    be of any type. A null vector has neither label nor sim, a null centroid is
+    none; of different dimensions the shorter counts.
     """
     centroids = centroids.where("label is not null and centroid is not null")
     n = centroids.count()
@@ -256,14 +259,15 @@ def nearest_centroid(vectors: DataFrame, centroids: DataFrame, least: float, key
         few = F.broadcast(centroids.select(F.col("label").alias("_label"), "centroid"))
         scored = vectors.join(few, how="left").select(key, "_label", dot(F.col("embedding"), F.col("centroid")).alias("sim"))
     else:
-        whole = vectors.where("embedding is not null").select(F.col(key).cast("long").alias("id"), F.col("embedding").alias("v"))
-        asked = _chunks(centroids.select(F.col("label").cast("long").alias("label"), F.col("centroid").alias("v")), "asked", "label", n)
+        whole = vectors.where("embedding is not null").select(F.col(key).alias("id"), F.col("embedding").alias("v"))
+        asked = _chunks(centroids.select("label", F.col("centroid").alias("v")), "asked", "label", n)
         parts = F.sequence(F.lit(0).cast("long"), F.lit(-(-n // BLOCK) - 1).cast("long"))
         members = _chunks(whole, "members", "id", max(whole.count(), 1)).select("members", F.explode(parts).alias("part"))
-        met = members.join(asked, "part").select("members", "asked").mapInArrow(_nearest, "id long, label long, sim double")
+        kinds = T.StructType([T.StructField("id", vectors.schema[key].dataType), T.StructField("label", centroids.schema["label"].dataType), T.StructField("sim", T.DoubleType())])
+        met = members.join(asked, "part").select("members", "asked").mapInArrow(_nearest, kinds)
         scored = met.select(F.col("id").alias(key), F.col("label").alias("_label"), "sim").union(vectors.where("embedding is null").select(key, F.lit(None), F.lit(None)))
-    best = scored.groupBy(key).agg(F.max(F.struct("sim", (-F.col("_label")).alias("m"))).alias("best"))
-    return best.select(key, F.when(F.col("best.sim") >= least, -F.col("best.m")).alias("label"), F.col("best.sim").alias("sim"))
+    best = scored.groupBy(key).agg(F.min(F.when(F.col("sim").isNotNull(), F.struct((-F.col("sim")).alias("m"), "_label"))).alias("best"))
+    return best.select(key, F.when(-F.col("best.m") >= least, F.col("best._label")).alias("label"), (-F.col("best.m")).alias("sim"))
 
 
 def centroids(vectors: DataFrame, label: str = "label") -> DataFrame:

@@ -76,3 +76,7 @@ def test_scan_rules(spark):
     blobs = spark.createDataFrame([(struct.pack("<2f", 1.5, -2.0) + b"x",), (b"",), (None,)], "b binary").select(scans.vector_of_bytes("b").alias("v"))
     assert [r["v"] for r in blobs.collect()] == [[1.5, -2.0], [], None]
     assert [bytes(r[0]) if r[0] is not None else None for r in blobs.select(scans.bytes_of_vector("v")).collect()] == [struct.pack("<2f", 1.5, -2.0), b"", None]
+    vectors = [[float(i), -0.5] * (i % 4) if i % 5 else None for i in range(300)]
+    there = spark.createDataFrame([(i, v) for i, v in enumerate(vectors)], "i long, v array<float>").repartition(3).select("i", scans.bytes_of_vector("v").alias("b"))
+    assert {r["i"]: r["b"] and bytes(r["b"]) for r in there.collect()} == {i: None if v is None else struct.pack(f"<{len(v)}f", *v) for i, v in enumerate(vectors)}
+    assert {r["i"]: r["v"] for r in there.select("i", scans.vector_of_bytes("b").alias("v")).collect()} == dict(enumerate(vectors))

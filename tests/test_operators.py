@@ -163,6 +163,9 @@ def test_nearest_centroid(spark, monkeypatch, block):
         best = max(((sum(a * b for a, b in zip(v, c)), -j) for j, c in enumerate(asked) if c), default=None) if v else None
         expected[i] = (-best[1] if best and best[0] >= 4 else None, best and best[0])
     assert {x["vec_id"]: (x["label"], x["sim"]) for x in similarity.nearest_centroid(df, centroids, 4.0).collect()} == expected
+    named = centroids.withColumn("label", F.format_string("c%03d", "label"))
+    got = similarity.nearest_centroid(df.withColumn("vec_id", F.concat(F.lit("v"), "vec_id")), named, 4.0).collect()
+    assert {x["vec_id"]: (x["label"], x["sim"]) for x in got} == {f"v{i}": (label if label is None else f"c{label:03d}", sim) for i, (label, sim) in expected.items()}
 
 
 def test_components(spark):

@@ -23,7 +23,8 @@ def duration(ms: Column) -> Column:
     """Milliseconds with two digits below ten, one below a hundred, none above; - for no number."""
     value = ms.cast("double")
     none = value.isNull() | F.isnan(value) | (F.abs(value) == float("inf"))
-    return F.when(none, "-").when(value >= 100, F.format_string("%.0f", value)).when(value >= 10, F.format_string("%.1f", value)).otherwise(F.format_string("%.2f", value))
+    shown = lambda digits: F.format_string(f"%.{digits}f", F.bround(value, digits))  # noqa: E731  halves to the even digit
+    return F.when(none, "-").when(value >= 100, shown(0)).when(value >= 10, shown(1)).otherwise(shown(2))
 
 
 def phase_balance(spans: DataFrame, run: str, ms: str, wall: str) -> DataFrame:
@@ -32,6 +33,20 @@ def phase_balance(spans: DataFrame, run: str, ms: str, wall: str) -> DataFrame:
     return sums.select(run, "total", F.greatest(F.lit(0.0), F.col("wall") - F.col("total")).alias("rest"), F.greatest(F.lit(0.0), F.col("total") - F.col("wall")).alias("overlap"))
 
 
+def phase_lines(spans: DataFrame, run: str, order: str, name: str, ms: str, note: str, walls: DataFrame, wall: str) -> DataFrame:
+    """(run, line) for each run of ``walls``: the wall time, its phases in order with their notes, and what is left.
+
+    If the phases add up to over half a millisecond more than the wall time they overlapped, and that is told; else the rest
+    is. A run without phases says so. The phases of a run are few.
+    """
+    shown = F.concat(F.col(name), F.lit(" "), duration(F.col(ms)), F.when(F.coalesce(F.col(note), F.lit("")) == "", "").otherwise(F.concat(F.lit("("), F.col(note), F.lit(")"))))
+    parts = spans.groupBy(run).agg(F.sum(ms).alias("total"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), shown.alias("part")))), lambda x: x["part"]), " · ").alias("parts"))
+    over = F.col("total") - F.col(wall)
+    tail = F.when(over > 0.5, F.concat(F.lit("阶段重叠(并发) ~"), duration(over))).otherwise(F.concat(F.lit("未计入(调度/序列化/等待) "), duration(F.greatest(F.lit(0.0), -over))))
+    told = F.when(F.col("parts").isNull(), F.concat(F.lit("总 "), duration(F.col(wall)), F.lit("ms | 无阶段记录"))).otherwise(F.concat(F.lit("总 "), duration(F.col(wall)), F.lit("ms | "), F.col("parts"), F.lit(" | "), tail))
+    return walls.join(parts, run, "left").select(run, told.alias("line"))
+
+
 def iso_date(raw: Column) -> Column:
     """The date part of a camera time with dashes; null unless all its places are digits."""
     t = F.regexp_replace(F.trim(raw), '^"+|"+$', "")

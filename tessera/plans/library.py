@@ -370,6 +370,14 @@ def phase_balances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", F.round("total", 4).alias("total"), F.round("rest", 4).alias("rest"), scans.duration(F.col("overlap")).alias("overlap"))
 
 
+def phase_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items as phases of an order, told in one line; orders without items have none."""
+    i = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").alias("q"))
+    spans = i.select("l_orderkey", "l_linenumber", F.concat(F.lit("p"), "l_linenumber").alias("name"), (F.col("q").cast("double") / 4).alias("ms"), F.when(F.col("l_linenumber") % 3 == 0, F.lit("n")).otherwise("").alias("note"))
+    walls = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_orderkey") % 150 / 4.0).cast("double").alias("wall"))
+    return scans.phase_lines(spans, "l_orderkey", "l_linenumber", "name", "ms", "note", walls, "wall")
+
+
 def written_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Camera dates, seconds and civil times of orders."""
     p = photos(spark, sf_dir)
@@ -421,7 +429,7 @@ QUERIES = {
         marks_in_order, first_mark, categories_in_order, category_by_id, persons_in_order, albums_in_order, severity_order, places_in_order, category_words, category_labels, album_stats,
         index_repair, sanitised_report, rekeyed_thumbs, relabelled_models, searched_documents, searched_symbols, dropped_column, vectors_by_path, persons_in_albums, person_signatures, face_boxes,
         person_names, overridden_faces, set_overrides, moved_faces, move_overrides, dropped_faces, recomputed_centroids, face_queue, registry_reset, face_gate, cover_rectangles,
-        detection_summary, reading_rows, structured_truth, badge_scores, scan_reports, phase_balances, written_dates, content_texts, resolved_places, plain_records, tone_means,
+        detection_summary, reading_rows, structured_truth, badge_scores, scan_reports, phase_balances, phase_lines, written_dates, content_texts, resolved_places, plain_records, tone_means,
         clamped_thresholds, vector_bytes,
     )
 }
@@ -508,6 +516,11 @@ ORACLES = {
     "scan_reports": "SELECT o_orderkey, greatest(0, o_orderkey % 13 - o_orderkey % 17) AS skipped, greatest(o_orderkey % 11, o_orderkey % 7) AS written, o_orderkey % 3 + o_orderkey % 5 AS failed FROM orders",
     "phase_balances": f"""WITH r AS (SELECT o_orderkey, sum(l_quantity)::DOUBLE AS total, max(o_orderkey % 150)::DOUBLE AS wall FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1), s AS (SELECT o_orderkey, total, greatest(0.0, wall - total) AS rest, greatest(0.0, total - wall)::DOUBLE AS v FROM r)
         SELECT o_orderkey, round(total, 4) AS total, round(rest, 4)::DOUBLE AS rest, {_DURATION.format(v="v")} AS overlap FROM s""",
+    "phase_lines": f"""WITH i AS (SELECT l_orderkey, l_linenumber AS n, sum(l_quantity)::DOUBLE / 4 AS ms FROM lineitem GROUP BY 1, 2),
+        p AS (SELECT l_orderkey, sum(ms) AS total, string_agg('p' || n || ' ' || {_DURATION.format(v="ms")} || CASE WHEN n % 3 = 0 THEN '(n)' ELSE '' END, ' · ' ORDER BY n) AS parts FROM i GROUP BY 1),
+        w AS (SELECT o_orderkey, o_orderkey % 150 / 4.0::DOUBLE AS wall, total, parts, total - o_orderkey % 150 / 4.0::DOUBLE AS over, greatest(0.0::DOUBLE, o_orderkey % 150 / 4.0::DOUBLE - total) AS rest FROM orders LEFT JOIN p ON l_orderkey = o_orderkey)
+        SELECT o_orderkey AS l_orderkey, '总 ' || {_DURATION.format(v="wall")} || 'ms | ' || CASE WHEN parts IS NULL THEN '无阶段记录' ELSE parts || ' | ' ||
+          CASE WHEN over > 0.5 THEN '阶段重叠(并发) ~' || {_DURATION.format(v="over")} ELSE '未计入(调度/序列化/等待) ' || {_DURATION.format(v="rest")} END END AS line FROM w""",
     "written_dates": f"""WITH {PHOTOS_SQL}, s AS (SELECT id, shoot_time, epoch(strptime(shoot_time, '%Y-%m-%d %H:%M:%S'))::BIGINT AS seconds FROM photos), t AS (SELECT *, make_timestamp((seconds - 900000000) * 1000000) AS b FROM s)
         SELECT id, CASE WHEN id % 3 = 0 THEN shoot_time[1:10] END AS iso, seconds, year(b)::INT AS year, day(b)::INT AS day, hour(b)::INT AS hour FROM t""",
     "content_texts": "SELECT doc_id, lower(concat_ws(' ', upper(lang), CASE WHEN doc_id % 2 = 0 THEN source END, source, 'P' || doc_id)) AS content FROM documents",

@@ -119,6 +119,18 @@ def time_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("year", season_key(F.col("month")).alias("season"), "month", "album_id", (F.col("place") + 1).alias("place"))
 
 
+def time_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Albums by year, season and month, latest first: by their latest photo, else by when they were made, and in a group of their own if neither is known."""
+    made = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("album_id"), F.when(F.col("c_custkey") % 5 > 0, F.concat(1990 + F.col("c_custkey") % 9, F.lit("-"), F.lpad((F.col("c_custkey") % 12 + 1).cast("string"), 2, "0"))).alias("made"))
+    shot = photos(spark, sf_dir).where("album_id % 3 > 0").groupBy("album_id").agg(F.substring(F.max("shoot_time"), 1, 7).alias("ym"))
+    rows = made.join(shot, "album_id", "left").withColumn("ym", F.coalesce("ym", "made"))
+    keyed = rows.select("album_id", F.coalesce(F.substring("ym", 1, 4).cast("int"), F.lit(0)).alias("year"), F.substring("ym", 6, 2).cast("int").alias("month"))
+    named = keyed.withColumn("season", F.when(F.col("month").isNotNull(), season_key(F.col("month"))))
+    latest = named.groupBy("year", "season").agg(F.max("month").alias("latest"))
+    placed = latest.select(F.col("year").alias("y"), F.col("season").alias("s"), F.row_number().over(Window.partitionBy("year").orderBy(F.desc("latest"))).alias("season_place"))  # four seasons a year at most
+    return named.join(placed, (F.col("year") == F.col("y")) & F.col("season").eqNullSafe(F.col("s"))).select("album_id", "year", "season", "month", "season_place")
+
+
 def dense_month_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twelve months of one year, empty ones included, relative to the fullest."""
     counted = photos(spark, sf_dir).where(F.substring("shoot_time", 1, 4) == "1996").groupBy(F.substring("shoot_time", 6, 2).cast("int").alias("month")).agg(F.count("*").alias("c"))
@@ -149,7 +161,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         timeline_index, timeline_month_slice, timeline_unrecorded, timeline_order, overview_scalar, overview_signature, on_this_day, recent_top6,
-        memories_month, memories_year, season_rollup, time_tree, dense_month_bars, year_top5, place_top5_ratio, cumulative_layout,
+        memories_month, memories_year, season_rollup, time_tree, time_groups, dense_month_bars, year_top5, place_top5_ratio, cumulative_layout,
     )
 }
 
@@ -174,6 +186,10 @@ ORACLES = {
         SELECT year, {_SEASON.format(m="month")} AS season, month, count(*) AS n FROM k GROUP BY ROLLUP (1, 2, 3)""",
     "time_tree": f"""WITH {PHOTOS_SQL}, a AS (SELECT album_id, max(shoot_time) AS t FROM photos GROUP BY 1), k AS (SELECT t[1:4]::INT AS year, t[6:7]::INT AS month, album_id FROM a)
         SELECT year, {_SEASON.format(m="month")} AS season, month, album_id, row_number() OVER (PARTITION BY year, month ORDER BY album_id) AS place FROM k""",
+    "time_groups": f"""WITH {PHOTOS_SQL}, s AS (SELECT album_id, max(shoot_time)[1:7] AS ym FROM photos WHERE album_id % 3 > 0 GROUP BY 1),
+        r AS (SELECT c_custkey AS album_id, coalesce(ym, CASE WHEN c_custkey % 5 > 0 THEN 1990 + c_custkey % 9 || '-' || lpad((c_custkey % 12 + 1)::VARCHAR, 2, '0') END) AS ym FROM customer LEFT JOIN s ON s.album_id = c_custkey),
+        k AS (SELECT album_id, coalesce(ym[1:4]::INT, 0) AS year, ym[6:7]::INT AS month FROM r), n AS (SELECT *, CASE WHEN month IS NOT NULL THEN {_SEASON.format(m="month")} END AS season FROM k)
+        SELECT album_id, year, season, month, dense_rank() OVER (PARTITION BY year ORDER BY latest DESC)::INT AS season_place FROM (SELECT *, max(month) OVER (PARTITION BY year, season) AS latest FROM n)""",
     "dense_month_bars": f"""WITH {PHOTOS_SQL}, d AS (SELECT m.month::INT AS month, count(id) AS n FROM range(1, 13) m(month)
         LEFT JOIN photos ON shoot_time[1:4] = '1996' AND shoot_time[6:7]::INT = m.month GROUP BY 1)
         SELECT month, n, round(n / (SELECT max(n) FROM d), 6) AS share FROM d""",

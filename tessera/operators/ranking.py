@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import dot, literal
+from tessera.operators.numbering import numbered
 from tessera.operators.order_statistics import median_and_peak
 from tessera.sources.shared import stage
 
@@ -89,6 +92,28 @@ def fuse(lanes: dict[str, DataFrame], kind: str, key: str) -> DataFrame:
     return fused.withColumn("place", F.row_number().over(place))
 
 
+def fuse_and_hydrate(lanes: dict[str, DataFrame], rows: DataFrame, kind: str, key: str) -> DataFrame:
+    """The columns of ``rows`` with score and place, by :func:`fuse`.
+
+    The keyword lane comes from rows itself. Hits of the other lanes that rows does not have are dropped first, and those
+    behind them move up. Lanes are limited lists; they are matched with rows once, all together.
+    """
+    vector_lanes = {name: lane for name, lane in lanes.items() if name != "kw"}
+    wanted = reduce(DataFrame.unionByName, (lane.select(key) for lane in lanes.values())).distinct()
+    met = stage(rows.join(F.broadcast(wanted), key, "left_semi"), "hits")  # as few as the lanes are long
+    place = Window.orderBy("rank")
+    kept = {name: lane.join(met.select(key), key, "left_semi").select(key, (F.row_number().over(place) - 1).alias("rank")) for name, lane in vector_lanes.items()}
+    fused = fuse({**lanes, **kept}, kind, key).select(key, "score", "place")
+    return met.join(fused, key).select(*rows.columns, "score", "place")
+
+
+def keyword_lane(rows: DataFrame, text: str, keyword: str, time: str, key: str) -> DataFrame:
+    """``rows`` whose text holds the keyword in any case, with place: latest first, those without a time last, then by key downwards."""
+    found = rows.where(F.contains(F.lower(text), F.lit(keyword.lower())))
+    dated = found.withColumns({"no_time": F.coalesce(F.col(time) == "", F.lit(True)), "back": -F.unix_timestamp(time), "key_back": -F.col(key)})
+    return numbered(dated, [], ["no_time", "back", "key_back"], "place").select(*rows.columns, "place")
+
+
 def ranking_metrics(ranked: DataFrame, relevant: DataFrame, key: str, k: int) -> DataFrame:
     """Precision, recall and nDCG at ``k`` of (query, key, place from 1) against (query, key)."""
     top = ranked.where(F.col("place") <= k).join(relevant.select("query", key).distinct().withColumn("hit", F.lit(1)), ["query", key], "left")

@@ -9,9 +9,10 @@ from tessera.functions.vectors import dot, literal, normalised, strict_dot
 from tessera.operators.clustering import register_faces
 from tessera.operators.means import element_means
 from tessera.operators.order_statistics import nearest_rank
-from tessera.operators.ranking import fuse, query_kind, rank_absolute, rank_relative, ranking_metrics
+from tessera.operators.ranking import fuse, fuse_and_hydrate, keyword_lane, query_kind, rank_absolute, rank_relative, ranking_metrics
 from tessera.operators.similarity import centroids, complete_linkage, nearest_centroid, similar_classes, similar_pairs, widest_dimensions
 from tessera.sources.tables import table
+from tessera.sources.views import PHOTOS_SQL, photos
 
 EXCLUDE_MARGIN = 0.005
 
@@ -172,6 +173,18 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(fuse(_lanes(spark, sf_dir), "object", "vec_id").select("vec_id", "score", "place"), "score")
 
 
+def fused_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fused list with the columns of its rows; those of three labels are no longer there."""
+    rows = _vectors(spark, sf_dir).where("label not in (1, 2, 5)").select("vec_id", "label")
+    return _rounded(fuse_and_hydrate(_lanes(spark, sf_dir), rows, "object", "vec_id"), "score")
+
+
+def keyword_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Photos of a keyword, some without a time."""
+    rows = photos(spark, sf_dir).select("id", "path", F.when(F.col("tone") != "P", F.col("shoot_time")).otherwise("").alias("shoot_time"))
+    return keyword_lane(rows, "path", "Nation_1", "shoot_time", "id").select("id", "place")
+
+
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Precision, recall and nDCG at 10 of the fused list for rows of two labels taken as relevant."""
     ranked = fuse(_lanes(spark, sf_dir), "date", "vec_id").select(F.lit("q").alias("query"), "vec_id", "place")
@@ -190,7 +203,7 @@ QUERIES = {
     for f in (
         cosine_topk, cosine_rel_median, cosine_fold, image_recall, centered_cosine, neutral_baseline, keyword_argmax_class, percentile_nearest_rank, dominant_model,
         embedding_version, max_variance_dims, centroid_by_label, nearest_label, representative_member, similar_vector_pairs, similar_vector_classes, complete_linkage_groups,
-        online_clustering, query_kinds, rrf_fusion, retrieval_metrics, judged_pool,
+        online_clustering, query_kinds, rrf_fusion, fused_rows, keyword_places, retrieval_metrics, judged_pool,
     )
 }
 
@@ -283,5 +296,10 @@ ORACLES = {
         t AS (SELECT place, vec_id IN (SELECT vec_id FROM rel) AS hit FROM fused WHERE place <= 10), i AS (SELECT sum(1 / log2(k + 1.0)) AS ideal FROM range(1, 11) r(k))
         SELECT 'q' AS query, round(sum(hit::INT) / 10, 6) AS precision, round(sum(hit::INT) / (SELECT count(*) FROM rel), 6) AS recall,
         round(sum(hit::INT / log2(place + 1.0)) / (SELECT ideal FROM i), 6) AS ndcg FROM t""",
+    "fused_rows": f"""WITH {_LANES.replace("img AS (", "i0 AS (").replace("dsc AS (", "d0 AS (")}, rows AS (SELECT vec_id, label FROM embeddings WHERE label NOT IN (1, 2, 5)),
+        img AS (SELECT vec_id, row_number() OVER (ORDER BY rank) - 1 AS rank FROM i0 WHERE vec_id IN (SELECT vec_id FROM rows)), dsc AS (SELECT vec_id, row_number() OVER (ORDER BY rank) - 1 AS rank FROM d0 WHERE vec_id IN (SELECT vec_id FROM rows)),
+        {_fused(1.0, 0.2, "img")} SELECT vec_id, label, round(score, 6) AS score, place FROM fused JOIN rows USING (vec_id)""",
+    "keyword_places": f"""WITH {PHOTOS_SQL}, k AS (SELECT id, CASE WHEN tone <> 'P' THEN shoot_time ELSE '' END AS t FROM photos WHERE contains(lower(path), 'nation_1'))
+        SELECT id, row_number() OVER (ORDER BY t = '', t DESC, id DESC) - 1 AS place FROM k""",
     "judged_pool": f"WITH {_LANES} SELECT vec_id FROM kw WHERE rank < 20 UNION SELECT vec_id FROM img WHERE rank < 20 UNION SELECT vec_id FROM dsc WHERE rank < 20",
 }

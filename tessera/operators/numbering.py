@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.sources.shared import stage
 
 
-def numbered(df: DataFrame, group: list[str], order: list[str], name: str = "place") -> DataFrame:
+def numbered(df: DataFrame, group: list[str], order: list[str | Column], name: str = "place") -> DataFrame:
     """``df`` with ``name``, the 0-based place within ``group`` (all rows if empty) by ``order``, nulls first.
 
     Rows are dealt to ranges of (group, order) and written, so each holds a

@@ -110,8 +110,8 @@ def fuse_and_hydrate(lanes: dict[str, DataFrame], rows: DataFrame, kind: str, ke
 def keyword_lane(rows: DataFrame, text: str, keyword: str, time: str, key: str) -> DataFrame:
     """``rows`` whose text holds the keyword in any case, with place: latest first, those without a time last, then by key downwards."""
     found = rows.where(F.contains(F.lower(text), F.lit(keyword.lower())))
-    dated = found.withColumns({"no_time": F.coalesce(F.col(time) == "", F.lit(True)), "back": -F.unix_timestamp(time), "key_back": -F.col(key)})
-    return numbered(dated, [], ["no_time", "back", "key_back"], "place").select(*rows.columns, "place")
+    dated = found.withColumn("no_time", F.coalesce(F.col(time) == "", F.lit(True)))
+    return numbered(dated, [], ["no_time", F.desc(time), F.desc(key)], "place").select(*rows.columns, "place")
 
 
 def ranking_metrics(ranked: DataFrame, relevant: DataFrame, key: str, k: int) -> DataFrame:

@@ -33,6 +33,11 @@ def phase_balance(spans: DataFrame, run: str, ms: str, wall: str) -> DataFrame:
     return sums.select(run, "total", F.greatest(F.lit(0.0), F.col("wall") - F.col("total")).alias("rest"), F.greatest(F.lit(0.0), F.col("total") - F.col("wall")).alias("overlap"))
 
 
+# The words of a line of phases, and the milliseconds from which an overlap is told.
+WHOLE, NO_PHASES, OVERLAP, REST = "总 ", "无阶段记录", "阶段重叠(并发) ~", "未计入(调度/序列化/等待) "
+LEAST_OVERLAP = 0.5
+
+
 def phase_lines(spans: DataFrame, run: str, order: str, name: str, ms: str, note: str, walls: DataFrame, wall: str) -> DataFrame:
     """(run, line) for each run of ``walls``: the wall time, its phases in order with their notes, and what is left.
 
@@ -42,8 +47,8 @@ def phase_lines(spans: DataFrame, run: str, order: str, name: str, ms: str, note
     shown = F.concat(F.col(name), F.lit(" "), duration(F.col(ms)), F.when(F.coalesce(F.col(note), F.lit("")) == "", "").otherwise(F.concat(F.lit("("), F.col(note), F.lit(")"))))
     parts = spans.groupBy(run).agg(F.sum(ms).alias("total"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), shown.alias("part")))), lambda x: x["part"]), " · ").alias("parts"))
     over = F.col("total") - F.col(wall)
-    tail = F.when(over > 0.5, F.concat(F.lit("阶段重叠(并发) ~"), duration(over))).otherwise(F.concat(F.lit("未计入(调度/序列化/等待) "), duration(F.greatest(F.lit(0.0), -over))))
-    told = F.when(F.col("parts").isNull(), F.concat(F.lit("总 "), duration(F.col(wall)), F.lit("ms | 无阶段记录"))).otherwise(F.concat(F.lit("总 "), duration(F.col(wall)), F.lit("ms | "), F.col("parts"), F.lit(" | "), tail))
+    tail = F.when(over > LEAST_OVERLAP, F.concat(F.lit(OVERLAP), duration(over))).otherwise(F.concat(F.lit(REST), duration(F.greatest(F.lit(0.0), -over))))
+    told = F.when(F.col("parts").isNull(), F.concat(F.lit(WHOLE), duration(F.col(wall)), F.lit("ms | " + NO_PHASES))).otherwise(F.concat(F.lit(WHOLE), duration(F.col(wall)), F.lit("ms | "), F.col("parts"), F.lit(" | "), tail))
     return walls.join(parts, run, "left").select(run, told.alias("line"))
 
 

@@ -69,8 +69,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def kept_terms(docs: DataFrame, min_docs: int) -> DataFrame:
     """(lang, term, counts): the terms that at least ``min_docs`` documents of a language hold, with (source, n) of each of its sources."""
-    with arrow_batches(docs.sparkSession, 2000):
-        counts = docs.select("lang", "source", "text").mapInArrow(_counted, "lang string, term string, source string, n bigint, docs bigint")
+    counts = docs.select("lang", "source", "text").mapInArrow(_counted, "lang string, term string, source string, n bigint, docs bigint")
     grouped = counts.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     terms = grouped.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.collect_list(F.struct("source", "n")).alias("counts"))
     return terms.where(F.col("docs") >= min_docs).select("lang", "term", "counts")
@@ -155,7 +154,8 @@ def source_divergence(documents: DataFrame, min_docs: int = 10, most_terms: int
     groups = stage(docs.select("lang", "source").distinct(), "groups")
     widest = groups.groupBy("lang").count().agg(F.max("count")).first()[0] or 1
     width = max(16, min(1 << 16, CELLS // widest))
-    kept = numbered(kept_terms(docs, min_docs), ["lang"], ["term"], "id")
+    with arrow_batches(spark, 2000):  # the numbering writes what it has counted
+        kept = numbered(kept_terms(docs, min_docs), ["lang"], ["term"], "id")
     chunked = kept.withColumn("chunk", F.floor(F.col("id") / width))
     vectors = stage(chunked.groupBy("lang", "chunk").applyInArrow(_dense, "lang string, chunk bigint, terms array<binary>, sources array<string>, vectors array<binary>"), "vectors")
     # totals of the groups and of the languages

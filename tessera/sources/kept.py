@@ -18,7 +18,7 @@ def signature(tables: dict[str, tuple[DataFrame, str]], *also: str) -> str:
     """
     parts = []
     for name, (rows, column) in sorted(tables.items()):
-        n, last = rows.agg(F.count("*"), F.max(F.col(column).cast("string"))).first()
+        n, last = rows.agg(F.count("*"), F.max(column).cast("string")).first()
         parts.append(f"{name}:{n}:{last or 0}")
     return "|".join([*parts, *also])
 

@@ -93,6 +93,7 @@ def test_kept_results(spark, tmp_path):
     kept = Kept(spark, str(tmp_path / "kept"))
     first = signature({"t": (rows, "id")}, "model:x")
     assert first == "t:2:2|model:x"
+    assert signature({"t": (spark.range(9, 12), "id"), "none": (spark.range(0), "id")}) == "none:0:0|t:3:11"
     assert [kept.get(first, build).first()["n"] for _ in range(3)] == [2, 2, 2] and len(built) == 1
     assert kept.get(first, build, force=True).first()["n"] == 2 and len(built) == 2
     assert "Exchange" not in kept.get(first, build)._jdf.queryExecution().toString()

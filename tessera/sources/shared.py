@@ -85,6 +85,12 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def stage_by(self, df: DataFrame, column: str, name: str) -> DataFrame:
+        """``df`` written with a folder for each value of ``column``, so that its rows can be read alone; large ones in several files."""
+        path = self.path(name)
+        df.hint("rebalance", column).write.partitionBy(column).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path).select(df.columns)
+
     def clear(self) -> None:
         """Delete the tables; nothing may read them any more."""
         for path in self.paths:

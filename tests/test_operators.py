@@ -4,6 +4,7 @@ import math
 import random
 from itertools import combinations
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,6 +95,54 @@ def test_few_blocks_meet(spark, monkeypatch):
     assert met < 0.25 * len(rows) ** 2 / 2
 
 
+@pytest.mark.parametrize("least", [0.3, 0.6])
+def test_vectors_without_neighbourhoods(spark, monkeypatch, least):
+    """Of vectors that are guests nearly everywhere the blocks of one cell meet: no vector is sent more often than there are blocks."""
+    monkeypatch.setattr(similarity, "BLOCK", 16)
+    r = random.Random(11)
+    rows = [[x / math.sqrt(sum(y * y for y in v)) for x in v] for v in ([r.gauss(0, 1) for _ in range(24)] for _ in range(300))]
+    rows += rows[:5]
+    df = vectors_of(spark, rows)
+    met = similarity.block_meetings(df, least).select(F.sum(F.size("left") * F.size("right"))).first()[0]
+    assert met < 0.65 * len(rows) ** 2
+    near = {(i, j) for i, j in combinations(range(len(rows)), 2) if sum(a * b for a, b in zip(rows[i], rows[j])) >= least}
+    got = [(p["a"], p["b"]) for p in similarity.similar_pairs(df, least).collect()]
+    assert len(got) == len(near) and set(got) == near
+    links = {i: sum(i in p for p in near) for i in range(len(rows))}
+    found = {x["id"]: (x["class"], x["links"]) for x in similarity.similar_classes(df, least).collect()}
+    assert {i: n for i, (_, n) in found.items()} == links
+    assert all(found[i][0] == found[j][0] <= min(i, j) for i, j in near)
+
+
+def test_a_block_meets_itself_in_another_order():
+    """The two sides of a block are gathered apart, so their orders may differ; each pair still counts once, with its own ids."""
+    v = {1: [1.0, 0.0], 2: [0.9, 0.1], 3: [0.0, 1.0]}
+    side = lambda ids: [[{"id": i, "embedding": v[i]} for i in ids]]
+    batch = pa.RecordBatch.from_pydict({"left": side([1, 2, 3]), "right": side([3, 1, 2]), "same": [True]})
+    assert [(r["a"], r["b"]) for out in similarity._matched(0.5)([batch]) for r in out.to_pylist()] == [(1, 2)]
+    assert [(r["id"], r["met"], r["links"]) for out in similarity._linked(0.5)([batch]) for r in out.to_pylist()] == [(1, 1, 1), (2, 1, 1)]
+
+
+def test_one_link_row_a_vector_and_meeting(monkeypatch):
+    """Of a thousand copies, a meeting leaves a row for each and not one for each pair."""
+    side = lambda start: [[{"id": i, "embedding": [1.0, 0.0]} for i in range(start, start + 500)]]
+    batch = pa.RecordBatch.from_pydict({"left": side(0), "right": side(500), "same": [False]})
+    got = [r for out in similarity._linked(0.5)([batch]) for r in out.to_pylist()]
+    assert len(got) == 1000 and {r["met"] for r in got} == {0} and {r["links"] for r in got} == {500}
+
+
+def test_links_anyhow_are_settled_in_turn(spark, monkeypatch):
+    """Where rounds over all stretches do not settle, later stretches are settled once each: few rounds over all of them."""
+    monkeypatch.setattr(similarity, "STRETCH", 8)
+    rounds, plain = [], similarity.stage
+    monkeypatch.setattr(similarity, "stage", lambda df, name: rounds.append(name) or plain(df, name))
+    r = random.Random(9)
+    links = [(a, b) for a, b in combinations(range(200), 2) if r.random() < 0.4]
+    got = similarity.complete_linkage(spark.createDataFrame(links, "a long, b long")).collect()
+    assert {(x["seed"], x["node"]) for x in got} == linked_in_turn(links)
+    assert rounds.count("settled") <= 6
+
+
 def test_similar_classes(spark):
     rows = [[1.0, 0.0], [1.0, 0.0], [0.8, 0.6], [0.0, 1.0], None, [0.6, 0.8], [-1.0, 0.0]]
     df = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>")

@@ -28,6 +28,12 @@ def normalised(a: Column) -> Column:
     return let(norm(a), lambda n: F.when(n > 1e-6, F.transform(a, lambda x: x.cast("double") / n)).otherwise(a.cast("array<double>")))
 
 
+def rounded(x: Column, digits: int = 6) -> Column:
+    """``x`` rounded, halves away from zero; what rounds to zero keeps its sign, as in SQL engines other than Spark."""
+    near = F.round(x, digits)
+    return F.when(near == 0, x * 0.0).otherwise(near)
+
+
 def literal(vector: list[float]) -> Column:
     return F.array(*(F.lit(float(x)) for x in vector))
 

@@ -61,7 +61,7 @@ def merged_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     other = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("w"))
     mean = vectors.weighted_mean(F.col("v"), F.col("vec_id") % 5 + 1, F.col("w"), F.lit(3))
-    return e.join(other, "vec_id").select("vec_id", F.transform(mean, lambda x: F.round(x, 6)).alias("mean"))
+    return e.join(other, "vec_id").select("vec_id", F.transform(mean, lambda x: vectors.rounded(x)).alias("mean"))
 
 
 def json_values(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.vectors import dot, literal, normalised, strict_dot
+from tessera.functions.vectors import dot, literal, normalised, rounded, strict_dot
 from tessera.operators.clustering import register_faces
 from tessera.operators.means import element_means
 from tessera.operators.order_statistics import nearest_rank
@@ -27,7 +27,7 @@ def _vector(spark: SparkSession, sf_dir: str, key: int) -> list[float]:
 
 
 def _rounded(rows: DataFrame, *columns: str) -> DataFrame:
-    return rows.withColumns({c: F.round(c, 6) for c in columns})
+    return rows.withColumns({c: rounded(F.col(c)) for c in columns})
 
 
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +66,7 @@ def neutral_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     neutral = [_vector(spark, sf_dir, k) for k in range(1, 8)]
     e = F.col("embedding")
     base = sum((strict_dot(e, literal(n)) for n in neutral[1:]), strict_dot(e, literal(neutral[0]))) / len(neutral)
-    return _vectors(spark, sf_dir).select("vec_id", F.round(base, 6).alias("base"))
+    return _vectors(spark, sf_dir).select("vec_id", rounded(base).alias("base"))
 
 
 def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +110,7 @@ def max_variance_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def centroid_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return centroids(_vectors(spark, sf_dir)).select("label", F.posexplode("centroid").alias("pos", "c")).select("label", "pos", F.round("c", 6).alias("c"))
+    return centroids(_vectors(spark, sf_dir)).select("label", F.posexplode("centroid").alias("pos", "c")).select("label", "pos", rounded(F.col("c")).alias("c"))
 
 
 def nearest_label(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +121,7 @@ def nearest_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 def representative_member(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The member of each label closest to its centroid, least key on ties."""
     v = _vectors(spark, sf_dir)
-    scored = v.join(centroids(v), "label").select("label", "vec_id", F.round(dot(F.col("embedding"), F.col("centroid")), 6).alias("sim"))
+    scored = v.join(centroids(v), "label").select("label", "vec_id", rounded(dot(F.col("embedding"), F.col("centroid"))).alias("sim"))
     best = scored.groupBy("label").agg(F.min(F.struct((-F.col("sim")).alias("s"), "vec_id")).alias("b"))
     return best.select("label", F.col("b.vec_id").alias("vec_id"), (-F.col("b.s")).alias("sim"))
 

@@ -59,6 +59,12 @@ def test_tags_and_lists(spark):
     assert value(spark, text.screenshot_marker(F.lit("/A/Screenshot_1.png"))) == "screenshot"
 
 
+def test_rounding_keeps_the_sign_of_zero(spark):
+    given = [-1e-7, 1e-7, -0.0, 0.0, 0.1234565, -0.5, None]
+    got = value(spark, F.transform(F.array(*(F.lit(x).cast("double") for x in given)), lambda x: vectors.rounded(x)))
+    assert list(map(repr, got)) == ["-0.0", "0.0", "-0.0", "0.0", "0.123457", "-0.5", "None"]
+
+
 def test_photo_formats(spark):
     assert [value(spark, photo.format_shutter(F.lit(v))) for v in (30.0, 1.5, 0.005)] == ["30s", "1.5s", "1/200s"]
     assert value(spark, photo.format_shoot_time(F.lit('"2023:01:15 10:30:00"'))) == "2023-01-15 10:30:00"

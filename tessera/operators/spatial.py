@@ -18,7 +18,7 @@ def crossings(lon: Column, lat: Column, ring: Column) -> Column:
     def edge(acc: Column, i: Column) -> Column:
         a, b = F.get(ring, i), F.get(ring, F.when(i == 0, n - 1).otherwise(i - 1))
         spans = (a["lat"] > lat) != (b["lat"] > lat)
-        at = (b["lon"] - a["lon"]) * F.try_divide(lat - a["lat"], b["lat"] - a["lat"]) + a["lon"]
+        at = F.try_divide((a["lon"] - b["lon"]) * (lat - b["lat"]), a["lat"] - b["lat"]) + b["lon"]  # from the vertex before, product first
         return acc + F.when(spans & (lon < at), 1).otherwise(0)
 
     return F.when(n > 0, F.aggregate(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), F.lit(0), edge)).otherwise(0)
@@ -70,7 +70,7 @@ def _inside(lon: Column, lat: Column) -> Column:
 
     def crossed(e: Column) -> Column:
         a, b = e["a"], e["b"]
-        at = (b["lon"] - a["lon"]) * F.try_divide(lat - a["lat"], b["lat"] - a["lat"]) + a["lon"]
+        at = F.try_divide((a["lon"] - b["lon"]) * (lat - b["lat"]), a["lat"] - b["lat"]) + b["lon"]  # from the vertex before, product first
         return ((a["lat"] > lat) != (b["lat"] > lat)) & (lon < at)
 
     b = F.col("bbox")

@@ -340,6 +340,19 @@ def test_points_in_regions(spark):
     assert {r["id"]: r["region_id"] for r in spatial.locate(points, regions).collect()} == {1: 1, 2: None, 3: None}
 
 
+def test_points_on_a_slanted_edge(spark):
+    """Points of the line itself lie where the crossing, reckoned from the vertex before the edge and with the product first, puts them."""
+    ring = [(6.0, 6.0), (9.5, 6.0), (6.0, 9.5)]
+    regions = spark.createDataFrame([(1, [6.0, 6.0, 9.5, 9.5], [[ring]])], REGION)
+    places = [(k, 15.5 - k / 100, k / 100) for k in range(601, 950)]
+    expected = {k for k, lon, lat in places if lon < (6.0 - 9.5) * (lat - 6.0) / (9.5 - 6.0) + 9.5}
+    got = spatial.locate(spark.createDataFrame(places, "id int, lon double, lat double"), regions).where("region_id = 1")
+    assert {r["id"] for r in got.collect()} == expected
+    inside = spatial.in_region(F.col("lon"), F.col("lat"), F.col("polygons"))
+    rays = spark.createDataFrame(places, "id int, lon double, lat double").crossJoin(regions.select("polygons")).where(inside)
+    assert {r["id"] for r in rays.collect()} == expected
+
+
 def test_given_order(spark):
     rows = spark.createDataFrame([("a", 1), ("c", 3)], "path string, v int")
     assert [(r["path"], r["v"]) for r in filters.in_given_order(["c", "b", "a"], rows, "path").collect()] == [("c", 3), ("b", None), ("a", 1)]

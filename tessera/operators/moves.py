@@ -37,8 +37,9 @@ def resolved_moves(moves: DataFrame) -> DataFrame:
     logged = stage(logged.select("seq", "m.*"), "moves")
     # at each path the arrivals and departures in order; an arrival leaves with the next departure
     events = logged.select(F.col("new_path").alias("path"), "seq", F.lit(None).cast("long").alias("leaves")).union(logged.select("old_path", "seq", F.col("seq").cast("long")))
-    later = Window.partitionBy("path").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
-    following = events.withColumn("next", F.first("leaves", ignorenulls=True).over(later)).where("leaves is null and next is not null")
+    # latest first, since Spark reckons a frame up to the row before it in one pass, one of all rows behind it anew for each row
+    later = Window.partitionBy("path").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
+    following = events.withColumn("next", F.last("leaves", ignorenulls=True).over(later)).where("leaves is null and next is not null")
     with Scratch(moves.sparkSession) as scratch:
         last = stage(forest_roots(following.select(F.col("seq").cast("long").alias("node"), F.col("next").alias("parent")), scratch), "last")
     first = logged.groupBy("old_path").agg(F.min("seq").cast("long").alias("first"))

@@ -48,6 +48,14 @@ def matched_moments(source: DataFrame, reference: DataFrame, columns: list[str],
     return source.withColumns(moved)
 
 
+def _level_at(uppers: list[tuple[int, int]]) -> Column:
+    """The level of the first of ``uppers`` (upto, level) that exceeds _place, by halving: a row is compared as often as the logarithm of their number."""
+    if len(uppers) == 1:
+        return F.lit(uppers[0][1])
+    middle = len(uppers) // 2
+    return F.when(F.col("_place") < uppers[middle - 1][0], _level_at(uppers[:middle])).otherwise(_level_at(uppers[middle:]))
+
+
 def matched_ranks(source: DataFrame, reference: DataFrame, key: str, value: str, block: int = 1 << 16) -> DataFrame:
     """``source`` with ``matched``: the reference value at the same rank; ``value`` is an 8-bit level, ties go by the unique ``key``.
 
@@ -61,19 +69,19 @@ def matched_ranks(source: DataFrame, reference: DataFrame, key: str, value: str,
     n, m = sum(c for _, c in own), sum(c for _, c in wanted)
     if not n or not m:
         return source.withColumn("matched", F.lit(None).cast(source.schema[value].dataType))
-    lower = F.create_map(*(F.lit(x) for (v, c), upto in zip(own, accumulate(c for _, c in own)) for x in (v, upto - c)))
-    uppers = F.array(*(F.struct(F.lit(upto).cast("long").alias("upto"), F.lit(v).alias("level")) for (v, _), upto in zip(wanted, accumulate(c for _, c in wanted))))
+    lower = source.sparkSession.createDataFrame([(v, upto - c) for (v, c), upto in zip(own, accumulate(c for _, c in own))], "_v long, _lower long")
+    uppers = [(upto, v) for (v, _), upto in zip(wanted, accumulate(c for _, c in wanted))]
     rows = source.withColumn("_block", F.floor(F.col(key) / block))
     earlier = Window.partitionBy(value).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy(value, "_block").agg(F.count("*").alias("_n")).select(value, "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+    offsets = offsets.join(F.broadcast(lower), F.col(value) == F.col("_v")).select(F.col(value).alias("_level"), F.col("_block").alias("_of"), (F.col("_offset") + F.col("_lower")).alias("_offset"))
     within = F.row_number().over(Window.partitionBy(value, "_block").orderBy(key))
-    rank = F.element_at(lower, F.col(value)) + F.col("_offset") + F.col("_at") - 1
+    rank = F.col("_offset") + F.col("_at") - 1
     place = F.least(F.lit(m - 1), F.floor(rank / float(max(n - 1, 1)) * (m - 1)))
-    level = F.element_at(F.filter(uppers, lambda u: u["upto"] > F.col("_place")), 1)["level"]
     return (
         rows.withColumn("_at", within)
-        .join(offsets, [value, "_block"])
+        .join(offsets, (F.col(value) == F.col("_level")) & (F.col("_block") == F.col("_of")))
         .withColumn("_place", place)
-        .withColumn("matched", level)
-        .drop("_block", "_at", "_offset", "_place")
+        .withColumn("matched", _level_at(uppers))
+        .drop("_block", "_at", "_offset", "_place", "_level", "_of")
     )

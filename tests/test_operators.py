@@ -441,3 +441,16 @@ def test_element_means(spark, monkeypatch):
     for x in got:
         m, n = mean[x["label"], x["pos"]]
         assert x["rows"] == n and (x["m"] is None if m is None else abs(x["m"] - m) < 1e-6)
+
+
+def test_matched_ranks_without_a_pass_over_all_levels(spark):
+    """A row finds its level by halving, not by a walk through up to 256 levels; same levels as by sorted lists."""
+    from tessera.operators import transfer
+
+    r = random.Random(5)
+    own, wanted = [(i, r.randrange(40)) for i in range(300)], sorted(r.randrange(60) for _ in range(211))
+    source, reference = spark.createDataFrame(own, "id long, v int"), spark.createDataFrame([(x,) for x in wanted], "v int")
+    out = transfer.matched_ranks(source, reference, "id", "v", block=64)
+    ranked = sorted(own, key=lambda x: (x[1], x[0]))
+    assert {x["id"]: x["matched"] for x in out.collect()} == {i: wanted[min(210, math.floor(k / 299 * 210))] for k, (i, _) in enumerate(ranked)}
+    assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()

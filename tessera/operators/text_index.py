@@ -81,15 +81,26 @@ def says(text: Column, asked: list[Asked]) -> Column:
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A posting row for each run of one word in a batch; batches are sorted by (word, id), so a longer run is several rows."""
+    """A posting row for each run of one word in a batch; batches are sorted by (word, id), so a longer run is several rows. Rows that repeat count once."""
+    last = None
     for batch in batches:
-        if len(batch):
-            runs = pc.run_end_encode(batch.column("word"), run_end_type=pa.int64())
-            ends = runs.run_ends.to_numpy()
-            starts = np.concatenate([[0], ends[:-1]])
-            ids = batch.column("id").to_numpy()
-            offsets = pa.ListArray.from_arrays(pa.array(np.append(starts, ends[-1]), pa.int32()), pa.array(ids - np.repeat(ids[starts], ends - starts)))
-            yield pa.RecordBatch.from_arrays([runs.values, pa.array(ids[starts]), offsets], names=["word", "first", "offsets"])
+        if not len(batch):
+            continue
+        runs = pc.run_end_encode(batch.column("word"), run_end_type=pa.int64())
+        starts = np.concatenate([[0], runs.run_ends.to_numpy()[:-1]])
+        ids = batch.column("id").to_numpy()
+        fresh = np.append(True, ids[1:] != ids[:-1])
+        fresh[starts] = True
+        fresh[0] = last != (runs.values[0].as_py(), int(ids[0]))
+        last = (runs.values[-1].as_py(), int(ids[-1]))
+        run_of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(ids))))[fresh]
+        ids = ids[fresh]
+        if not len(ids):
+            continue
+        held, starts = np.unique(run_of, return_index=True)
+        bounds = np.append(starts, len(ids))
+        offsets = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids - np.repeat(ids[starts], np.diff(bounds))))
+        yield pa.RecordBatch.from_arrays([runs.values.take(pa.array(held)), pa.array(ids[starts]), offsets], names=["word", "first", "offsets"])
 
 
 class TextIndex:
@@ -108,7 +119,7 @@ class TextIndex:
         self.manifest.publish(self.spark.createDataFrame(segments, SEGMENTS).coalesce(1))
 
     def _write(self, postings: DataFrame, gone: DataFrame | None) -> str:
-        """A segment of rows (word, id) and of ids that earlier segments no longer tell of."""
+        """A segment of rows (word, id), which may repeat, and of ids that earlier segments no longer tell of."""
         name = uuid.uuid4().hex
         at, ranges = f"{self.path}/{name}", int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         dealt = postings.repartitionByRange(ranges, "word", "id").sortWithinPartitions("word", "id")
@@ -125,7 +136,7 @@ class TextIndex:
         """Rows that are new, or that replace what is known under their keys. Rows without a key are left out."""
         keyed = rows.where(F.col(key).isNotNull())
         known = self.segments()
-        postings = keyed.select(F.explode(words_of(F.col(text))).alias("word"), F.col(key).cast("long").alias("id")).distinct()
+        postings = keyed.select(F.explode(F.array_distinct(words_of(F.col(text)))).alias("word"), F.col(key).cast("long").alias("id"))
         self._publish([*known, (self._write(postings, keyed.select(F.col(key).alias("id")) if known else None), known[-1][1] + 1 if known else 0)])
 
     def remove(self, keys: DataFrame, key: str) -> None:

@@ -104,3 +104,15 @@ def test_reads_touched_ranges_only(spark, tmp_path):
     plan = index.found(parsed("w500"))._jdf.queryExecution().toString()
     assert re.search(r"PartitionFilters: \[.*range#\d+ = %d" % ranges["w500"][0], plan), plan
     assert index.found(parsed("w500 nothing")).count() == sum(1 for i in range(4000) if i % 997 == 500)
+
+
+def test_postings_count_a_repeated_row_once():
+    """Rows may repeat within and across batches; a word goes on in the next batch."""
+    import pyarrow as pa
+
+    from tessera.operators.text_index import _postings
+
+    batches = [[("a", 1), ("a", 1), ("a", 4), ("b", 4)], [("b", 4)], [("b", 4), ("b", 5), ("c", 5), ("c", 5)]]
+    rows = [pa.RecordBatch.from_pydict({"word": [w for w, _ in x], "id": [i for _, i in x]}) for x in batches]
+    got = [(p["word"], p["first"] + o) for out in _postings(iter(rows)) for p in out.to_pylist() for o in p["offsets"]]
+    assert got == [("a", 1), ("a", 4), ("b", 4), ("b", 5), ("c", 5)]

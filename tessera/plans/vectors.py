@@ -10,7 +10,7 @@ from tessera.operators.clustering import register_faces
 from tessera.operators.means import element_means
 from tessera.operators.order_statistics import nearest_rank
 from tessera.operators.ranking import fuse, fuse_and_hydrate, keyword_lane, query_kind, rank_absolute, rank_relative, ranking_metrics
-from tessera.operators.similarity import centroids, complete_linkage, nearest_centroid, similar_classes, similar_pairs, widest_dimensions
+from tessera.operators.similarity import centroids, complete_linkage_of_vectors, nearest_centroid, similar_classes, similar_pairs, widest_dimensions
 from tessera.sources.tables import table
 from tessera.sources.views import PHOTOS_SQL, photos
 
@@ -136,7 +136,7 @@ def similar_vector_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def complete_linkage_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return complete_linkage(similar_pairs(_vectors(spark, sf_dir), 0.3))
+    return complete_linkage_of_vectors(_vectors(spark, sf_dir), 0.3)
 
 
 def label_faces(spark: SparkSession, sf_dir: str) -> DataFrame:

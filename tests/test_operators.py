@@ -3,6 +3,7 @@
 import math
 import random
 import tracemalloc
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -260,6 +261,38 @@ def test_complete_linkage_against_a_sequence(spark, monkeypatch, stretch, nodes,
     assert len(got) == len(expected) and {(x["seed"], x["node"]) for x in got} == expected
 
 
+@pytest.mark.parametrize("stretch", [16, 50, 1000])
+def test_complete_linkage_of_vectors(spark, monkeypatch, stretch):
+    """From the vectors alone, no table of links: a group of copies larger than a stretch, two components, vectors without a link and without numbers."""
+    monkeypatch.setattr(similarity, "BLOCK", 16)
+    monkeypatch.setattr(similarity, "STRETCH", 8)
+    monkeypatch.setattr(similarity, "VECTORS", stretch)
+    monkeypatch.setattr(similarity, "similar_pairs", None)
+    r = random.Random(13)
+    rows = [[x / math.sqrt(sum(y * y for y in v)) for x in v] + [0.0] for v in ([r.gauss(0, 1) for _ in range(8)] for _ in range(150))]
+    rows += [rows[3]] * 40 + [[0.0] * 8 + [x] for x in (1.0, 1.0, 0.9, -0.5)]
+    links = [(a, b) for a, b in combinations(range(len(rows)), 2) if sum(x * y for x, y in zip(rows[a], rows[b])) >= 0.4]
+    df = vectors_of(spark, rows).union(spark.createDataFrame([(900, None), (901, [1.0])], "vec_id long, embedding array<double>"))
+    got = similarity.complete_linkage_of_vectors(df, 0.4).collect()
+    expected = linked_in_turn(links)
+    assert len(got) == len(expected) and {(x["seed"], x["node"]) for x in got} == expected
+    assert max(Counter(x["seed"] for x in got).values()) > 40
+
+
+def test_few_or_thin_links_are_taken_as_pairs(spark, monkeypatch):
+    asked, plain = [], similarity.similar_pairs
+    monkeypatch.setattr(similarity, "similar_pairs", lambda *x: asked.append(1) or plain(*x))
+    rows = clustered(random.Random(3), 40, 3, 0.1, 32)
+    for stretch, scarce in ((2048, 1024), (8, 0)):
+        monkeypatch.setattr(similarity, "STRETCH", stretch)
+        monkeypatch.setattr(similarity, "SCARCE", scarce)
+        assert similarity.complete_linkage_of_vectors(vectors_of(spark, rows), 0.9).count() == 120
+    assert len(asked) == 2
+    monkeypatch.setattr(similarity, "SCARCE", 1024)
+    assert similarity.complete_linkage_of_vectors(vectors_of(spark, rows), 0.9).count() == 120
+    assert similarity.complete_linkage_of_vectors(vectors_of(spark, rows), 2.0).count() == 0
+
+
 @pytest.mark.parametrize("block", [1024, 7])
 def test_nearest_centroid(spark, monkeypatch, block):
     monkeypatch.setattr(similarity, "BLOCK", block)
